@@ -45,7 +45,7 @@ BINS = 128
 #: Components are broadcast for the final lookup only up to this many rows.
 BROADCAST_ROWS = 1_000_000
 
-_ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
+_STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -65,8 +65,8 @@ def shingles(raw: bytes, n: int = 5) -> np.ndarray:
     w = min(n, m)
     out = np.full(m - w + 1, w, np.uint64)
     for k in range(w):
-        out += _mix(h[k : m - w + 1 + k] + _ODD[k % 8] * np.uint64(k + 1))
-        out *= _ODD[(k + 3) % 8]
+        out += _mix(h[k : m - w + 1 + k] + _STEP[k % 8 : k % 8 + 1] * np.uint64(k + 1))
+        out *= _STEP[(k + 3) % 8]
     return np.unique(_mix(out))
 
 
