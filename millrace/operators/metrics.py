@@ -100,7 +100,7 @@ def _bootstrap(seed: int, votes: bool):
             out[r] = first[max(count, key=count.get)]
         return out
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         vals = pdf["value"].to_numpy(float)
         preds = pdf["pred"].tolist() if votes else []
@@ -109,7 +109,9 @@ def _bootstrap(seed: int, votes: bool):
         if n > 1:
             rows.append((f"std@{n}", vals.std()))
         for k in subset_sizes(n):
-            idx = tables.setdefault((n, k), bootstrap_table(n, k, seed))
+            if (n, k) not in tables:
+                tables[n, k] = bootstrap_table(n, k, seed)
+            idx = tables[n, k]
             drawn = vals[idx]
             stats = {"best": drawn.max(1), "worst": drawn.min(1)}
             if votes:

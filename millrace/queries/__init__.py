@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ["advantage", "loss", "batch"]
+AREAS = ["advantage", "loss", "batch", "metrics", "text", "scores", "curate", "retrieve", "render", "stream"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

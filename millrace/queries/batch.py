@@ -167,7 +167,7 @@ SQL = {
     "b2_concat": f"WITH {ROLLOUTS} SELECT row_id, score FROM r UNION ALL SELECT row_id, score FROM r WHERE row_id < 5",
     "b3_shuffled_slice": f"WITH {ROLLOUTS}, o AS (SELECT row_id, row_number() OVER (ORDER BY md5('7|' || row_id), row_id) - 1 AS ord FROM r) SELECT * FROM o WHERE ord >= 100",
     "b4_partition": _ORD + ", p AS (SELECT * FROM o WHERE row_id < 9998) SELECT row_id, ord FROM p, (SELECT count(*) // 5 AS k FROM p) WHERE ord >= 3 * k AND ord < 4 * k",
-    "b5_select_positions": _ORD + " SELECT w.k::BIGINT AS "at", row_id, score FROM o JOIN (VALUES (0, 5), (1, 3), (2, 3), (3, 99), (4, 0)) w(k, ord) USING (ord)",
+    "b5_select_positions": _ORD + " SELECT w.k::BIGINT AS \"at\", row_id, score FROM o JOIN (VALUES (0, 5), (1, 3), (2, 3), (3, 99), (4, 0)) w(k, ord) USING (ord)",
     "b5_slice": _ORD + " SELECT row_id FROM o WHERE ord >= 10 AND ord < 500 AND (ord - 10) % 7 = 0",
     "b6_columns": f"WITH {ROLLOUTS} SELECT row_id, score AS reward FROM r",
     "b7_chunk": _ORD + " SELECT row_id, (ord // ((SELECT count(*) + 7 FROM r) // 8))::BIGINT AS chunk FROM o",
