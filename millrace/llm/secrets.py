@@ -64,11 +64,12 @@ def _windows(run: Column, kind: str, window: int) -> Column:
     sums = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(window + 1)])
     most = F.lit(window * (math.log2(window) - THRESHOLDS[kind]))  # entropy >= threshold, as a bound on the sum
     codes = F.transform(F.split(run, ""), lambda ch: F.instr(F.lit(alphabet), ch) - 1)
-    empty = F.struct(F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("s"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
+    # The codes travel in the state: an expression outside it would be computed again in every step.
+    empty = F.struct(codes.alias("codes"), F.array_repeat(F.lit(0), len(alphabet)).alias("counts"), F.lit(0.0).alias("s"), F.lit(-1).alias("first"), F.lit(-1).alias("last"))
 
     def step(acc, i):
-        in_ = F.get(codes, i)
-        out = F.when(i >= window, F.get(codes, i - window)).otherwise(F.lit(-1))
+        in_ = F.get(acc["codes"], i)
+        out = F.when(i >= window, F.get(acc["codes"], i - window)).otherwise(F.lit(-1))
         counts = F.transform(acc["counts"], lambda c, k: c + F.when(k == in_, 1).otherwise(0) - F.when(k == out, 1).otherwise(0))
         a, o = F.get(acc["counts"], in_), F.get(acc["counts"], out)
         moved = F.when(in_ == out, F.lit(0.0)).otherwise(F.get(sums, a + 1) - F.get(sums, a) + F.when(out >= 0, F.get(sums, o - 1) - F.get(sums, o)).otherwise(F.lit(0.0)))
@@ -76,6 +77,7 @@ def _windows(run: Column, kind: str, window: int) -> Column:
         hit = (i >= window - 1) & (s <= most + 1e-9)
         start = i - (window - 1)
         return F.struct(
+            acc["codes"].alias("codes"),
             counts.alias("counts"),
             s.alias("s"),
             F.when(hit & (acc["first"] < 0), start).otherwise(acc["first"]).alias("first"),
