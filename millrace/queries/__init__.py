@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-AREAS = ["advantage", "loss", "batch", "metrics", "text", "mathtext", "scores", "curate", "retrieve", "render", "stream"]
+AREAS = ["advantage", "loss", "batch", "metrics", "text", "mathtext", "scores", "curate", "retrieve", "render", "validate", "stream"]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 
 def load_corpus(spark: SparkSession, path: str) -> DataFrame:
@@ -56,7 +56,7 @@ def encode(df: DataFrame, encoder: Callable[[pd.Series], pd.Series], text_col: s
         for pdf in batches:
             yield pdf.assign(v=list(encoder(prefix + pdf[text_col].fillna(""))))
 
-    out = df.mapInPandas(run, df.schema.add("v", "array<double>"))
+    out = df.mapInPandas(run, StructType([*df.schema.fields, StructField("v", ArrayType(DoubleType()))]))
     if not normalise:
         return out
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
