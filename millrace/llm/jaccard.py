@@ -10,10 +10,12 @@ joined.  Steps:
    The order needs to be the same everywhere, not exact, so a fixed sketch
    keeps what is broadcast at a few MB however large the corpus is.
 2. A second pass emits each set's prefix as postings (n-gram, node, size,
-   position).  Equal sets are one node, so copies are never expanded.
-3. Within one n-gram's postings, ordered by size, each node is paired with
-   the first and with its predecessor; these pairs pass the length,
-   positional and suffix filters and the most promising one of each node is
+   position).  Equal sets are one node, so copies are never expanded.  The
+   prefix is longer by ``k - 1``: partners share at least ``k`` n-grams of it,
+   so a node of which fewer than ``k`` occur in any set of a fitting length
+   has no partner and leaves before any pair is formed.
+3. Each node is paired with the one set of each of its n-grams that has it
+   earliest in its order, and the partner that most n-grams agree on is
    verified on whole texts.  Links give components.
 4. Only postings whose n-gram still spans several components are then joined
    pairwise, through the same filters, and each pair is verified once.  So no
@@ -42,6 +44,8 @@ from millrace.llm._work import fits, materialize, text_rows
 SKETCH_BITS = 20
 SLICE = 1 << 16
 BINS = 128
+#: The prefix is extended by one n-gram for so many n-grams of a set.
+EXTEND = 25
 #: Components are broadcast for the final lookup only up to this many rows.
 BROADCAST_ROWS = 1_000_000
 
@@ -159,7 +163,7 @@ def _prefixes(n: int, percent: int, shared):
                     continue
                 seen.add(nid)
                 m = len(s)
-                p = m - -(-percent * m // 100) + 1
+                p = min(m, m - -(-percent * m // 100) + 1 + m // EXTEND)
                 one, two = _cells(s)
                 first = s[np.lexsort((s, np.minimum(count[0][one], count[1][two])))[:p]]
                 hs.append(first.view(np.int64))
@@ -278,21 +282,23 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
 
     postings = raw.select("raw").mapInArrow(_prefixes(n, percent, shared), "h long, nid long, sp long")
     every = Window.partitionBy("h")
-    ordered = every.orderBy("sp", "nid")
-    key = F.struct("sp", "nid")
-    groups = (
-        postings.select("h", "nid", "sp", F.min(key).over(every).alias("lo"), F.max(key).over(every).alias("hi"), F.lag("nid").over(ordered).alias("pn"), F.lag("sp").over(ordered).alias("ps"))
-        .where("lo.nid <> hi.nid AND (pn IS NULL OR pn <> nid)")
-        .select("h", "nid", "sp", F.col("lo.nid").alias("ln"), F.col("lo.sp").alias("ls"), "pn", "ps")
-    )
-    groups = materialize(groups, "groups")
-
-    first = groups.select(F.col("ln").alias("a"), F.col("ls").alias("sa"), F.col("nid").alias("b"), F.col("sp").alias("sb"))
-    before = groups.where("pn IS NOT NULL AND pn <> ln").select(F.col("pn").alias("a"), F.col("ps").alias("sa"), F.col("nid").alias("b"), F.col("sp").alias("sb"))
-    near = first.where("a <> b").union(before)
-    near = near.where(_may_link(F.col("sa"), F.col("sb"), percent)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"))
-    near = _filtered(near, reps, percent)
-    best = materialize(near.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b"), "best")
+    size, pos = F.shiftright("sp", 32), F.col("sp").bitwiseAND(0xFFFFFFFF)
+    by_size = every.orderBy("sp", "nid")
+    before, after = F.struct(F.lag("nid").over(by_size).alias("nid"), F.lag("sp").over(by_size).alias("sp")), F.struct(F.lead("nid").over(by_size).alias("nid"), F.lead("sp").over(by_size).alias("sp"))
+    near_size = (100 * F.shiftright("before.sp", 32) >= percent * size) | (100 * size >= percent * F.shiftright("after.sp", 32))
+    groups = postings.select("h", "nid", "sp", before.alias("before"), after.alias("after")).where((F.col("before.nid").isNull() | (F.col("before.nid") != F.col("nid"))) & near_size)
+    groups = materialize(groups.select("h", "nid", "sp"), "groups")
+    active = groups.groupBy("nid").agg(F.count(F.lit(1)).alias("c"), F.first(size).alias("n")).where(F.col("c") >= F.floor(F.lit(1) + F.floor(F.col("n") * percent / 100) / EXTEND)).select("nid")
+    active = materialize(active, "active")
+    active = F.broadcast(active) if fits(active, BROADCAST_ROWS) else active
+    # From here on plain prefixes do: they hold the first n-gram that two partners share.
+    plain = groups.where(pos < size - F.ceil(size * percent / 100) + 1).join(active, "nid", "left_semi")
+    first = F.min(F.struct(pos.alias("pos"), "sp", "nid")).over(every)
+    groups = materialize(plain.select("h", "nid", "sp", first.alias("x")).select("h", "nid", "sp", F.col("x.nid").alias("a"), F.col("x.sp").alias("sa")), "plain")
+
+    near = groups.where("a <> nid").where(_may_link(F.least("sa", "sp"), F.greatest("sa", "sp"), percent)).groupBy("a", F.col("nid").alias("b")).agg(F.count(F.lit(1)).alias("c"))
+    near = near.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b", "m.c")
+    best = materialize(_filtered(near, reps, percent).select("a", "b"), "best")
     links = _links(best, reps, rows, n, percent, unique_ids)
     labels = components(links)
 
@@ -303,7 +309,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     one = tagged.select("h", F.col("nid").alias("a"), F.col("sp").alias("sa"), F.col("label").alias("la"))
     two = tagged.select("h", F.col("nid").alias("b"), F.col("sp").alias("sb"), F.col("label").alias("lb"))
     rest = one.join(two, "h").where((F.col("la") != F.col("lb")) & ((F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")))) & _may_link(F.col("sa"), F.col("sb"), percent))
-    rest = rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).join(best, ["a", "b"], "left_anti")
+    rest = rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).join(best.select("a", "b").union(best.select("b", "a")), ["a", "b"], "left_anti")
     rest = materialize(_filtered(rest, reps, percent).select("a", "b"), "rest")
     if rest.limit(1).count():
         more = _links(rest, reps, rows, n, percent, unique_ids)
