@@ -64,10 +64,10 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = 17) -> DataFrame:
     """The columns of ``docs`` and ``copy`` (from 0), each document as often as drawn, in random order."""
-    rates = materialize(source_rates(docs, weights, temperature, epochs), "rates")
+    rates = materialize(source_rates(docs, weights, temperature, epochs).select("__source", F.col("cdf").alias("__cdf")), "rates")
     rates = F.broadcast(rates) if fits(rates, BROADCAST_SOURCES) else rates
     u = uniform(F.lit(seed), F.col("doc_id"))
-    count = F.size(F.filter("cdf", lambda c: c <= F.col("__u")))
+    count = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
     keyed = docs.withColumns({"__source": F.coalesce(F.col("source").cast("string"), F.lit("")), "__u": F.coalesce(u, F.lit(0.5))})
     drawn = keyed.join(rates, "__source").withColumn("__n", count).where("__n > 0")
     copies = drawn.select(*[F.col(f"`{c}`") for c in docs.columns if c != "copy"], F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("copy"))

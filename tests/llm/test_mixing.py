@@ -41,6 +41,8 @@ def test_counts(spark):
 
 def test_edges(spark):
     assert mix_sources(spark.createDataFrame([], SCHEMA)).collect() == []
-    df = spark.createDataFrame([(1, "a", "en", "s", 0), (1, "a", "en", "s", 0), (None, "b", "en", "s", 0)], SCHEMA + ", copy int".replace(", copy int", ""))
+    rows = [(1, "a", "en", "s", 0, 7, "x", "y"), (1, "a", "en", "s", 0, 7, "x", "y"), (None, "b", "en", "s", 0, 7, "x", "y")]
+    df = spark.createDataFrame(rows, SCHEMA + ", copy int, rate string, cdf string")
+    assert mix_sources(df).columns == [*[c for c in df.columns if c != "copy"], "copy"]
     n = Counter(r["doc_id"] for r in mix_sources(df, epochs=300.0).collect())
     assert n[1] % 2 == 0 and n[1] > 300
