@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.functions.arrays import col, masked_sum, spread, total, zip3
+from millrace.functions.arrays import col, masked_sum, spread, total
 
 EPS = 1e-6
 ESTIMATORS: dict[str, Callable[..., DataFrame]] = {}
@@ -203,4 +203,4 @@ def gae(df: DataFrame, gamma: float = 1.0, lam: float = 1.0, rewards: str = "rew
     return out.withColumn("advantages", F.transform("raw", lambda a: (a - F.col("mean")) / F.sqrt(F.col("variance") + 1e-8))).drop("raw", "mean", "variance")
 
 
-__all__ = ["ESTIMATORS", "advantages", "gae", "gdpo", "gpg", "grpo", "grpo_batch", "grpo_passk", "opo", "register", "reinforce_baseline", "reinforce_plus_plus", "remax", "rloo", "zip3"]
+__all__ = ["ESTIMATORS", "advantages", "gae", "gdpo", "gpg", "grpo", "grpo_batch", "grpo_passk", "opo", "register", "reinforce_baseline", "reinforce_plus_plus", "remax", "rloo"]

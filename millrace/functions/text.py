@@ -235,8 +235,8 @@ def token_count(x: Column) -> Column:
 
 
 def truncate_tokens(x: Column, n: int) -> Column:
-    """Text up to and with its ``n``-th token."""
-    return F.regexp_extract(x, r"(?sU)\A(?:\s*(?:\w+|[^\w\s])){0,%d}" % n, 0)
+    """Text up to and with its ``n``-th token; white space after it is dropped."""
+    return F.array_join(F.slice(F.regexp_extract_all(x, F.lit(r"(?U)(\s*(?:\w+|[^\w\s]))"), F.lit(1)), 1, n), "")
 
 
 def exact_match(answer: Column, golds: Column) -> Column:

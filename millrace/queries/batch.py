@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import batch as b
-from millrace.sources.views import ROLLOUTS, TOKENS, rollouts, table, token_rows, trajectories
+from millrace.sources.views import ROLLOUTS, TOKENS, rollouts, token_rows, trajectories
 
 
 def b1_head(spark, sf_dir):

@@ -77,6 +77,7 @@ def p8_gold_rubric(spark, sf_dir):
 
 def p9_qa_rows(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
+    # Fixed value: the tag before the source's name.
     rows = b.select(*R.task_row(F.concat(F.lit("searchR1_"), F.lit("nq")), F.col("text"), "fact-reasoning", "rule", F.array("text"), F.col("item_id"), F.col("text")))
     return rows.select("data_source", "ability", F.col("reward_model.style").alias("style"), F.col("extra_info.index").alias("idx"))
 
@@ -157,6 +158,7 @@ SQL = {
     "s6_multi_turn_scan": "SELECT conv_id, count(*)::INT AS n_turns FROM conversations GROUP BY 1",
     "s7_preference_scan": "SELECT item_id AS prompt, side, CASE side WHEN 'chosen' THEN 'good' ELSE 'bad' END AS response FROM benchmark, (SELECT unnest(['chosen', 'rejected']) AS side)",
     "s13_benchmark_rows": "SELECT CASE WHEN item_id % 2 = 0 THEN 'eval_points' ELSE 'eval_pair' END AS data_source, md5(CASE WHEN item_id % 2 = 0 THEN text ELSE upper(text) END) AS prompt, CASE WHEN item_id % 2 = 0 THEN 2 ELSE 0 END::INT AS n_rubrics, item_id AS idx FROM benchmark",
+    "p1_preprocess": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, md5('(Title: ' || l[1] || ')' || chr(10) || rtrim(coalesce(l[2], '')) || chr(10)) AS doc FROM l",
     "p2_template": "SELECT p_partkey, 'Use ' || p_name || ' of ' || p_brand || '; ' || p_name || '. {other}' AS prompt FROM part",
     "p3_task_types": f"WITH {ROLLOUTS} SELECT row_id, CASE WHEN {_U.format(s='short')} < 0.4 THEN 'short_form_qa' ELSE (['long_form_qa', 'report'])[floor({_U.format(s='other')} * 2)::INT + 1] END AS task_type FROM r",
     "p5_select_types": "SELECT * FROM (VALUES ('long_form_qa', 'LONG_FORM_QA'), ('short_form_qa', 'SHORT_FORM_QA')) v(name, description)",

@@ -142,6 +142,7 @@ SQL = {
     "t12_ngram_overlap": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text[1:400]), '[a-z0-9]+(?:''[a-z]+)?') AS a, regexp_extract_all(lower(text[200:599]), '[a-z0-9]+(?:''[a-z]+)?') AS e FROM documents WHERE lang = 'en'),
 g AS (SELECT doc_id, list_transform(range(1, greatest(len(a) - 2, 1)), lambda i: array_to_string(a[i:i + 3], ' ')) AS x, list_transform(range(1, greatest(len(e) - 2, 1)), lambda i: array_to_string(e[i:i + 3], ' ')) AS y FROM d)
 SELECT doc_id, round(CASE WHEN len(x) > 0 THEN len(list_filter(x, lambda v: list_contains(y, v)))::DOUBLE / len(x) ELSE 0.0 END, 6) + 0.0 AS overlap FROM g""",
+    "t13_tokens": r"WITH k AS (SELECT item_id, len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}\p{Pc}]+|[^\p{L}\p{M}\p{N}\p{Pc}\s]'))::INT AS n FROM benchmark) SELECT item_id, n, least(n, 8)::INT AS n_cut FROM k",
     "t14_exact_match": "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS em, CASE WHEN item_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS sub_em, 0.0::DOUBLE AS without_tags FROM benchmark",
     "t15_gsm8k": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '1' || lpad((doc_id % 1000)::VARCHAR, 3, '0') END AS strict, CASE doc_id % 4 WHEN 0 THEN '1,' || lpad((doc_id % 1000)::VARCHAR, 3, '0') WHEN 1 THEN doc_id || '.' WHEN 3 THEN doc_id::VARCHAR END AS flexible FROM documents",
     "t17_last_answer": "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN doc_id::VARCHAR ELSE '[INVALID]' END AS answer FROM documents",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from millrace.functions import text as T
 from millrace.operators import validate as V
 from millrace.sources import io
-from millrace.sources.views import JUDGED, ROLLOUTS, judgements, r6, rollouts, table, trajectories
+from millrace.sources.views import JUDGED, ROLLOUTS, TRAJ, judgements, r6, rollouts, table, trajectories
 
 
 def _folder(spark) -> str:
@@ -148,6 +148,7 @@ SQL = {
     "x15_generate": "SELECT n_nationkey::BIGINT AS row_id, md5(n_name || '#0')[1:6] || ',' || md5(n_name || '#1')[1:6] || ',' || md5(n_name || '#2')[1:6] AS responses FROM nation",
     "x20_rolling_context": f"WITH {ROLLOUTS}, m AS (SELECT row_id, i, sum((row_id + i) % 4 + 1) OVER (PARTITION BY row_id ORDER BY i DESC) AS used FROM r, (SELECT unnest(range(6)) AS i)) SELECT row_id, coalesce(min(i) FILTER (used <= 7), 6)::INT AS first FROM m GROUP BY 1",
     "s8_write_tasks": "SELECT item_id, md5(text) AS target FROM benchmark",
+    "s9_trajectory_jsonl": "WITH " + TRAJ + " SELECT conv_id, md5(traj) AS traj FROM tr",
     "s10_step_dump": f"WITH {ROLLOUTS} SELECT row_id % 3 AS step, count(*) AS n, max(row_id) AS last FROM r GROUP BY 1",
     "s14_encode": "WITH v AS (SELECT item_id, (length(text) + 9)::DOUBLE AS a, (length('passage: ' || text) - length(replace('passage: ' || text, 'e', '')))::DOUBLE AS b FROM benchmark), n AS (SELECT *, sqrt(a * a + b * b + 1) AS n FROM v) SELECT item_id, round(a / n, 6) + 0.0 AS v0, round(b / n, 6) + 0.0 AS v1, round(1 / n, 6) + 0.0 AS v2 FROM n",
     "s16_vector_table": "SELECT vec_id, len(embedding)::INT AS dim FROM embeddings",
