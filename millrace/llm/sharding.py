@@ -17,9 +17,11 @@ without rows commits a version without shards.
 
 from __future__ import annotations
 
+import math
 import uuid
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,10 +69,13 @@ class ShardStore:
         top = self._path(f"{self.root}/manifests")
         self._fs.mkdirs(top)
         final = self._path(f"{self.root}/manifests/v{new:09d}")
-        if self._fs.exists(final):
+        try:
+            self._context.rename(self._path(aside), final, self._plain)  # never replaces
+        except Py4JJavaError as e:
+            if "already exists" not in str(e.java_exception) and not self._fs.exists(final):
+                raise
             self._fs.delete(self._path(aside), True)
-            raise CommitConflict(f"version {new} exists")
-        self._context.rename(self._path(aside), final, self._plain)
+            raise CommitConflict(f"version {new} exists") from None
         return new
 
     # -- writing
@@ -85,7 +90,7 @@ class ShardStore:
         return sorted(found)
 
     def _tier(self):
-        steps = F.ln(F.col("bytes") / F.lit(self.base)) / F.lit(__import__("math").log(self.fanout))
+        steps = F.ln(F.col("bytes") / F.lit(self.base)) / F.lit(math.log(self.fanout))
         return F.greatest(F.lit(0), F.floor(steps) + 1).cast("int")
 
     def _listed(self, files: list[tuple[str, int]], seq: int) -> DataFrame:
