@@ -7,14 +7,20 @@ only text which may repeat is ever sorted:
    of ``LENGTH`` bytes the leftmost smallest one is its *anchor*.  Equal
    windows have equal anchors at equal offsets, so an anchor whose gram occurs
    nowhere else rules out all its windows.  This drops unique text unsorted.
-2. The suffixes that share an anchor gram form one suffix bucket.  All members
-   of a bucket are aligned on their anchor, so two suffixes compared are always
-   congruent and the difference cover needs just one residue class: prefix
-   sums sampled at every column give each sampled suffix its name.
-3. Buckets are sorted one block at a time; ties of any length are resolved by
-   comparing names, never by walking the texts.  A bucket of more than
-   ``BLOCK_ROWS`` members is counted by distributed aggregation instead, so no
-   task ever holds an unbounded bucket.
+2. The suffixes that share an anchor gram form one suffix bucket; buckets are
+   sorted one block at a time, in bounded memory.  All members of a bucket are
+   laid out around their anchor, so two suffixes ever compared are congruent
+   modulo any period: the only difference the cover has to cover is 0, and one
+   residue class, every ``COVER``-th column, is a difference cover.
+3. Ranks of the cover sample come first, for 8, 16, 32, ... bytes by pairing
+   ranks of half the length.  A suffix then sorts by its first word, the rank
+   of the sampled suffix inside it and its last word, so ties of any length
+   cost the same three comparisons and texts are never walked.  Ranks compare
+   bytes, not hashes.
+4. A bucket of more than ``BLOCK_ROWS`` members is sorted alone, a column at a
+   time, by rolling 64-bit names of its windows, which takes a few words per
+   member; one of more than ``HOT_ROWS`` is counted by distributed aggregation
+   over the same names, so no task ever holds an unbounded bucket.
 
 Copies of a whole text are one text with a count.  Null is an empty text;
 texts under ``LENGTH`` bytes lose nothing.  Rows repeated under one
@@ -36,9 +42,13 @@ from millrace.llm._work import materialize, text_rows
 
 GRAM = 32
 #: Texts are hashed in slices of at most this many bytes, overlapping by a window.
-SLICE = 1 << 22
-#: A bucket with more members is aggregated across tasks instead of in one.
-BLOCK_ROWS = 8192
+SLICE = 1 << 20
+#: The cover sample is every so many columns, the bytes of one 64-bit word.
+COVER = 8
+#: Members of the buckets that are ranked together.
+BLOCK_ROWS = 1024
+#: A bucket with more members is aggregated across tasks instead of sorted in one.
+HOT_ROWS = 100_000
 
 
 @lru_cache(maxsize=2)
@@ -157,11 +167,19 @@ _CTX = "h long, nid long, pos long, lo int, hi int, ctx binary"
 _CTX_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
 
+def _matrix(t: pa.Table, width: int) -> np.ndarray:
+    """The contexts as rows of bytes, on Arrow's own buffer."""
+    a = t["ctx"].combine_chunks()
+    a = a.chunk(0) if isinstance(a, pa.ChunkedArray) else a
+    at = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1]
+    return np.frombuffer(a.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(-1, width)
+
+
 def _windows(t: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Name of every member's window at each column, and which columns hold one."""
     reach = length - GRAM
     width = reach + length
-    x = np.frombuffer(b"".join(t["ctx"].to_pylist()), np.uint8).reshape(-1, width)
+    x = _matrix(t, width)
     sums = np.zeros((len(x), width + 1), np.uint64)
     np.cumsum(_names_table(width)[x + np.arange(width, dtype=np.int64) * 256], axis=1, out=sums[:, 1:])
     names = sums[:, length:] - sums[:, : reach + 1]
@@ -170,60 +188,122 @@ def _windows(t: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
     return names, ok
 
 
+def _ranks(high: np.ndarray, low: np.ndarray | None = None) -> np.ndarray:
+    """Dense rank of every cell within its column; of pairs of ranks, where two are given."""
+    key = high if low is None else (high << np.int64(32)) | low
+    order = np.argsort(key, axis=0)
+    s = np.take_along_axis(key, order, axis=0)
+    steps = np.zeros(key.shape, np.int64)
+    np.cumsum(s[1:] != s[:-1], axis=0, out=steps[1:])
+    out = np.empty(key.shape, np.int64)
+    np.put_along_axis(out, order, steps, axis=0)
+    return out
+
+
+def _cover_ranks(words: np.ndarray, length: int) -> np.ndarray:
+    """Ranks of the sampled suffixes to ``length`` bytes, a multiple of ``COVER``, by doubling."""
+    of = {1: words}
+    size, want = 1, length // COVER
+    while 2 * size <= want:
+        half = of[size]
+        of[2 * size] = _ranks(half[:, :-size], half[:, size:])
+        size *= 2
+    got, out = size, of[size]
+    while got < want:
+        size //= 2
+        if got + size <= want:
+            rest = of[size][:, got:]
+            n = min(out.shape[1], rest.shape[1])
+            out, got = _ranks(out[:, :n], rest[:, :n]), got + size
+    return out
+
+
 def _mark(t: pa.Table, length: int) -> np.ndarray:
-    """For each member and column: is its window also another member's?  Rows come sorted by bucket."""
-    names, ok = _windows(t, length)
-    h = t["h"].to_numpy()
-    first = np.r_[True, h[1:] != h[:-1]]
-    bucket = np.cumsum(first) - 1
-    size = np.bincount(bucket)[bucket]
-    hit = np.zeros(ok.shape, bool)
-    two = np.flatnonzero(first & (size == 2))
-    hit[two] = hit[two + 1] = (names[two] == names[two + 1]) & ok[two] & ok[two + 1]
-    many = np.flatnonzero(size > 2)
-    if len(many):
-        key = names[many] ^ (bucket[many].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None]
-        key[~ok[many]] = np.random.Generator(np.random.PCG64(len(many))).integers(0, 2**64, int((~ok[many]).sum()), np.uint64)
-        order = np.argsort(key, axis=0)
-        ranked = np.take_along_axis(key, order, axis=0)
-        same = ranked[1:] == ranked[:-1]
-        tied = np.zeros(key.shape, bool)
-        tied[1:] |= same
-        tied[:-1] |= same
-        back = np.zeros(key.shape, bool)
-        np.put_along_axis(back, order, tied, axis=0)
-        hit[many] = back & ok[many]
+    """For each member and column: is its window also another member's?  Members of whole buckets.
+
+    Every window holds its anchor gram, so equal windows of a column are of
+    one bucket and the buckets of a block can be ranked together.
+    """
+    reach = length - GRAM
+    width = reach + length
+    x = _matrix(t, width)
+    word = np.zeros((len(x), width - COVER + 1), np.uint64)
+    for k in range(COVER):
+        word = (word << np.uint64(8)) | x[:, k : width - COVER + 1 + k]
+    first = _ranks(word)
+    deep = (length - COVER) // COVER * COVER
+    cover = _cover_ranks(first[:, ::COVER], deep)
+    at = np.arange(reach + 1)
+    inside = -(-at // COVER)
+    rank = _ranks(first[:, at], cover[:, inside])
+    for end in (length - COVER, length - 2 * COVER)[: 2 if length % COVER else 1]:
+        rank = _ranks(rank, first[:, at + end])
+    offset = reach - at
+    ok = (offset >= t["lo"].to_numpy()[:, None]) & (offset <= t["hi"].to_numpy()[:, None])
+    slot = rank + at * len(x)
+    count = np.bincount(slot[ok], minlength=len(x) * (reach + 1))
+    return ok & (count[slot] > 1)
+
+
+def _mark_large(t: pa.Table, length: int) -> np.ndarray:
+    """As ``_mark`` for one large bucket: its windows' names roll from column to column."""
+    reach = length - GRAM
+    width = reach + length
+    x = _matrix(t, width)
+    table = _names_table(width).reshape(width, 256)
+    lo, hi = t["lo"].to_numpy(), t["hi"].to_numpy()
+    name = np.zeros(len(x), np.uint64)
+    for k in range(length):
+        name += table[k][x[:, k]]
+    hit = np.zeros((len(x), reach + 1), bool)
+    for c in range(reach + 1):
+        rows = np.flatnonzero((lo <= reach - c) & (reach - c <= hi))
+        order = rows[np.argsort(name[rows], kind="stable")]
+        same = name[order[1:]] == name[order[:-1]]
+        hit[order[1:][same], c] = hit[order[:-1][same], c] = True
+        if c < reach:
+            name += table[c + length][x[:, c + length]] - table[c][x[:, c]]
     return hit
 
 
-def _sort_blocks(length: int):
+def _sort_blocks(length: int, block_rows: int):
     reach = length - GRAM
 
-    def done(t: pa.Table):
-        keys = np.stack([t[c].to_numpy() for c in ("h", "nid", "pos")])
-        t = t.filter(pa.array(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))  # copies of one text
-        hit = _mark(t, length)
+    def marks(t: pa.Table, hit: np.ndarray):
         rows = np.flatnonzero(hit.any(axis=1))
         bits = [x.tobytes() for x in np.packbits(hit[rows], axis=1)]
         return pa.RecordBatch.from_arrays([pa.array(t["nid"].to_numpy()[rows]), pa.array(t["pos"].to_numpy()[rows] - reach), pa.array(bits, pa.binary())], names=["nid", "base", "bits"])
 
+    def done(t: pa.Table):
+        keys = np.stack([t[c].to_numpy() for c in ("h", "nid", "pos")])
+        t = t.filter(pa.array(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))  # copies of one text
+        h = t["h"].to_numpy()
+        bounds = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
+        large = np.diff(bounds) > block_rows
+        small = t.filter(pa.array(np.repeat(~large, np.diff(bounds))))
+        if len(small):
+            yield marks(small, _mark(small, length))
+        for k in np.flatnonzero(large):
+            one = t.slice(bounds[k], bounds[k + 1] - bounds[k])
+            yield marks(one, _mark_large(one, length))
+
     def run(batches):
         held: list[pa.RecordBatch] = []
         n = 0
         for b in batches:
-            for k in range(0, len(b), BLOCK_ROWS):
-                held.append(b.slice(k, BLOCK_ROWS))
+            for k in range(0, len(b), block_rows):
+                held.append(b.slice(k, block_rows))
                 n += len(held[-1])
-                if n < BLOCK_ROWS:
+                if n < block_rows:
                     continue
                 t = pa.Table.from_batches(held)
                 h = t["h"].to_numpy()
-                last = int(np.searchsorted(h, h[-1]))  # the last bucket may go on
+                last = int(np.argmax(h == h[-1]))  # the last bucket may go on
                 if last:
-                    yield done(t.slice(0, last))
+                    yield from done(t.slice(0, last))
                     held, n = t.slice(last).to_batches(), len(t) - last
         if n:
-            yield done(pa.Table.from_batches(held))
+            yield from done(pa.Table.from_batches(held))
 
     return run
 
@@ -234,8 +314,8 @@ def _spell(length: int):
 
     def run(batches):
         for b in batches:
-            for k in range(0, len(b), BLOCK_ROWS):
-                t = pa.Table.from_batches([b.slice(k, BLOCK_ROWS)])
+            for k in range(0, len(b), 2048):
+                t = pa.Table.from_batches([b.slice(k, 2048)])
                 names, ok = _windows(t, length)
                 row, col = np.nonzero(ok)
                 yield pa.RecordBatch.from_arrays([pa.array(t["h"].to_numpy()[row]), pa.array(col.astype(np.int32)), pa.array(names[row, col].view(np.int64)), pa.array(t["nid"].to_numpy()[row]), pa.array(t["pos"].to_numpy()[row] - reach + col)], names=["h", "col", "name", "nid", "base"])
@@ -280,7 +360,7 @@ def _cut(length: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, block_rows: int = BLOCK_ROWS, hot_rows: int = HOT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``, one row per input row."""
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
@@ -292,11 +372,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     where = F.struct("nid", "pos")
     anchors = long.mapInArrow(_find(length), "h long, nid long, pos long")
     anchors = anchors.select("h", "nid", "pos", F.min(where).over(every).alias("lo"), F.max(where).over(every).alias("hi"), F.count(F.lit(1)).over(every).alias("m"))
-    anchors = materialize(anchors.where("lo <> hi").select("h", "nid", "pos", (F.col("m") > BLOCK_ROWS).alias("large")), "anchors")
+    anchors = materialize(anchors.where("lo <> hi").select("h", "nid", "pos", (F.col("m") > hot_rows).alias("large")), "anchors")
     by_text = anchors.groupBy("nid").agg(F.collect_set(F.struct("h", "pos", "large")).alias("hits"))
     here = long.join(by_text, "nid").select("nid", "raw", "hits")
     ctx = here.select("nid", "raw", F.expr("filter(hits, x -> not x.large)").alias("hits")).where("size(hits) > 0").mapInArrow(_contexts(length), _CTX)
-    marks = ctx.repartition("h").sortWithinPartitions("h", "nid", "pos").mapInArrow(_sort_blocks(length), "nid long, base long, bits binary")
+    marks = ctx.repartition("h").sortWithinPartitions("h", "nid", "pos").mapInArrow(_sort_blocks(length, block_rows), "nid long, base long, bits binary")
 
     if anchors.where("large").limit(1).count():
         wide = here.select("nid", "raw", F.expr("filter(hits, x -> x.large)").alias("hits")).where("size(hits) > 0").mapInArrow(_contexts(length), _CTX)

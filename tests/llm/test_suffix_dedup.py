@@ -38,12 +38,18 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("block_rows", [8192, 4])
-def test_against_all_strings(spark, monkeypatch, block_rows):
-    monkeypatch.setattr(suffix_dedup, "BLOCK_ROWS", block_rows)
+@pytest.mark.parametrize(("block_rows", "hot_rows"), [(4096, 200_000), (3, 200_000), (3, 6)])
+def test_against_all_strings(spark, block_rows, hot_rows):
     rows = corpus(3)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert sorted(map(tuple, remove_repeats(df).collect())) == brute(rows)
+    assert sorted(map(tuple, remove_repeats(df, block_rows=block_rows, hot_rows=hot_rows).collect())) == brute(rows)
+
+
+@pytest.mark.parametrize("length", [64, 75, 131])
+def test_other_lengths(spark, length):
+    rows = corpus(6)[:70]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, remove_repeats(df, length=length).collect())) == brute(rows, length)
 
 
 def test_slices_of_a_long_text(spark, monkeypatch):
