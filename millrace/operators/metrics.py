@@ -11,6 +11,9 @@ from millrace.functions.arrays import masked_sum, total
 
 BOOTSTRAPS = 1000
 
+#: Resampled positions that a worker keeps for groups of the same size (4 bytes each).
+KEPT_POSITIONS = 1 << 24
+
 
 def reduce_metrics(long: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
     """Keys that contain "max" keep the largest value, "min" the smallest, others the mean (substring tests, in that order)."""
@@ -73,9 +76,11 @@ def throughput(tokens: DataFrame, seconds: float, workers: int) -> DataFrame:
 
 
 def bootstrap_table(n: int, size: int, seed: int = 42, rounds: int = BOOTSTRAPS) -> np.ndarray:
-    """Resampled positions, the same for every group of ``n``: the seed is set anew for each call."""
-    rng = np.random.RandomState(seed)
-    return np.stack([rng.choice(n, size=size, replace=True) for _ in range(rounds)])
+    """Resampled positions, the same for every group of ``n``: the seed is set anew for each call.
+
+    One call draws what ``rounds`` calls of ``choice`` with replacement would.
+    """
+    return np.random.RandomState(seed).randint(0, n, (rounds, size))
 
 
 def subset_sizes(n: int) -> list[int]:
@@ -90,32 +95,35 @@ def subset_sizes(n: int) -> list[int]:
 def _bootstrap(seed: int, votes: bool):
     tables: dict[tuple[int, int], np.ndarray] = {}
 
-    def majority(idx, vals, preds):
-        out = np.empty(len(idx))
-        for r, row in enumerate(idx):
-            count, first = {}, {}
-            for i in row:
-                count[preds[i]] = count.get(preds[i], 0) + 1
-                first.setdefault(preds[i], vals[i])
-            out[r] = first[max(count, key=count.get)]
-        return out
+    def positions(n, k):
+        if (n, k) not in tables:
+            made = bootstrap_table(n, k, seed).astype(np.int32)
+            if sum(t.size for t in tables.values()) + made.size > KEPT_POSITIONS:
+                tables.clear()
+            tables[n, k] = made
+        return tables[n, k]
+
+    def majority(idx, vals, codes):
+        """Value at the first position whose vote is as frequent as any."""
+        cells = codes[idx] + np.arange(len(idx))[:, None] * (codes.max() + 1)
+        often = np.bincount(cells.ravel())[cells]
+        first = (often == often.max(1, keepdims=True)).argmax(1)
+        return vals[idx[np.arange(len(idx)), first]]
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         vals = pdf["value"].to_numpy(float)
-        preds = pdf["pred"].tolist() if votes else []
+        codes = pd.factorize(pdf["pred"], use_na_sentinel=False)[0] if votes else None
         n = len(vals)
         rows = [(f"mean@{n}", vals.mean())]
         if n > 1:
             rows.append((f"std@{n}", vals.std()))
         for k in subset_sizes(n):
-            if (n, k) not in tables:
-                tables[n, k] = bootstrap_table(n, k, seed)
-            idx = tables[n, k]
+            idx = positions(n, k)
             drawn = vals[idx]
             stats = {"best": drawn.max(1), "worst": drawn.min(1)}
             if votes:
-                stats["maj"] = majority(idx, vals, preds)
+                stats["maj"] = majority(idx, vals, codes)
             for name, x in stats.items():
                 rows += [(f"{name}@{k}/mean", x.mean()), (f"{name}@{k}/std", x.std())]
         return pd.DataFrame([(key[0], key[1], key[2], m, float(v)) for m, v in rows], columns=["data_source", "prompt", "var", "metric", "value"])
@@ -127,8 +135,8 @@ def validation_metrics(samples: DataFrame, seed: int = 42, votes: bool = False)
     """``(data_source, var, metric, value)``: resampled statistics of each prompt, then their mean over prompts.
 
     Samples: ``data_source, prompt, var, pos, value`` and ``pred`` for
-    majority votes.  A group is one prompt's few samples, so it fits a task
-    by construction; values that are not numbers take no part.
+    majority votes.  A group is one prompt's samples and is held by one task;
+    values that are not numbers take no part.
     """
     rows = samples.where(F.col("value").isNotNull()).select("data_source", "prompt", "var", "pos", "value", *(["pred"] if votes else []))
     each = rows.groupBy("data_source", "prompt", "var").applyInPandas(_bootstrap(seed, votes), "data_source string, prompt string, var string, metric string, value double")
