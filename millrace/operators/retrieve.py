@@ -10,6 +10,12 @@ from millrace.functions import text as T
 #: Queries of one search request are broadcast up to this many rows.
 BROADCAST_QUERIES = 4096
 
+#: Terms of all queries of a term search are broadcast up to this many.
+BROADCAST_TERMS = 200_000
+
+#: Distinct n-grams of evidence are broadcast up to this many.
+BROADCAST_GRAMS = 200_000
+
 
 def fetch(corpus: DataFrame, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Documents at ``(request, ids)`` in the order asked, repeats included."""
@@ -40,26 +46,55 @@ def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, term, tf, dl)``: term counts and document lengths."""
-    words = docs.select(F.col(id_col).alias("doc_id"), T.tokens(F.col(text_col)).alias("ws"))
-    return words.select("doc_id", F.size("ws").alias("dl"), F.explode("ws").alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    """``(doc_id, term, tf, dl)``: term counts and document lengths, counted inside each document by runs of its sorted words."""
+
+    def runs(ws):
+        places = F.when(F.size(ws) > 0, F.sequence(F.lit(0), F.size(ws) - 1)).otherwise(F.array().cast("array<int>"))
+        starts = F.filter(places, lambda i: (i == 0) | (F.get(ws, i) != F.get(ws, i - 1)))
+        return T.let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(ws, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(ws)) - i).cast("long").alias("tf"), F.size(ws).alias("dl"))))
+
+    terms = T.let(F.sort_array(T.tokens(F.col(text_col))), runs)
+    return docs.select(F.col(id_col).alias("doc_id"), F.explode(terms).alias("x")).select("doc_id", "x.term", "x.tf", "x.dl")
 
 
 def bm25(queries: DataFrame, index: DataFrame, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
-    """``k`` best documents of each query by BM25; fewer hits return all.  ``queries (query_id, text)``."""
+    """``k`` best documents of each query by BM25; fewer hits return all.  ``queries (query_id, text)``.
+
+    Postings of query terms are dealt by document, so that a document's scores
+    are summed where it is, and each task ranks before the rest is shuffled.
+    """
     docs = index.groupBy("doc_id").agg(F.first("dl").alias("dl"))
     stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     terms = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    hit = index.join(terms.select("term").distinct(), "term", "left_semi")
+    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    small = F.broadcast if few else lambda df: df
+    hit = index.join(small(terms.select("term").distinct()), "term", "left_semi")
     df = hit.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    rows = hit.join(terms, "term").join(df, "term").crossJoin(F.broadcast(stats))
+    weights = terms.join(df, "term").crossJoin(F.broadcast(stats))
     idf = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl"))) * F.col("qtf")
+    weights = weights.select("query_id", "term", (idf * F.col("qtf")).alias("w"), "avgdl")
+    rows = hit.repartition("doc_id").join(small(weights), "term")
+    part = F.col("w") * F.col("tf") / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     scored = rows.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def ngram_overlap(docs: DataFrame, evidence: DataFrame, n: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id, overlap)``: share of each document's n-grams, repeats counted, that any evidence text has; 0 without any.
+
+    N-grams are exploded and looked up by hash, so the work grows with the
+    length of the texts; counts are summed where a document is.
+    """
+    grams = lambda c: T.let(T.tokens(F.col(c)), lambda ws: T.ngrams(ws, n))
+    known = evidence.select(F.explode(grams(text_col)).alias("g")).distinct().withColumn("hit", F.lit(1))
+    if known.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS:
+        known = F.broadcast(known)
+    rows = docs.select(id_col, F.explode_outer(grams(text_col)).alias("g")).join(known, "g", "left")
+    share = F.count("hit") / F.greatest(F.count("g"), F.lit(1))
+    return rows.groupBy(id_col).agg(share.alias("overlap"))
+
+
 def fan_out(tasks: DataFrame) -> DataFrame:
     """A row per query of ``(task_id, queries)``."""
     return tasks.select("task_id", F.posexplode("queries").alias("pos", "query"))

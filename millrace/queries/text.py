@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.operators import retrieve as R
 from millrace.sources.views import TRAJ, r6, table, trajectories
 
 
@@ -72,8 +73,9 @@ def t11_dedup_rubrics(spark, sf_dir):
 
 
 def t12_ngram_overlap(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.substring("text", 1, 400).alias("a"), F.substring("text", 200, 400).alias("e"))
-    return d.select("doc_id", r6(T.ngram_overlap(F.col("a"), F.col("e"), 4)).alias("overlap"))
+    """Share of each document's four-word sequences that benchmark texts have."""
+    out = R.ngram_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 4)
+    return out.select("doc_id", r6(F.col("overlap")).alias("overlap"))
 
 
 def t13_tokens(spark, sf_dir):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from millrace import queries as registry
-from millrace.operators import metrics
+from millrace.operators import metrics, retrieve
 from test_queries import plain
 
 SF = "/root/testdata/sf0.01"
@@ -65,3 +65,29 @@ def test_majority_takes_first_of_the_most_frequent(spark):
             vote = max(drawn, key=drawn.count)  # the first drawn of equally frequent ones
             best.append(values[row[drawn.index(vote)]])
         assert got[f"maj@{k}/mean"] == pytest.approx(np.mean(best)) and got[f"maj@{k}/std"] == pytest.approx(np.std(best))
+
+
+_TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z]+)?')"
+
+
+@needs_tables
+def test_overlap_covers_whole_documents(spark, duck):
+    grams = "SELECT {k} AS k, array_to_string(w[i:i + 3], ' ') AS g FROM (SELECT {k}, w, unnest(range(1, len(w) - 2)) AS i FROM (SELECT {k}, {w} AS w FROM {t}) WHERE len(w) > 3)"
+    own, known = grams.format(k="doc_id", w=_TOKENS, t="documents"), grams.format(k="item_id", w=_TOKENS, t="benchmark")
+    hits = f"SELECT k, count(*) AS n, count(*) FILTER (g IN (SELECT g FROM ({known}))) AS hits FROM ({own}) GROUP BY k"
+    rows = same(spark, duck, "t12_ngram_overlap", f"SELECT doc_id, round(coalesce(hits / n::DOUBLE, 0.0), 6) + 0.0 AS overlap FROM documents LEFT JOIN ({hits}) ON k = doc_id")
+    assert len(rows) == 1000
+
+
+def test_overlap_sees_late_copies(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(400)) + " a b c d e"), (2, "a b c"), (3, None), (4, "a b c d x a b c d")], "doc_id long, text string")
+    evidence = spark.createDataFrame([("A, b c d.",), ("b c d e",)], "text string")
+    want = {1: 2 / 402, 2: 0.0, 3: 0.0, 4: 2 / 6}
+    for most in (retrieve.BROADCAST_GRAMS, 0):
+        monkeypatch.setattr(retrieve, "BROADCAST_GRAMS", most)
+        assert {r["doc_id"]: r["overlap"] for r in retrieve.ngram_overlap(docs, evidence, 4).collect()} == pytest.approx(want)
+
+
+@needs_tables
+def test_bm25_searches_for_whole_texts(spark, duck):
+    same(spark, duck, "j2_bm25", SQL["j2_bm25"].replace("array_to_string(string_split(text, ' ')[1:6], ' ')", "text"))
