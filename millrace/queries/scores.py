@@ -31,7 +31,7 @@ def d5_format_score(spark, sf_dir):
 
 
 def d6_short_form(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, F.pmod("doc_id", F.lit(13)).cast("int")), " ").alias("a"), F.when(F.col("doc_id") % 4 == 0, "other").otherwise(F.col("text")).alias("info")).where("doc_id % 3 < 2")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.array_join(F.slice(F.split("text", " "), 1, F.pmod("doc_id", F.lit(13)).cast("int")), " ").alias("a"), F.when(F.col("doc_id") % 4 == 0, "other").otherwise(F.col("text")).alias("info"))
     return d.select("doc_id", S.short_form_reward(F.concat(F.lit("<answer>"), "a", F.lit("</answer>")), F.concat(F.lit("<information>"), "info", F.lit("</information>"))).alias("reward"))
 
 

@@ -91,3 +91,8 @@ def test_overlap_sees_late_copies(spark, monkeypatch):
 @needs_tables
 def test_bm25_searches_for_whole_texts(spark, duck):
     same(spark, duck, "j2_bm25", SQL["j2_bm25"].replace("array_to_string(string_split(text, ' ')[1:6], ' ')", "text"))
+
+
+@needs_tables
+def test_short_form_rewards_all_documents(spark, duck):
+    assert len(same(spark, duck, "d6_short_form", SQL["d6_short_form"].replace(" WHERE doc_id % 3 < 2", ""))) == 1000
