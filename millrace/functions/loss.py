@@ -202,13 +202,14 @@ def sampling_weights(df: DataFrame, method: str = "pow", power: float = 2.0, sco
     return rows.withColumn("weight", w + 1e-8).drop("hi", "lo")
 
 
-def resample(weighted: DataFrame, size: int, seed: int = 0, buckets: int = 64, id_col: str = "row_id") -> DataFrame:
-    """``(draw, id)``: ``size`` draws with replacement in proportion to ``weight``.
+def resample(weighted: DataFrame, size: int | None = None, seed: int = 0, buckets: int = 64, id_col: str = "row_id") -> DataFrame:
+    """``(draw, id)``: ``size`` draws (as many as rows by default) with replacement in proportion to ``weight``.
 
     Hashed uniforms meet cumulative weights by bucket: each row's interval of
     cumulative weight is split at bucket bounds, so the range condition is an
     equi-join on the bucket and no side is gathered.
     """
+    size = weighted.count() if size is None else size
     parts = weighted.select(F.col(id_col), "weight", F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int").alias("p"))
     sums = parts.groupBy("p").agg(F.sum("weight").alias("w"))
     starts = sums.select("p", (F.sum("w").over(Window.orderBy("p")) - F.col("w")).alias("base"), F.sum("w").over(Window.partitionBy()).alias("all"))  # ``buckets`` rows

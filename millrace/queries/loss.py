@@ -65,7 +65,7 @@ def _weights(method):
 
 def l9_resample(spark, sf_dir):
     rows = rollouts(spark, sf_dir)
-    return loss.resample(loss.sampling_weights(rows), 10_000, seed=3).join(rows, "row_id").select("draw", "row_id", "score")
+    return loss.resample(loss.sampling_weights(rows), seed=3).join(rows, "row_id").select("draw", "row_id", "score")
 
 
 def _distill(alpha, tail):

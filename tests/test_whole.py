@@ -96,3 +96,10 @@ def test_bm25_searches_for_whole_texts(spark, duck):
 @needs_tables
 def test_short_form_rewards_all_documents(spark, duck):
     assert len(same(spark, duck, "d6_short_form", SQL["d6_short_form"].replace(" WHERE doc_id % 3 < 2", ""))) == 1000
+
+
+def test_resampling_draws_as_many_as_rows(spark, tmp_path):
+    spark.range(250).selectExpr("id AS event_id", "id AS user_id", "'s' AS event_type", "CAST(id % 7 AS DOUBLE) AS value").write.parquet(str(tmp_path / "events.parquet"))
+    rows = QUERIES["l9_resample"](spark, str(tmp_path)).collect()
+    assert sorted(r["draw"] for r in rows) == list(range(250))
+    assert all(r["score"] == r["row_id"] % 7 and r["score"] > 0 for r in rows)
