@@ -134,6 +134,14 @@ def unpad(df: DataFrame) -> DataFrame:
     return df.where("NOT pad")
 
 
+def collate(df: DataFrame, size: int, id_col: str = "row_id") -> DataFrame:
+    """Consecutive batches of ``size`` rows, each a row of ``chunk`` and a list for every column."""
+    rows = split(df, size, id_col)
+    cells = F.array_sort(F.collect_list(F.struct("ord", *[F.col(c).alias(f"c{i}") for i, c in enumerate(df.columns)])))
+    lists = rows.groupBy("chunk").agg(cells.alias("cells"))
+    return lists.select("chunk", *[F.col(f"cells.c{i}").alias(c) for i, c in enumerate(df.columns)])
+
+
 def fold(df: DataFrame, size: int, value: str, id_col: str = "row_id") -> DataFrame:
     """Consecutive rows as arrays of ``size`` values."""
     rows = split(df, size, id_col)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.operators import batch as b
@@ -23,7 +22,7 @@ def b3_shuffled_slice(spark, sf_dir):
 
 
 def b4_partition(spark, sf_dir):
-    return b.partition_of(rollouts(spark, sf_dir).where("row_id < 9998"), 3).select("row_id", "ord")
+    return b.partition_of(rollouts(spark, sf_dir), 3).select("row_id", "ord")
 
 
 def b5_select_positions(spark, sf_dir):
@@ -69,7 +68,7 @@ def b11_pad(spark, sf_dir):
 
 
 def b11_unpad(spark, sf_dir):
-    padded, _ = b.pad_to_divisor(rollouts(spark, sf_dir).where("row_id < 10"), 64)
+    padded, _ = b.pad_to_divisor(rollouts(spark, sf_dir), 64)
     return b.unpad(padded).select("row_id").unionByName(padded.where("pad").groupBy("row_id").count().select("row_id"))
 
 
@@ -83,10 +82,8 @@ def b12_unfold(spark, sf_dir):
 
 
 def b13_collate(spark, sf_dir):
-    """Rows as columns of lists: one row per data source, its first five scores in order."""
-    top = F.row_number().over(Window.partitionBy("data_source").orderBy("row_id"))
-    rows = rollouts(spark, sf_dir).withColumn("i", top).where("i <= 5")
-    return rows.groupBy("data_source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "row_id"))), lambda x: x["row_id"].cast("string")), ",").alias("ids"))
+    """Rows as columns of lists: one row per batch of 100, all columns in the order of ids."""
+    return b.collate(rollouts(spark, sf_dir), 100)
 
 
 def b14_mini_batches(spark, sf_dir):

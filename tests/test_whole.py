@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from millrace import queries as registry
-from millrace.operators import metrics, retrieve
+from millrace.operators import batch, metrics, retrieve
 from test_queries import plain
 
 SF = "/root/testdata/sf0.01"
@@ -103,3 +103,30 @@ def test_resampling_draws_as_many_as_rows(spark, tmp_path):
     rows = QUERIES["l9_resample"](spark, str(tmp_path)).collect()
     assert sorted(r["draw"] for r in rows) == list(range(250))
     assert all(r["score"] == r["row_id"] % 7 and r["score"] > 0 for r in rows)
+
+
+@needs_tables
+def test_collate_carries_all_rows(spark, duck):
+    rows = sorted(QUERIES["b13_collate"](spark, SF).collect(), key=lambda r: r["chunk"])
+    got = [x for r in rows for x in zip(r["row_id"], r["uid"], r["data_source"], r["score"], r["len"], strict=True)]
+    assert got == duck.execute("SELECT event_id, user_id, event_type, value, 1 + event_id % 16 FROM events ORDER BY 1").fetchall()
+    assert [len(r["row_id"]) for r in rows] == [100] * 100
+
+
+@needs_tables
+def test_partition_is_a_fifth_of_all_rows(spark, duck):
+    assert len(same(spark, duck, "b4_partition", SQL["b4_partition"].replace(" WHERE row_id < 9998", ""))) == 2000
+
+
+@needs_tables
+def test_unpad_returns_the_whole_table(spark, duck):
+    assert len(same(spark, duck, "b11_unpad", "SELECT event_id AS row_id FROM events UNION ALL SELECT event_id FROM events WHERE event_id < (SELECT (64 - count(*) % 64) % 64 FROM events)")) == 10_048
+
+
+def test_small_batches(spark):
+    ten = spark.range(10).withColumnRenamed("id", "row_id")
+    padded, added = batch.pad_to_divisor(ten, 64)  # more to add than there is
+    assert added == 54 and padded.count() == 64
+    assert sorted(r["row_id"] for r in batch.unpad(padded).collect()) == list(range(10))
+    parts = [sorted(r["row_id"] for r in batch.partition_of(ten.where("row_id < 8"), i, 3).collect()) for i in range(3)]
+    assert parts == [[0, 1], [2, 3], [4, 5]]  # the two rows over are in none
