@@ -130,3 +130,8 @@ def test_small_batches(spark):
     assert sorted(r["row_id"] for r in batch.unpad(padded).collect()) == list(range(10))
     parts = [sorted(r["row_id"] for r in batch.partition_of(ten.where("row_id < 8"), i, 3).collect()) for i in range(3)]
     assert parts == [[0, 1], [2, 3], [4, 5]]  # the two rows over are in none
+
+
+@needs_tables
+def test_append_keeps_all_rows(spark, duck):
+    assert len(same(spark, duck, "r6_append", "SELECT event_id AS row_id FROM events")) == 10_000
