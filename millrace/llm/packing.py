@@ -16,29 +16,34 @@ from __future__ import annotations
 
 import os
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm._work import materialize, text_rows
 
 GROUP_PIECES = 50_000
-#: Word cache of one Python worker; emptied when full, so its memory is bounded.
-CACHE_WORDS = 800_000
-_TAIL = b".,!;:?"
+#: Words that one Python worker remembers, about 250 bytes each.
+CACHE_WORDS = 1_200_000
+#: Bytes of text that are split and numbered together.
+SLICE = 1 << 23
+_TAIL = ".,!;:?"
+_LATIN = "\u024f"
 
 
 class WordTokenizer:
-    """A word-end BPE tokenizer that encodes every distinct word once.
+    """A word-end BPE tokenizer that encodes every distinct word of a slice of text once.
 
     The vocabulary's pre-tokeniser never joins characters across ASCII white
     space and drops the space, so a text's ids are its words' ids in order.
-    Words of letters only, which are one pre-token each, are encoded many at a
-    time and told apart by the word-end mark of their last id; anything else
-    is encoded by itself.
+    Words are split and numbered by Arrow; only words in neither generation of
+    the cache reach the tokenizer.  A new word enters the young generation and
+    a word met again returns to it; when the young one is full the old one is
+    dropped, so frequent words stay however many rare ones pass, in bounded
+    memory.
     """
 
     _of_path: dict[str, WordTokenizer] = {}
@@ -57,16 +62,18 @@ class WordTokenizer:
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.cache: dict[bytes, bytes] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
-    def _one(self, word: bytes) -> bytes:
-        ids = self.tok.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+    def _each(self, words: list[str]) -> list[bytes]:
+        """Ids of words of any kind, told apart by encoding each by itself."""
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
 
-    def _letters(self, words: list[bytes], into: dict[bytes, bytes]) -> None:
+    def _letters(self, words: list[str], into: dict[str, bytes]) -> None:
+        """Words of letters only, one pre-token each: encoded together and cut after each word-end id."""
         for k in range(0, len(words), 4000):
             some = words[k : k + 4000]
-            ids = np.array(self.tok.encode(b" ".join(some).decode(), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tok.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1) * 4
             if len(stops) == len(some) and stops[-1] == 4 * len(ids):
                 flat, at = ids.tobytes(), 0
@@ -74,75 +81,84 @@ class WordTokenizer:
                     into[w] = flat[at:stop]
                     at = stop
             else:  # a letter whose normal form is not one
-                for w in some:
-                    into[w] = self._one(w)
-
-    def learn(self, words: set[bytes]) -> dict[bytes, bytes]:
-        """Ids of all the words; what is cached stays bounded."""
-        if len(self.cache) > CACHE_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        new = [w for w in words if w not in cache]
-        split = {}
-        letters, other = set(), []
-        for w in new:
+                into.update(zip(some, self._each(some), strict=True))
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """Ids of distinct words, from the cache where it has them."""
+        if len(self.young) > CACHE_WORDS // 2:
+            self.old, self.young = self.young, {}
+        young, old = self.young, self.old
+        tails, letters, other = {}, [], []
+        for w in words:
+            if w in young:
+                continue
+            if w in old:
+                young[w] = old[w]
+                continue
             core = w.rstrip(_TAIL)
-            try:
-                plain = core.decode().isalpha()
-            except UnicodeDecodeError:
-                plain = False
-            if plain and len(core) < 200:
-                split[w] = core
-                if core not in cache:
-                    letters.add(core)
-            else:
+            # Which letters a library knows may differ beyond Latin, and then marks could join an unknown one.
+            if not core.isalpha() or len(core) > 200 or (len(core) < len(w) and core[-1] > _LATIN):
                 other.append(w)
-        self._letters(sorted(letters), cache)
-        for w, core in split.items():
-            if len(core) < len(w):
-                tail = w[len(core) :]
-                if tail not in cache:
-                    cache[tail] = self._one(tail)
-                cache[w] = cache[core] + cache[tail]
-        for w in other:
-            cache[w] = self._one(w)
-        return cache
-
-    def encode(self, raws: list[bytes]) -> list[bytes]:
-        """Little-endian 32-bit ids of each UTF-8 text."""
+                continue
+            if len(core) < len(w):  # its marks are a pre-token of their own
+                tails[w] = core
+                if core in young or core in old:
+                    young.setdefault(core, old.get(core))
+                    continue
+            letters.append(core)
+        self._letters(list(dict.fromkeys(letters)), young)
+        marks = {w[len(core) :] for w, core in tails.items()}.difference(young)
+        other += marks.difference(other)
+        young.update(zip(other, self._each(other), strict=True))
+        for w, core in tails.items():
+            young[w] = young[core] + young[w[len(core) :]]
+        return [young[w] for w in words]
+
+    def encode(self, texts: pa.StringArray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, each text followed by ``end_id``; and where texts begin."""
         # A-Z may be lowered early, but not in texts that could spell a special token.
-        words = [(raw if b"<|" in raw else raw.lower()).split() for raw in raws]
-        cache = self.learn(set(chain.from_iterable(words)))
-        return [b"".join(map(cache.__getitem__, w)) for w in words]
+        words = pc.ascii_split_whitespace(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        coded = words.flatten().dictionary_encode()
+        ids = [*self._ids(coded.dictionary.to_pylist()), np.array([end_id], "<u4").tobytes()]
+        bounds = words.offsets.to_numpy() - words.offsets[0].as_py()
+        codes = np.insert(coded.indices.to_numpy(), bounds[1:], len(ids) - 1)
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        pool, start = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        length = size[codes]
+        stop = np.cumsum(length)
+        flat = pool[np.repeat(start[codes] - stop + length, length) + np.arange(stop[-1] if len(stop) else 0)]
+        return flat, np.r_[0, stop[bounds[1:] + np.arange(len(texts))]] if len(texts) else np.zeros(1, np.int64)
 
 
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
+_PIECE_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
 
-def _pieces(path: str, end_id: int, capacity: int):
-    end = np.array([end_id], "<u4").tobytes()
-    width = 4 * capacity
+def slices(texts: pa.Array, size: int):
+    """``(first, count)`` of runs of rows of about ``size`` bytes of text; a longer text is a run of its own."""
+    total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(texts):
+        done = total[first - 1] if first else 0
+        stop = max(first + 1, int(np.searchsorted(total, done + size, side="right")))
+        yield first, stop - first
+        first = stop
+
 
+def _pieces(path: str, end_id: int, capacity: int):
     def run(batches):
         tok = WordTokenizer.get(path)
         for b in batches:
-            docs, cells = b.column(0).to_pylist(), b.column(1)
-            k = 0
-            while k < len(docs):
-                raws: list[bytes] = []
-                held, first = 0, k
-                while k < len(docs) and held < 1 << 20:
-                    raws.append(cells[k].as_buffer().to_pybytes())
-                    held += len(raws[-1])
-                    k += 1
-                out: list[list[int]] = [[] for _ in range(5)]
-                for doc, ids in zip(docs[first:k], tok.encode(raws), strict=True):
-                    ids += end
-                    for at in range(0, len(ids), width):
-                        piece = ids[at : at + width]
-                        for o, v in zip(out, (doc, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4), strict=True):
+            docs = b.column(0).to_pylist()
+            for first, count in slices(b.column(1), SLICE):
+                ids, bounds = tok.encode(b.column(1).slice(first, count), end_id)
+                out: list[list[int]] = [[] for _ in _PIECE_NAMES]
+                for doc, begin, stop in zip(docs[first : first + count], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                    for at in range(begin, stop, capacity):
+                        piece = ids[at : min(at + capacity, stop)]
+                        for o, v in zip(out, (doc, at - begin, len(piece), zlib.crc32(piece), stop - begin), strict=True):
                             o.append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=_PIECE_NAMES)
 
     return run
 
@@ -213,7 +229,7 @@ def _pack(capacity: int):
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces with their place: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
-    raw = text_rows(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
+    raw = text_rows(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).alias("raw"))
     pieces = materialize(raw.mapInArrow(_pieces(tokenizer_path, end_id, capacity), _PIECES), "pieces")
     groups = max(1, -(-pieces.count() // GROUP_PIECES))
     dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
