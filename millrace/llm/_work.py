@@ -9,9 +9,13 @@ executors and the driver.
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,14 +38,52 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}/{name}"
 
 
+@contextlib.contextmanager
+def _shuffles_end(spark: SparkSession):
+    """Shuffle files of a query go when it ends: what is written as a table needs them no more."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with _shuffles_end(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """As ``materialize``, dealt by ``key`` into as many files as a shuffle has partitions, so joins on it ship the other side only."""
+    spark = df.sparkSession
+    table = f"millrace_{name}_{uuid.uuid4().hex}"
+    with _shuffles_end(spark):
+        df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("compression", "zstd").option("path", scratch(spark, name)).saveAsTable(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # the files, which are outside the warehouse, stay
+    return out
+
+
+def slices(texts: pa.Array, size: int):
+    """``(first, count)`` of runs of rows of about ``size`` bytes of text; a longer text is a run of its own."""
+    total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(texts):
+        done = total[first - 1] if first else 0
+        stop = max(first + 1, int(np.searchsorted(total, done + size, side="right")))
+        yield first, stop - first
+        first = stop
+
+
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text)`` only, so other columns of the input can never clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

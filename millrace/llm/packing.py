@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._work import materialize, text_rows
+from millrace.llm._work import materialize, slices, text_rows
 
 GROUP_PIECES = 50_000
 #: Words that one Python worker remembers, about 250 bytes each.
@@ -134,17 +134,6 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 _PIECE_NAMES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
 
 
-def slices(texts: pa.Array, size: int):
-    """``(first, count)`` of runs of rows of about ``size`` bytes of text; a longer text is a run of its own."""
-    total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-    first = 0
-    while first < len(texts):
-        done = total[first - 1] if first else 0
-        stop = max(first + 1, int(np.searchsorted(total, done + size, side="right")))
-        yield first, stop - first
-        first = stop
-
-
 def _pieces(path: str, end_id: int, capacity: int):
     def run(batches):
         tok = WordTokenizer.get(path)

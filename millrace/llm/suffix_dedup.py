@@ -1,395 +1,241 @@
-"""Removal of every byte covered by a repeated string of ``LENGTH`` bytes.
-
-Blockwise suffix sorting with a sample that bounds memory, arranged so that
-only text which may repeat is ever sorted:
-
-1. Every position's ``GRAM``-byte string gets a content hash; in each window
-   of ``LENGTH`` bytes the leftmost smallest one is its *anchor*.  Equal
-   windows have equal anchors at equal offsets, so an anchor whose gram occurs
-   nowhere else rules out all its windows.  This drops unique text unsorted.
-2. The suffixes that share an anchor gram form one suffix bucket; buckets are
-   sorted one block at a time, in bounded memory.  All members of a bucket are
-   laid out around their anchor, so two suffixes ever compared are congruent
-   modulo any period: the only difference the cover has to cover is 0, and one
-   residue class, every ``COVER``-th column, is a difference cover.
-3. Ranks of the cover sample come first, for 8, 16, 32, ... bytes by pairing
-   ranks of half the length.  A suffix then sorts by its first word, the rank
-   of the sampled suffix inside it and its last word, so ties of any length
-   cost the same three comparisons and texts are never walked.  Ranks compare
-   bytes, not hashes.
-4. A bucket of more than ``BLOCK_ROWS`` members is sorted alone, a column at a
-   time, by rolling 64-bit names of its windows, which takes a few words per
-   member; one of more than ``HOT_ROWS`` is counted by distributed aggregation
-   over the same names, so no task ever holds an unbounded bucket.
+"""Removal of every byte covered by a repeated string of ``length`` bytes.
+
+Blockwise comparison of suffixes over a cover sample, arranged so that no
+task ever holds an unbounded bucket and no suffix is shipped:
+
+1. Every position's ``GRAM``-byte string gets a name by doubling names of 8
+   and 16 bytes.  The leftmost smallest name in a window of ``length`` bytes
+   is the window's *sample position*.  It depends on the window's bytes only,
+   so equal windows have it at equal offsets: the sample covers every pair of
+   equal windows, as a difference cover does, but at one known difference
+   instead of one that depends on the pair.
+2. The windows with one sample position are consecutive, an *entry*.  Its
+   bucket is the name of its gram, its span the bytes that its windows cover.
+   A bucket met once holds no repeated window and goes.  Where all members of
+   a bucket have one span, all their windows are repeated.  Otherwise members
+   with equal spans are settled, and one of them goes on for all.
+3. Members that go on are cut into classes of ``WIDTH`` windows.  A class's
+   bucket is the name of the bytes common to its windows, its span the few
+   bytes around them.  Step 2 is applied again.
+4. What is left are single windows, told apart by their bucket and
+   ``WIDTH - 1`` further bytes, and counted.
+
+All three rounds are counts with partial sums followed by joins, for buckets
+of every size alike: a passage in a third of all texts is merged where its
+rows are.  Names are 64-bit hashes, compared only within a bucket of another
+64-bit name, texts by one 64-bit hash; see the README for why no suffix array
+is kept.
 
 Copies of a whole text are one text with a count.  Null is an empty text;
-texts under ``LENGTH`` bytes lose nothing.  Rows repeated under one
-``doc_id`` count as further occurrences and get one result row each.
+texts under ``length`` bytes lose nothing; long texts are read in slices.
+Rows repeated under one ``doc_id``, or without one, count as further
+occurrences and get one result row each.  Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._work import materialize, text_rows
+from millrace.llm._work import bucketed, materialize, slices, text_rows
 
 GRAM = 32
-#: Texts are hashed in slices of at most this many bytes, overlapping by a window.
-SLICE = 1 << 20
-#: The cover sample is every so many columns, the bytes of one 64-bit word.
-COVER = 8
-#: Members of the buckets that are ranked together.
-BLOCK_ROWS = 1024
-#: A bucket with more members is aggregated across tasks instead of sorted in one.
-HOT_ROWS = 100_000
-
-
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base = 0x9E3779B97F4A7C15
-    up = np.full(n, base, np.uint64)
-    down = np.full(n, pow(base, -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
-@lru_cache(maxsize=2)
-def _names_table(columns: int) -> np.ndarray:
-    """A fixed random 64-bit word for each column and byte value."""
-    return np.random.Generator(np.random.PCG64(20)).integers(0, 2**64, (columns * 256,), np.uint64)
-
-
-def _gram_hashes(x: np.ndarray) -> np.ndarray:
-    up, down = _powers(SLICE + (SLICE >> 1))
-    sums = np.zeros(len(x) + 1, np.uint64)
-    np.cumsum(x * up[: len(x)], out=sums[1:])
-    g = (sums[GRAM:] - sums[:-GRAM]) * down[: len(x) - GRAM + 1]
-    g ^= g >> np.uint64(31)
-    g *= np.uint64(0xBF58476D1CE4E5B9)
-    g ^= g >> np.uint64(29)
-    g *= np.uint64(0x94D049BB133111EB)
-    g ^= g >> np.uint64(32)
-    return g
-
-
-def _anchors(x: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and positions of the anchors of all windows inside the texts that ``bounds`` divides ``x`` into."""
-    span = length - GRAM + 1
-    g = _gram_hashes(x)
-    inside = np.zeros(len(x) + 1, np.int8)
-    inside[bounds[:-1]] = 1
-    low = np.uint64((1 << 24) - 1)
-    v = (g & ~low) | np.arange(len(g), dtype=np.uint64)
-    cross = np.repeat(bounds[1:-1], GRAM - 1) - np.tile(np.arange(1, GRAM), len(bounds) - 2)
-    v[cross[(cross >= 0) & (cross < len(v))]] |= ~low
-    m = -(-len(v) // span) * span
-    blocks = np.full(m, np.uint64(2**64 - 1))
-    blocks[: len(v)] = v
-    blocks = blocks.reshape(-1, span)
-    head = np.minimum.accumulate(blocks, axis=1).ravel()
-    tail = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    n = len(x) - length + 1
-    least = np.minimum(tail[:n], head[span - 1 : span - 1 + n])
-    starts = np.arange(n)
-    which = np.searchsorted(bounds, starts, side="right") - 1
-    ok = starts + length <= bounds[which + 1]
-    at = (least[ok] & low).astype(np.int64)
-    at = at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
-    return g[at], at
-
-
-def _find(length: int):
-    def run(batches):
-        seen: set[int] = set()
-        parts: list[tuple[int, int, bytes]] = []
-        held = 0
+#: Bytes of text that are named together; arrays of eight times this size stay in a core's cache.
+SLICE = 1 << 16
+#: Windows of a class in the second round.
+WIDTH = 13
+
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
+
+
+def gram_names(raw: bytes) -> np.ndarray:
+    """A 64-bit name of the ``GRAM`` bytes at each position, by doubling names of 8 and of 16 bytes."""
+    name = np.ndarray((len(raw) - 7,), "<u8", raw, strides=(1,)).copy()
+    for size, mix in ((8, _ODD[0]), (16, _ODD[1])):
+        name *= mix
+        name ^= name >> np.uint64(32)
+        pair = name[:-size] * _ODD[2]
+        pair += name[size:]
+        name = pair
+    name ^= name >> np.uint64(29)
+    name *= _ODD[3]
+    name ^= name >> np.uint64(32)
+    return name
+
+
+def sample(raw: bytes, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket name, sample position, first and last window start of every entry.
 
-        def flush():
-            x = np.frombuffer(b"".join(p[2] for p in parts), np.uint8)
-            bounds = np.r_[0, np.cumsum([len(p[2]) for p in parts])]
-            h, at = _anchors(x, bounds, length)
-            which = np.searchsorted(bounds, at, side="right") - 1
-            nid = np.array([p[0] for p in parts], np.int64)[which]
-            pos = at - bounds[which] + np.array([p[1] for p in parts], np.int64)[which]
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(nid), pa.array(pos)], names=["h", "nid", "pos"])
+    ``bounds`` divides ``raw`` into texts; windows lie inside one text.
+    """
+    names, span = gram_names(raw), length - GRAM + 1
+    low = np.uint64(SLICE * 256 - 1)
+    least = (names & ~low) | np.arange(len(names), dtype=np.uint64)
+    done = 1
+    while done < span:  # least of the next `done` positions, doubled until it is `span`
+        step = min(done, span - done)
+        least = np.minimum(least[:-step], least[step:])
+        done += step
+    starts = np.arange(len(least))
+    starts = starts[starts + length <= np.repeat(bounds[1:], np.diff(bounds))[: len(least)]]
+    at = (least[starts] & low).astype(np.int64)
+    new = np.flatnonzero(np.r_[True, at[1:] != at[:-1]]) if len(at) else np.empty(0, np.int64)
+    return names[at[new]], at[new], starts[new], starts[np.r_[new[1:], len(at)] - 1] if len(at) else starts
+
+
+_ENTRIES = "h long, span long, nid long, start long, off int, n int"
+
+
+def _enter(length: int):
+    """Entries of all texts: the first window's start, its distance to the sample position, the number of windows."""
+    names = ["h", "span", "nid", "start", "off", "n"]
+
+    def flush(parts: list[tuple[int, int, bytes]]):
+        raw = b"".join(p[2] for p in parts)
+        bounds = np.r_[0, np.cumsum([len(p[2]) for p in parts])]
+        h, at, first, last = sample(raw, bounds, length)
+        off = at - first
+        hashed = xxhash.xxh3_64_intdigest
+        span = np.fromiter((hashed(raw[a:b], o) for a, b, o in zip(first.tolist(), (last + length).tolist(), off.tolist(), strict=True)), np.uint64, len(first))
+        which = np.searchsorted(bounds, first, side="right") - 1
+        nid = np.array([p[0] for p in parts], np.int64)[which]
+        start = first - bounds[which] + np.array([p[1] for p in parts], np.int64)[which]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h.view(np.int64), span.view(np.int64), nid, start, off.astype(np.int32), (last - first + 1).astype(np.int32))], names=names)
 
+    def run(batches):
+        parts: list[tuple[int, int, bytes]] = []
+        held, step = 0, SLICE - length + 1
         for b in batches:
+            out = []
             for nid, cell in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                if nid in seen:
-                    continue
-                seen.add(nid)
                 raw = cell.as_buffer().to_pybytes()
-                step = SLICE - length + 1
-                for k in range(0, max(1, len(raw) - length + 1), step):
+                for k in range(0, len(raw) - length + 1, step):
                     part = raw[k : k + SLICE]
                     if held and held + len(part) > SLICE:
-                        yield flush()
+                        out.append(flush(parts))
                         parts, held = [], 0
                     parts.append((nid, k, part))
                     held += len(part)
-        if held:
-            yield flush()
-
-    return run
-
-
-def _contexts(length: int):
-    reach = length - GRAM
-
-    def run(batches):
-        names = ["h", "nid", "pos", "lo", "hi", "ctx"]
-        for b in batches:
-            out: list[list] = [[] for _ in names]
-            for nid, cell, hits in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                raw = cell.as_buffer().to_pybytes()
-                padded = bytes(reach) + raw + bytes(length)
-                hs, ps = hits.values.field("h").to_pylist(), hits.values.field("pos").to_pylist()
-                for h, p in zip(hs, ps, strict=True):
-                    for o, v in zip(out, (h, nid, p, max(0, p + length - len(raw)), min(reach, p), padded[p : p + reach + length]), strict=True):
-                        o.append(v)
-                if len(out[0]) > 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, _CTX_TYPES, strict=True)], names=names)
-                    out = [[] for _ in names]
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, _CTX_TYPES, strict=True)], names=names)
+            if out:
+                yield from pa.Table.from_batches(out).combine_chunks().to_batches()
+        if parts:
+            yield flush(parts)
 
     return run
 
 
-_CTX = "h long, nid long, pos long, lo int, hi int, ctx binary"
-_CTX_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-
-
-def _matrix(t: pa.Table, width: int) -> np.ndarray:
-    """The contexts as rows of bytes, on Arrow's own buffer."""
-    a = t["ctx"].combine_chunks()
-    a = a.chunk(0) if isinstance(a, pa.ChunkedArray) else a
-    at = np.frombuffer(a.buffers()[1], np.int32)[a.offset : a.offset + len(a) + 1]
-    return np.frombuffer(a.buffers()[2], np.uint8)[at[0] : at[-1]].reshape(-1, width)
-
-
-def _windows(t: pa.Table, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Name of every member's window at each column, and which columns hold one."""
-    reach = length - GRAM
-    width = reach + length
-    x = _matrix(t, width)
-    sums = np.zeros((len(x), width + 1), np.uint64)
-    np.cumsum(_names_table(width)[x + np.arange(width, dtype=np.int64) * 256], axis=1, out=sums[:, 1:])
-    names = sums[:, length:] - sums[:, : reach + 1]
-    offset = reach - np.arange(reach + 1)
-    ok = (offset >= t["lo"].to_numpy()[:, None]) & (offset <= t["hi"].to_numpy()[:, None])
-    return names, ok
-
-
-def _ranks(high: np.ndarray, low: np.ndarray | None = None) -> np.ndarray:
-    """Dense rank of every cell within its column; of pairs of ranks, where two are given."""
-    key = high if low is None else (high << np.int64(32)) | low
-    order = np.argsort(key, axis=0)
-    s = np.take_along_axis(key, order, axis=0)
-    steps = np.zeros(key.shape, np.int64)
-    np.cumsum(s[1:] != s[:-1], axis=0, out=steps[1:])
-    out = np.empty(key.shape, np.int64)
-    np.put_along_axis(out, order, steps, axis=0)
-    return out
-
-
-def _cover_ranks(words: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of the sampled suffixes to ``length`` bytes, a multiple of ``COVER``, by doubling."""
-    of = {1: words}
-    size, want = 1, length // COVER
-    while 2 * size <= want:
-        half = of[size]
-        of[2 * size] = _ranks(half[:, :-size], half[:, size:])
-        size *= 2
-    got, out = size, of[size]
-    while got < want:
-        size //= 2
-        if got + size <= want:
-            rest = of[size][:, got:]
-            n = min(out.shape[1], rest.shape[1])
-            out, got = _ranks(out[:, :n], rest[:, :n]), got + size
-    return out
-
-
-def _mark(t: pa.Table, length: int) -> np.ndarray:
-    """For each member and column: is its window also another member's?  Members of whole buckets.
-
-    Every window holds its anchor gram, so equal windows of a column are of
-    one bucket and the buckets of a block can be ranked together.
-    """
-    reach = length - GRAM
-    width = reach + length
-    x = _matrix(t, width)
-    word = np.zeros((len(x), width - COVER + 1), np.uint64)
-    for k in range(COVER):
-        word = (word << np.uint64(8)) | x[:, k : width - COVER + 1 + k]
-    first = _ranks(word)
-    deep = (length - COVER) // COVER * COVER
-    cover = _cover_ranks(first[:, ::COVER], deep)
-    at = np.arange(reach + 1)
-    inside = -(-at // COVER)
-    rank = _ranks(first[:, at], cover[:, inside])
-    for end in (length - COVER, length - 2 * COVER)[: 2 if length % COVER else 1]:
-        rank = _ranks(rank, first[:, at + end])
-    offset = reach - at
-    ok = (offset >= t["lo"].to_numpy()[:, None]) & (offset <= t["hi"].to_numpy()[:, None])
-    slot = rank + at * len(x)
-    count = np.bincount(slot[ok], minlength=len(x) * (reach + 1))
-    return ok & (count[slot] > 1)
-
-
-def _mark_large(t: pa.Table, length: int) -> np.ndarray:
-    """As ``_mark`` for one large bucket: its windows' names roll from column to column."""
-    reach = length - GRAM
-    width = reach + length
-    x = _matrix(t, width)
-    table = _names_table(width).reshape(width, 256)
-    lo, hi = t["lo"].to_numpy(), t["hi"].to_numpy()
-    name = np.zeros(len(x), np.uint64)
-    for k in range(length):
-        name += table[k][x[:, k]]
-    hit = np.zeros((len(x), reach + 1), bool)
-    for c in range(reach + 1):
-        rows = np.flatnonzero((lo <= reach - c) & (reach - c <= hi))
-        order = rows[np.argsort(name[rows], kind="stable")]
-        same = name[order[1:]] == name[order[:-1]]
-        hit[order[1:][same], c] = hit[order[:-1][same], c] = True
-        if c < reach:
-            name += table[c + length][x[:, c + length]] - table[c][x[:, c]]
-    return hit
-
-
-def _sort_blocks(length: int, block_rows: int):
-    reach = length - GRAM
-
-    def marks(t: pa.Table, hit: np.ndarray):
-        rows = np.flatnonzero(hit.any(axis=1))
-        bits = [x.tobytes() for x in np.packbits(hit[rows], axis=1)]
-        return pa.RecordBatch.from_arrays([pa.array(t["nid"].to_numpy()[rows]), pa.array(t["pos"].to_numpy()[rows] - reach), pa.array(bits, pa.binary())], names=["nid", "base", "bits"])
-
-    def done(t: pa.Table):
-        keys = np.stack([t[c].to_numpy() for c in ("h", "nid", "pos")])
-        t = t.filter(pa.array(np.r_[True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)]))  # copies of one text
-        h = t["h"].to_numpy()
-        bounds = np.flatnonzero(np.r_[True, h[1:] != h[:-1], True])
-        large = np.diff(bounds) > block_rows
-        small = t.filter(pa.array(np.repeat(~large, np.diff(bounds))))
-        if len(small):
-            yield marks(small, _mark(small, length))
-        for k in np.flatnonzero(large):
-            one = t.slice(bounds[k], bounds[k + 1] - bounds[k])
-            yield marks(one, _mark_large(one, length))
-
-    def run(batches):
-        held: list[pa.RecordBatch] = []
-        n = 0
-        for b in batches:
-            for k in range(0, len(b), block_rows):
-                held.append(b.slice(k, block_rows))
-                n += len(held[-1])
-                if n < block_rows:
-                    continue
-                t = pa.Table.from_batches(held)
-                h = t["h"].to_numpy()
-                last = int(np.argmax(h == h[-1]))  # the last bucket may go on
-                if last:
-                    yield from done(t.slice(0, last))
-                    held, n = t.slice(last).to_batches(), len(t) - last
-        if n:
-            yield from done(pa.Table.from_batches(held))
-
-    return run
+_CLASSES = "h long, core long, around binary, lo int, hi int, nid long, start long, n int"
 
 
-def _spell(length: int):
-    """A row for every window of a very large bucket's members."""
-    reach = length - GRAM
+def _divide(length: int):
+    """Classes of the entries that go on: windows at distances ``lo`` to ``hi`` before the class's first common byte."""
+    names = ["h", "core", "around", "lo", "hi", "nid", "start", "n"]
 
     def run(batches):
         for b in batches:
-            for k in range(0, len(b), 2048):
-                t = pa.Table.from_batches([b.slice(k, 2048)])
-                names, ok = _windows(t, length)
-                row, col = np.nonzero(ok)
-                yield pa.RecordBatch.from_arrays([pa.array(t["h"].to_numpy()[row]), pa.array(col.astype(np.int32)), pa.array(names[row, col].view(np.int64)), pa.array(t["nid"].to_numpy()[row]), pa.array(t["pos"].to_numpy()[row] - reach + col)], names=["h", "col", "name", "nid", "base"])
+            out: list[list] = [[] for _ in names]
+            for nid, cell, entries in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                raw = cell.as_buffer().to_pybytes()
+                for e in entries:
+                    at, far = e["start"] + e["off"], e["off"]
+                    near = far - e["n"] + 1
+                    for k in range(near // WIDTH, far // WIDTH + 1):
+                        base = at - k * WIDTH
+                        lo, hi = max(near - k * WIDTH, 0), min(far - k * WIDTH, WIDTH - 1)
+                        end = base - WIDTH + 1 + length
+                        core = xxhash.xxh3_64_intdigest(raw[base:end], k)
+                        around = raw[base - hi : base] + raw[end : end + WIDTH - 1 - lo]
+                        for o, v in zip(out, (e["h"], core, around, lo, hi, nid, base - hi, hi - lo + 1), strict=True):
+                            o.append(v)
+            out[1] = np.array(out[1], np.uint64).view(np.int64)
+            kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names=names)
 
     return run
 
 
-_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+def _settle(entries: DataFrame, bucket: list[str], span: list[str], name: str) -> DataFrame:
+    """Entries of buckets with several members; ``twice``: another has this span, ``on``: it goes on for all with its span."""
+    ref, whole = F.xxhash64("nid", "start"), F.xxhash64(*span) if len(span) > 1 else F.col(span[0])
+    met = entries.groupBy(bucket).agg(F.min(ref).alias("a"), F.max(ref).alias("b"), F.min(whole).alias("c"), F.max(whole).alias("d"))
+    met = materialize(met.where("a <> b").select(*bucket, (F.col("c") != F.col("d")).alias("mixed")), f"{name}-met")
+    rows = materialize(entries.join(met, bucket).withColumn("ref", ref), name)
+    mixed = rows.where("mixed")
+    spans = mixed.groupBy(bucket + span).agg(F.min("ref").alias("one"), F.max("ref").alias("other"))
+    mixed = mixed.join(spans, bucket + span)
+    told = mixed.withColumn("twice", F.col("one") != F.col("other")).withColumn("on", F.col("ref") == F.col("one"))
+    alike = rows.where("NOT mixed").withColumn("twice", F.lit(True)).withColumn("on", F.lit(False))
+    columns = [*entries.columns, "twice", "on"]
+    return materialize(told.select(columns).union(alike.select(columns)), f"{name}-told")
 
 
 def _cut(length: int):
-    def removed(n: int, hits) -> np.ndarray:
-        step = np.zeros(n + 1, np.int32)
-        base = hits.values.field("base").to_pylist()
-        bits = hits.values.field("bits").to_pylist()
-        starts = []
-        for at, x in zip(base, bits, strict=True):
-            if x is None:  # the whole text occurs again
-                return np.ones(n, bool) if n >= length else np.zeros(n, bool)
-            starts.append(np.flatnonzero(np.unpackbits(np.frombuffer(x, np.uint8))) + at)
-        starts = np.unique(np.concatenate(starts))
-        step[starts] += 1
-        np.subtract.at(step, starts + length, 1)
-        return np.cumsum(step[:-1]) > 0
+    """What is left of texts of which some windows, given as runs of starts, are repeated."""
 
     def run(batches):
+        names = ["nid", "n_removed", "n_spans", "kept_sha256"]
         for b in batches:
-            out: list[list] = [[] for _ in range(5)]
-            for doc, cell, hits in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                raw = cell.as_buffer().to_pybytes()
-                gone = spans = 0
-                kept = raw
-                if hits.is_valid and raw:
-                    m = removed(len(raw), hits)
-                    gone = int(m.sum())
-                    spans = int(m[0]) + int((m[1:] & ~m[:-1]).sum())
-                    kept = np.frombuffer(raw, np.uint8)[~m].tobytes()
-                for o, v in zip(out, (doc, len(raw), gone, spans, hashlib.sha256(kept).hexdigest()), strict=True):
-                    o.append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(o, pa.int64()) for o in out[:4]), pa.array(out[4], pa.string())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            for first, count in slices(b.column(1), 1 << 23):
+                part = b.slice(first, count)
+                texts, runs = part.column(1), part.column(2)
+                at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + count + 1].astype(np.int64)
+                raw = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]]
+                at -= at[0]
+                flat = runs.flatten()
+                base = np.repeat(at[:-1], np.diff(runs.offsets.to_numpy()))
+                begin = flat.field("start").to_numpy() + base
+                size = len(raw) + 1
+                change = np.bincount(begin, minlength=size) - np.bincount(begin + flat.field("n").to_numpy() + (length - 1), minlength=size)
+                gone = np.cumsum(change[:-1]) > 0
+                opens = gone.copy()
+                opens[1:] &= ~gone[:-1]
+                inner = at[:-1][1:]
+                opens[inner] = gone[inner]
+                removed, spans = np.add.reduceat(gone, at[:-1], dtype=np.int64), np.add.reduceat(opens, at[:-1], dtype=np.int64)
+                kept, left = raw[~gone].tobytes(), np.r_[0, np.cumsum(np.diff(at) - removed)].tolist()
+                sums = [hashlib.sha256(kept[i:j]).hexdigest() for i, j in zip(left, left[1:], strict=False)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(removed), pa.array(spans), pa.array(sums)], names=names)
 
     return run
 
 
-def remove_repeats(docs: DataFrame, length: int = 200, block_rows: int = BLOCK_ROWS, hot_rows: int = HOT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, n_bytes, n_removed, n_spans, kept_sha256)``, one row per input row."""
-    if length < 2 * GRAM:
-        raise ValueError(f"length must be at least {2 * GRAM}")
-    raw = text_rows(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
-    raw = raw.select("doc_id", F.xxhash64("raw").alias("nid"), "raw")
-    long = raw.where(F.length("raw") >= length).select("nid", "raw")
-
-    every = Window.partitionBy("h")
-    where = F.struct("nid", "pos")
-    anchors = long.mapInArrow(_find(length), "h long, nid long, pos long")
-    anchors = anchors.select("h", "nid", "pos", F.min(where).over(every).alias("lo"), F.max(where).over(every).alias("hi"), F.count(F.lit(1)).over(every).alias("m"))
-    anchors = materialize(anchors.where("lo <> hi").select("h", "nid", "pos", (F.col("m") > hot_rows).alias("large")), "anchors")
-    by_text = anchors.groupBy("nid").agg(F.collect_set(F.struct("h", "pos", "large")).alias("hits"))
-    here = long.join(by_text, "nid").select("nid", "raw", "hits")
-    ctx = here.select("nid", "raw", F.expr("filter(hits, x -> not x.large)").alias("hits")).where("size(hits) > 0").mapInArrow(_contexts(length), _CTX)
-    marks = ctx.repartition("h").sortWithinPartitions("h", "nid", "pos").mapInArrow(_sort_blocks(length, block_rows), "nid long, base long, bits binary")
-
-    if anchors.where("large").limit(1).count():
-        wide = here.select("nid", "raw", F.expr("filter(hits, x -> x.large)").alias("hits")).where("size(hits) > 0").mapInArrow(_contexts(length), _CTX)
-        wide = materialize(wide.mapInArrow(_spell(length), "h long, col int, name long, nid long, base long"), "wide")
-        key = F.struct("nid", "base")
-        again = wide.groupBy("h", "col", "name").agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo <> hi").select("h", "col", "name")
-        marks = marks.union(wide.join(again, ["h", "col", "name"], "left_semi").select("nid", "base", F.lit(bytes([128])).alias("bits")).distinct())
-
-    copies = raw.groupBy("nid").count().where("count > 1").select("nid", F.lit(0).cast("long").alias("base"), F.lit(None).cast("binary").alias("bits"))
-    hits = marks.union(copies).groupBy("nid").agg(F.collect_list(F.struct("base", "bits")).alias("hits"))
-    return raw.join(materialize(hits, "hits"), "nid", "left").select("doc_id", "raw", "hits").mapInArrow(_cut(length), _RESULT)
-
-
-def text_node(raw: bytes) -> int:
-    """The id that ``xxhash64`` gives to a text's bytes; for tests."""
-    return int(np.uint64(xxhash.xxh64_intdigest(raw, seed=42)).astype(np.int64))
+    if length < GRAM + WIDTH:
+        raise ValueError(f"length must be at least {GRAM + WIDTH}")
+    rows = text_rows(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
+    rows = rows.withColumn("nid", F.xxhash64("raw"))
+    texts = bucketed(rows.where(F.length("raw") >= length).groupBy("nid").agg(F.first("raw").alias("raw"), F.count(F.lit(1)).alias("copies")), "texts", "nid")
+
+    entries = materialize(texts.select("nid", "raw").mapInArrow(_enter(length), _ENTRIES), "entries")
+    first = _settle(entries, ["h"], ["span"], "first")
+    by_text = first.where("on").groupBy("nid").agg(F.collect_list(F.struct("h", "start", "off", "n")).alias("entries"))
+    classes = texts.select("nid", "raw").join(by_text, "nid").select("nid", "raw", "entries").mapInArrow(_divide(length), _CLASSES)
+    second = _settle(materialize(classes, "classes"), ["h", "core"], ["around", "lo", "hi"], "second")
+
+    window = second.where("on").select("h", "core", "around", "hi", "nid", "start", F.explode(F.expr("sequence(lo, hi)")).alias("j"))
+    window = window.select("h", "core", "j", F.expr(f"substring(around, hi - j + 1, {WIDTH - 1})").alias("more"), "nid", (F.col("start") + F.col("hi") - F.col("j")).alias("start"), F.lit(1).alias("n"))
+    third = _repeated(window, ["h", "core", "j", "more"])
+
+    runs = first.where("twice").select("nid", "start", "n").union(second.where("twice").select("nid", "start", "n")).union(third)
+    runs = runs.groupBy("nid").agg(F.collect_list(F.struct("start", "n")).alias("runs"))
+    cut = texts.where("copies = 1").select("nid", "raw").join(runs, "nid").select("nid", "raw", "runs").mapInArrow(_cut(length), "nid long, n_removed long, n_spans long, kept_sha256 string")
+    whole = texts.where("copies > 1").select("nid", F.lit(None).cast("long").alias("n_removed"), F.lit(1).cast("long").alias("n_spans"), F.sha2(F.lit(b""), 256).alias("kept_sha256"))
+    found = materialize(cut.union(whole).withColumnsRenamed({"kept_sha256": "rest"}), "found")
+
+    every = rows.select("doc_id", "nid", F.length("raw").cast("long").alias("n_bytes"), F.sha2("raw", 256).alias("all_sha256")).join(found, "nid", "left")
+    removed = F.when(F.col("n_spans").isNull(), 0).otherwise(F.coalesce("n_removed", "n_bytes"))
+    return every.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"), F.coalesce("rest", "all_sha256").alias("kept_sha256"))
+
+
+def _repeated(windows: DataFrame, bucket: list[str]) -> DataFrame:
+    """Runs of windows whose bucket has several members."""
+    ref = F.xxhash64("nid", "start")
+    windows = materialize(windows, "windows")
+    met = windows.groupBy(bucket).agg(F.min(ref).alias("a"), F.max(ref).alias("b")).where("a <> b").select(bucket)
+    return windows.join(met, bucket, "left_semi").select("nid", "start", "n")

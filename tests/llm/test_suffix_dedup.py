@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from millrace.llm import suffix_dedup
@@ -24,7 +25,7 @@ def brute(rows, length=200):
         kept = bytes(x for x, g in zip(raw, gone, strict=True) if not g)
         spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
         out.append((d, len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
-    return sorted(out)
+    return sorted(out, key=str)
 
 
 def corpus(seed):
@@ -38,34 +39,49 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize(("block_rows", "hot_rows"), [(4096, 200_000), (3, 200_000), (3, 6)])
-def test_against_all_strings(spark, block_rows, hot_rows):
-    rows = corpus(3)
-    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert sorted(map(tuple, remove_repeats(df, block_rows=block_rows, hot_rows=hot_rows).collect())) == brute(rows)
+def check(spark, rows, length=200, parts=3):
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+    assert sorted(map(tuple, remove_repeats(df, length=length).collect()), key=str) == brute(rows, length)
+
+
+def test_against_all_strings(spark):
+    check(spark, corpus(3))
+
+
+def test_one_passage_in_every_text(spark):
+    """One bucket of many members, whose spans differ at both ends of the passage, beside copies and near copies of it."""
+    rng = random.Random(8)
+    prose = lambda n: "".join(rng.choice("abcdefgh ij\n") for _ in range(n))
+    passage, long = prose(330), prose(700)
+    rows = [(i, prose(rng.randint(0, 250)) + passage + prose(rng.randint(0, 250))) for i in range(120)]
+    rows += [(200 + i, passage) for i in range(30)] + [(300 + i, long[:300] + chr(65 + i % 26) * (i % 3) + long[300:]) for i in range(60)]
+    rows += [(400 + i, "x" * (200 + i)) for i in range(5)] + [(None, passage), (None, None)]
+    check(spark, rows, parts=7)
 
 
 @pytest.mark.parametrize("length", [64, 75, 131])
 def test_other_lengths(spark, length):
-    rows = corpus(6)[:70]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert sorted(map(tuple, remove_repeats(df, length=length).collect())) == brute(rows, length)
+    check(spark, corpus(6)[:70], length)
 
 
-def test_slices_of_a_long_text(spark, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "SLICE", 1000)
-    suffix_dedup._powers.cache_clear()
-    rows = corpus(4) + [(900, "".join(f"{i:05d}" for i in range(3000)))]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = sorted(map(tuple, remove_repeats(df).collect()))
-    suffix_dedup._powers.cache_clear()
-    assert got == brute(rows)
+def test_slices_of_a_long_text():
+    """Cutting a text into slices changes neither which windows there are nor their sample positions."""
+    rng = random.Random(5)
+    raw = "".join(rng.choice("ab ") for _ in range(40_000)).encode()
 
+    def windows(part, at):
+        h, pos, first, last = suffix_dedup.sample(part, np.array([0, len(part)]), 200)
+        return {(w + at, p + at, k) for k, p, a, b in zip(h.tolist(), pos.tolist(), first.tolist(), last.tolist(), strict=True) for w in range(a, b + 1)}
 
-def test_empty(spark):
-    assert remove_repeats(spark.createDataFrame([], "doc_id long, text string, h string, nid int")).collect() == []
+    step = 1000 - 199
+    cut = [windows(raw[k : k + 1000], k) for k in range(0, len(raw) - 199, step)]
+    assert set().union(*cut) == windows(raw, 0)
+    assert sum(map(len, cut)) == len(raw) - 199
+
+
+def test_long_texts(spark):
+    check(spark, corpus(4) + [(900, "".join(f"{i:05d}" for i in range(30000))), (901, "".join(f"{i:05d}" for i in range(20000, 34000)))])
 
 
-def test_node_is_the_engines_hash(spark):
-    raw = "héllo wörld, a text of more than thirty-two bytes".encode()
-    assert spark.createDataFrame([(raw,)], "raw binary").selectExpr("xxhash64(raw)").first()[0] == suffix_dedup.text_node(raw)
+def test_empty(spark):
+    assert remove_repeats(spark.createDataFrame([], "doc_id long, text string, h string, nid int")).collect() == []
