@@ -84,6 +84,13 @@ def slices(texts: pa.Array, size: int):
         first = stop
 
 
+def flat_bytes(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes of a string or binary array without nulls, uncopied, and where each row begins and the last ends."""
+    at = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1].astype(np.int64)
+    raw = np.frombuffer(cells.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return raw, at - at[0]
+
+
 def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, text)`` only, so other columns of the input can never clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))

@@ -32,25 +32,37 @@ repeated under one ``doc_id`` get one result row each.
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._work import fits, materialize, text_rows
+from millrace.llm._work import fits, flat_bytes, materialize, slices, text_rows
 
 SKETCH_BITS = 20
 SLICE = 1 << 16
 BINS = 128
 #: The prefix is extended by one n-gram for so many n-grams of a set.
 EXTEND = 25
+#: Bytes of text whose words are named together.
+SLICE_BYTES = 1 << 17
+LONG_WORD = 32
+#: An n-gram that may occur in more sets is dealt to so many more groups.
+HOT_ROWS = 20_000
 #: Components are broadcast for the final lookup only up to this many rows.
 BROADCAST_ROWS = 1_000_000
 
 _STEP = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=np.uint64)
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_POSTINGS = "h long, salt int, nid long, sp long"
+
 
 def _mix(x: np.ndarray) -> np.ndarray:
     """Spread every input bit over the whole 64-bit word."""
@@ -59,28 +71,58 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(raw: bytes, n: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of the word n-grams of a UTF-8 text (A-Z lowered)."""
-    words = raw.lower().split()
-    m = len(words)
-    if not m:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, m)
-    w = min(n, m)
-    out = np.full(m - w + 1, w, np.uint64)
+def word_names(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit names of all words of the texts that ``bounds`` divides ``raw`` into, A-Z lowered, and each text's first word.
+
+    Words of up to ``LONG_WORD`` bytes are named eight bytes at a time, all at
+    once; longer ones by xxh3.
+    """
+    x = _LOWER[raw]
+    inside = ~_SPACE[x]
+    edge = np.ones(len(x) + 1, bool)
+    np.not_equal(inside[1:], inside[:-1], out=edge[1 : len(x)])
+    edge[bounds] = True
+    cut = np.flatnonzero(edge)
+    begin, end = cut[:-1], cut[1:]
+    word = inside[begin]
+    begin, end = begin[word], end[word]
+    size = end - begin
+    padded = np.zeros(len(x) + LONG_WORD + 7, np.uint8)
+    padded[: len(x)] = x
+    eights = np.ndarray((len(x) + LONG_WORD,), "<u8", padded, strides=(1,))
+    name = _mix(size.astype(np.uint64))
+    for at in range(0, LONG_WORD, 8):
+        some = np.flatnonzero(size > at)
+        part = eights[begin[some] + at] & _FIRST_BYTES[np.minimum(size[some] - at, 8)]
+        name[some] = _mix(name[some] * _STEP[0] + part)
+    for k in np.flatnonzero(size > LONG_WORD).tolist():
+        name[k] = xxhash.xxh3_64_intdigest(x[begin[k] : end[k]].tobytes())
+    return name, np.searchsorted(begin, bounds)
+
+
+def _grams(names: np.ndarray, w: int) -> np.ndarray:
+    """Names of all runs of ``w`` words."""
+    m = len(names) - w + 1
+    out = np.full(m, w, np.uint64)
     for k in range(w):
-        out += _mix(h[k : m - w + 1 + k] + _STEP[k % 8 : k % 8 + 1] * np.uint64(k + 1))
+        out += _mix(names[k : m + k] + _STEP[k % 8 : k % 8 + 1] * np.uint64(k + 1))
         out *= _STEP[(k + 3) % 8]
-    return np.unique(_mix(out))
+    return _mix(out)
 
 
-def node_id(s: np.ndarray) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)))
+def shingle_sets(texts: pa.BinaryArray, n: int):
+    """Sorted distinct 64-bit names of the word n-grams of each text, in order of the texts."""
+    for first, count in slices(texts, SLICE_BYTES):
+        raw, at = flat_bytes(texts.slice(first, count))
+        names, word = word_names(raw, at)
+        every = _grams(names, n) if len(names) >= n else names[:0]
+        for a, b in zip(word[:-1].tolist(), word[1:].tolist(), strict=True):
+            s = np.sort(every[a : b - n + 1] if b - a >= n else _grams(names[a:b], b - a) if b > a else names[:0])
+            yield s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s
 
 
-def _raws(column: pa.ChunkedArray | pa.Array):
-    for x in column:
-        yield x.as_buffer().to_pybytes() if x.is_valid else b""
+def node_id(s: np.ndarray) -> int:
+    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)))
 
 
 def _cells(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,8 +139,7 @@ def _profile(n: int):
         used = False
         for b in batches:
             ids, nids, ns, hists, pend, held = [], [], [], [], [], 0
-            for doc, raw in zip(b.column(0).to_pylist(), _raws(b.column(1)), strict=True):
-                s = shingles(raw, n)
+            for doc, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), n), strict=True):
                 ids.append(doc)
                 ns.append(len(s))
                 nids.append(node_id(s) if len(s) else None)
@@ -151,34 +192,79 @@ def _sketch(sets: DataFrame) -> np.ndarray:
 
 
 def _prefixes(n: int, percent: int, shared):
+    """Postings of each set's prefix; ``salt`` deals an n-gram that may be very frequent to several groups."""
+    names = ["h", "salt", "nid", "sp"]
+
     def run(batches):
-        count = shared.value
+        one, two = shared.value
         seen: set[int] = set()
-        names = ["h", "nid", "sp"]
         for b in batches:
-            hs, nids, sps, held = [], [], [], 0
-            for raw in _raws(b.column(0)):
-                s = shingles(raw, n)
+            out: list[list[np.ndarray]] = [[] for _ in names]
+            held = 0
+            for s in shingle_sets(b.column(0), n):
                 if not len(s) or (nid := node_id(s)) in seen:
                     continue
                 seen.add(nid)
                 m = len(s)
                 p = min(m, m - -(-percent * m // 100) + 1 + m // EXTEND)
-                one, two = _cells(s)
-                first = s[np.lexsort((s, np.minimum(count[0][one], count[1][two])))[:p]]
-                hs.append(first.view(np.int64))
-                nids.append(np.full(p, nid, np.int64))
-                sps.append((np.int64(m) << np.int64(32)) | np.arange(p, dtype=np.int64))
+                i, j = _cells(s)
+                count = np.minimum(one[i], two[j]).astype(np.uint64)
+                first = np.argsort((count << np.uint64(32)) | (s >> np.uint64(32)), kind="stable")[:p]
+                groups = count[first] // np.uint64(HOT_ROWS)
+                salt = np.where(groups, 1 + np.uint64(nid & 0xFFFFFFFF) % np.maximum(groups, 1), 0).astype(np.int32)
+                for o, v in zip(out, (s[first].view(np.int64), salt, np.full(p, nid, np.int64), (np.int64(m) << np.int64(32)) | np.arange(p, dtype=np.int64)), strict=True):
+                    o.append(v)
                 held += p
                 if held > 200_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, nids, sps)], names=names)
-                    hs, nids, sps, held = [], [], [], 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
+                    out, held = [[] for _ in names], 0
             if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (hs, nids, sps)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in out], names=names)
+
+    return run
+
+
+def _partnered(percent: int):
+    """Of postings by n-gram and size: those of which a neighbour's size fits, each node once.
+
+    Holds a row of the group at a time.  Salted groups are kept whole, since
+    a partner may be in another one.
+    """
+    names, kinds = ["h", "salt", "nid", "sp"], [pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+
+    def run(batches):
+        held = [np.empty(0, np.int64)] * 4  # the last row decided on, and the one after it
+        decided = 0
+        for b in chain(batches, [None]):
+            rows = held if b is None else [np.r_[x, b.column(k).to_numpy()] for k, x in enumerate(held)]
+            h, salt, nid, sp = rows
+            new = np.r_[True, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]) | (nid[1:] != nid[:-1])][: len(h)]
+            rows = h, salt, nid, sp = [x[new] for x in rows]
+            size = sp >> 32
+            fits = (h[1:] == h[:-1]) & (salt[1:] == salt[:-1]) & (100 * size[:-1] >= percent * size[1:])
+            ok = (salt > 0) | np.r_[False, fits][: len(h)] | np.r_[fits, False][: len(h)]
+            now = np.arange(decided, len(h) - (b is not None))
+            now = now[ok[now]]
+            yield pa.RecordBatch.from_arrays([pa.array(x[now], t) for x, t in zip(rows, kinds, strict=True)], names=names)
+            held, decided = [x[-2:] for x in rows], int(len(h) > 1)
 
     return run
 
 
+def _with_first(batches):
+    """Postings by n-gram and position, each with the first of its group, the only row that is held."""
+    group, a, sa = None, 0, 0
+    for b in batches:
+        h, salt, nid, sp = (b.column(k).to_numpy() for k in range(4))
+        if not len(h):
+            continue
+        new = np.r_[(h[0], salt[0]) != group, (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])]
+        at = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
+        first, size = np.where(at < 0, a, nid[at]), np.where(at < 0, sa, sp[at])
+        group, a, sa = (h[-1], salt[-1]), first[-1], size[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, nid, sp, first, size)], names=["h", "nid", "sp", "a", "sa"])
+
+
 def _may_link(sa, sb, percent: int):
     """Length and positional filter on packed (size, position) of the smaller and the larger set."""
     size_a, size_b = F.shiftright(sa, 32), F.shiftright(sb, 32)
@@ -206,18 +292,18 @@ def _filtered(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
 
 def _verify(n: int, percent: int):
     def run(batches):
-        last_key, last_set = None, None
         for b in batches:
-            out_a, out_b = [], []
-            for a, c, ta, tb in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), _raws(b.column(2)), _raws(b.column(3)), strict=True):
-                if a != last_key:
-                    last_key, last_set = a, shingles(ta, n)
-                y = shingles(tb, n)
-                both = len(np.intersect1d(last_set, y, assume_unique=True))
-                if 100 * both >= percent * (len(last_set) + len(y) - both):
-                    out_a.append(a)
-                    out_b.append(c)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+            ends: list[list[int]] = [[], []]
+            keys, last = b.column(0).to_numpy(), None
+            new = np.r_[True, keys[1:] != keys[:-1]][: len(keys)]
+            firsts = shingle_sets(b.column(2).filter(pa.array(new)), n)
+            for a, c, fresh, y in zip(keys.tolist(), b.column(1).to_pylist(), new.tolist(), shingle_sets(b.column(3), n), strict=True):
+                last = next(firsts) if fresh else last
+                both = len(np.intersect1d(last, y, assume_unique=True))
+                if 100 * both >= percent * (len(last) + len(y) - both):
+                    ends[0].append(a)
+                    ends[1].append(c)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], names=["a", "b"])
 
     return run
 
@@ -225,18 +311,18 @@ def _verify(n: int, percent: int):
 def _rehash(n: int):
     def run(batches):
         for b in batches:
-            t = pa.Table.from_batches([b])
-            ok = [node_id(s) == k if len(s := shingles(raw, n)) else False for k, raw in zip(t["nid"].to_pylist(), _raws(t["raw"]), strict=True)]
-            yield from t.filter(pa.array(ok, pa.bool_())).to_batches()
+            yield b.filter(pa.array([len(s) > 0 and node_id(s) == k for k, s in zip(b["nid"].to_pylist(), shingle_sets(b["raw"], n), strict=True)], pa.bool_()))
 
     return run
 
 
-def _links(pairs: DataFrame, reps: DataFrame, rows: DataFrame, n: int, percent: int, unique_ids: bool) -> DataFrame:
+def _links(pairs: DataFrame, reps: DataFrame, raw: DataFrame, n: int, percent: int, unique_ids: bool) -> DataFrame:
     """Pairs whose whole texts reach the similarity; each text is shipped once per pair."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
-    named = reps.join(ends, "nid", "left_semi").select("nid", F.col("doc_id").alias("__doc"))
-    texts = rows.join(named, rows["doc_id"] == named["__doc"]).select("nid", F.col("text").cast("binary").alias("raw"))
+    named = reps.join(ends, "nid", "left_semi").select("nid", "doc_id")
+    named = materialize(named, "named")
+    named = F.broadcast(named) if fits(named, BROADCAST_ROWS) else named
+    texts = raw.join(named, "doc_id").select("nid", "raw")
     if not unique_ids:  # one id may then stand for several texts; keep the one that was meant
         texts = texts.mapInArrow(_rehash(n), "nid long, raw binary").dropDuplicates(["nid"])
     texts = materialize(texts, "texts")
@@ -272,47 +358,43 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     if not 0 < percent <= 100:
         raise ValueError("percent must be in (0, 100]")
     spark = docs.sparkSession
-    rows = text_rows(docs, id_col, text_col)
-    raw = rows.select("doc_id", F.col("text").cast("binary").alias("raw"))
+    raw = text_rows(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
     sets = materialize(raw.mapInArrow(_profile(n), _SETS), "sets")
     members = sets.where(F.col("slice").isNull()).select("doc_id", "nid", "n", "hist")
     reps = members.where(F.col("nid").isNotNull()).groupBy("nid").agg(F.min("doc_id").alias("doc_id"), F.first("hist").alias("hist"))
     unique_ids = not members.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count()
     shared = spark.sparkContext.broadcast(_sketch(sets))
 
-    postings = raw.select("raw").mapInArrow(_prefixes(n, percent, shared), "h long, nid long, sp long")
-    every = Window.partitionBy("h")
+    postings = raw.select("raw").mapInArrow(_prefixes(n, percent, shared), _POSTINGS)
+    postings = postings.repartition("h", "salt").sortWithinPartitions("h", "salt", "sp", "nid")
+    groups = materialize(postings.mapInArrow(_partnered(percent), _POSTINGS), "groups")
     size, pos = F.shiftright("sp", 32), F.col("sp").bitwiseAND(0xFFFFFFFF)
-    by_size = every.orderBy("sp", "nid")
-    before, after = F.struct(F.lag("nid").over(by_size).alias("nid"), F.lag("sp").over(by_size).alias("sp")), F.struct(F.lead("nid").over(by_size).alias("nid"), F.lead("sp").over(by_size).alias("sp"))
-    near_size = (100 * F.shiftright("before.sp", 32) >= percent * size) | (100 * size >= percent * F.shiftright("after.sp", 32))
-    groups = postings.select("h", "nid", "sp", before.alias("before"), after.alias("after")).where((F.col("before.nid").isNull() | (F.col("before.nid") != F.col("nid"))) & near_size)
-    groups = materialize(groups.select("h", "nid", "sp"), "groups")
     active = groups.groupBy("nid").agg(F.count(F.lit(1)).alias("c"), F.first(size).alias("n")).where(F.col("c") >= F.floor(F.lit(1) + F.floor(F.col("n") * percent / 100) / EXTEND)).select("nid")
     active = materialize(active, "active")
     active = F.broadcast(active) if fits(active, BROADCAST_ROWS) else active
     # From here on plain prefixes do: they hold the first n-gram that two partners share.
     plain = groups.where(pos < size - F.ceil(size * percent / 100) + 1).join(active, "nid", "left_semi")
-    first = F.min(F.struct(pos.alias("pos"), "sp", "nid")).over(every)
-    groups = materialize(plain.select("h", "nid", "sp", first.alias("x")).select("h", "nid", "sp", F.col("x.nid").alias("a"), F.col("x.sp").alias("sa")), "plain")
+    plain = plain.select("h", "salt", "nid", "sp").repartition("h", "salt").sortWithinPartitions("h", "salt", pos, "sp", "nid")
+    groups = materialize(plain.mapInArrow(_with_first, "h long, nid long, sp long, a long, sa long"), "plain")
 
     near = groups.where("a <> nid").where(_may_link(F.least("sa", "sp"), F.greatest("sa", "sp"), percent)).groupBy("a", F.col("nid").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     near = near.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b", "m.c")
     best = materialize(_filtered(near, reps, percent).select("a", "b"), "best")
-    links = _links(best, reps, rows, n, percent, unique_ids)
+    links = _links(best, reps, raw, n, percent, unique_ids)
     labels = components(links)
 
     # What is left: postings of n-grams that still span several components.
     tagged = groups.select("h", "nid", "sp").join(labels, "nid", "left").select("h", "nid", "sp", F.coalesce("label", "nid").alias("label"))
-    tagged = tagged.select("*", F.min("label").over(every).alias("x"), F.max("label").over(every).alias("y")).where("x <> y").drop("x", "y")
     tagged = materialize(tagged, "tagged")
+    spread = materialize(tagged.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h"), "spread")
+    tagged = tagged.join(spread, "h", "left_semi")
     one = tagged.select("h", F.col("nid").alias("a"), F.col("sp").alias("sa"), F.col("label").alias("la"))
     two = tagged.select("h", F.col("nid").alias("b"), F.col("sp").alias("sb"), F.col("label").alias("lb"))
     rest = one.join(two, "h").where((F.col("la") != F.col("lb")) & ((F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")))) & _may_link(F.col("sa"), F.col("sb"), percent))
     rest = rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).join(best.select("a", "b").union(best.select("b", "a")), ["a", "b"], "left_anti")
     rest = materialize(_filtered(rest, reps, percent).select("a", "b"), "rest")
     if rest.limit(1).count():
-        more = _links(rest, reps, rows, n, percent, unique_ids)
+        more = _links(rest, reps, raw, n, percent, unique_ids)
         if more.limit(1).count():
             labels = components(links.union(more))
 

@@ -2,7 +2,11 @@
 
 import random
 
-from millrace.llm.jaccard import jaccard_components, keep_one_per_component
+import numpy as np
+import pyarrow as pa
+
+from millrace.llm import jaccard
+from millrace.llm.jaccard import _partnered, _with_first, jaccard_components, keep_one_per_component, shingle_sets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -67,3 +71,49 @@ def test_edges(spark):
     assert got == {2: 1, 1: 1, None: None, 3: 3}
     assert sorted((r["doc_id"] or 0 for r in keep_one_per_component(df).collect())) == [0, 1, 3]
     assert keep_one_per_component(df).columns == df.columns
+
+
+def test_postings_in_batches_of_any_size():
+    """Streaming over sorted postings gives the same rows however they are cut."""
+    rng = random.Random(4)
+    size = {nid: rng.randint(10, 40) << 32 for nid in range(31)}
+    rows = sorted({(rng.randint(0, 12), 0, size[nid], nid) for nid in rng.choices(range(31), k=60)})
+    rows = [r for r in rows for _ in range(rng.choice((1, 1, 2)))] + [(99, 1, 5 << 32, 3), (99, 2, 50 << 32, 4)]
+    table = pa.table({k: pa.array([r[i] for r in rows], pa.int32() if k == "salt" else pa.int64()) for i, k in enumerate(("h", "salt", "sp", "nid"))}).select(["h", "salt", "nid", "sp"])
+    want = []
+    for r in sorted(set(rows)):
+        others = [x for x in rows if x[:2] == r[:2] and x[3] != r[3]]
+        fits = any(100 * min(x[2] >> 32, r[2] >> 32) >= 75 * max(x[2] >> 32, r[2] >> 32) for x in others)
+        want.append((r, fits or r[1] > 0))
+    for size in (1, 2, 3, 7, 1000):
+        got = [tuple(x[k] for k in ("h", "salt", "sp", "nid")) for b in _partnered(75)(iter(table.to_batches(max_chunksize=size))) for x in b.to_pylist()]
+        assert got == [r for r, ok in want if ok]
+        firsts = [tuple(x.values()) for b in _with_first(iter(table.to_batches(max_chunksize=size))) for x in b.to_pylist()]
+        head = {}
+        for r in rows:
+            head.setdefault(r[:2], (r[3], r[2]))
+        assert firsts == [(r[0], r[3], r[2], *head[r[:2]]) for r in rows]
+    assert [b.num_rows for b in _partnered(75)(iter([]))] == [0]
+
+
+def test_frequent_ngrams_in_several_groups(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 3)
+    rows = corpus(7)
+    df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], SCHEMA)
+    assert sorted(map(tuple, jaccard_components(df).collect())) == brute(rows)
+
+
+def test_words_are_split_and_lowered_as_bytes():
+    texts = ["A b\tc\x0bd\re\nf", "", "x" * 40 + " É y Zz " + "w" * 33, " lead  trail ", "one", "a b c d e", "\x1c k"]
+    cells = pa.array([t.encode() for t in texts], pa.binary())
+    found = list(shingle_sets(pa.concat_arrays([pa.array([b"skip"]), cells]).slice(1), 2))
+    name = {}
+    for text, s in zip(texts, found, strict=True):
+        words = text.encode().lower().split()
+        grams = {tuple(words[i : i + 2]) for i in range(len(words) - 1)} if len(words) > 1 else {tuple(words)} - {()}
+        assert len(s) == len(grams) and np.array_equal(s, np.unique(s))
+        for g in grams:
+            single = next(iter(shingle_sets(pa.array([b" ".join(g)]), 2)))
+            assert single[0] in s
+            name.setdefault(g, single[0])
+    assert len(set(name.values())) == len(name)
