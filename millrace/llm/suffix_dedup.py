@@ -42,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm._work import bucketed, materialize, slices, text_rows
+from millrace.llm._work import bucketed, flat_bytes, materialize, slices, text_rows
 
 GRAM = 32
 #: Bytes of text that are named together; arrays of eight times this size stay in a core's cache.
@@ -166,7 +166,7 @@ def _settle(entries: DataFrame, bucket: list[str], span: list[str], name: str) -
     met = materialize(met.where("a <> b").select(*bucket, (F.col("c") != F.col("d")).alias("mixed")), f"{name}-met")
     rows = materialize(entries.join(met, bucket).withColumn("ref", ref), name)
     mixed = rows.where("mixed")
-    spans = mixed.groupBy(bucket + span).agg(F.min("ref").alias("one"), F.max("ref").alias("other"))
+    spans = materialize(mixed.groupBy(bucket + span).agg(F.min("ref").alias("one"), F.max("ref").alias("other")), f"{name}-spans")
     mixed = mixed.join(spans, bucket + span)
     told = mixed.withColumn("twice", F.col("one") != F.col("other")).withColumn("on", F.col("ref") == F.col("one"))
     alike = rows.where("NOT mixed").withColumn("twice", F.lit(True)).withColumn("on", F.lit(False))
@@ -183,9 +183,7 @@ def _cut(length: int):
             for first, count in slices(b.column(1), 1 << 23):
                 part = b.slice(first, count)
                 texts, runs = part.column(1), part.column(2)
-                at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + count + 1].astype(np.int64)
-                raw = np.frombuffer(texts.buffers()[2], np.uint8)[at[0] : at[-1]]
-                at -= at[0]
+                raw, at = flat_bytes(texts)
                 flat = runs.flatten()
                 base = np.repeat(at[:-1], np.diff(runs.offsets.to_numpy()))
                 begin = flat.field("start").to_numpy() + base
@@ -238,4 +236,5 @@ def _repeated(windows: DataFrame, bucket: list[str]) -> DataFrame:
     ref = F.xxhash64("nid", "start")
     windows = materialize(windows, "windows")
     met = windows.groupBy(bucket).agg(F.min(ref).alias("a"), F.max(ref).alias("b")).where("a <> b").select(bucket)
+    met = materialize(met, "windows-met")  # so that both sides of the join are plain shuffles, whose large partitions are split
     return windows.join(met, bucket, "left_semi").select("nid", "start", "n")
