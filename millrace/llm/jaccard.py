@@ -400,7 +400,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
 
     lowest = labels.join(reps.select("nid", "doc_id").join(labels, "nid").groupBy("label").agg(F.min("doc_id").alias("low")), "label").select("nid", "low")
     alone = reps.select("nid", F.col("doc_id").alias("rep"))
-    found = alone.join(lowest, "nid", "left").select("nid", F.coalesce("low", "rep").alias("low"))
+    found = materialize(alone.join(lowest, "nid", "left").select("nid", F.coalesce("low", "rep").alias("low")), "found")
     return members.select("doc_id", "nid", "n").join(found, "nid", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
 
 
