@@ -26,11 +26,12 @@ def ordinal(df: DataFrame, bucket: Column, order: list[Column], name: str = "ord
 
 
 def by_number(df: DataFrame, id_col: str = "row_id", name: str = "ord", descending: bool = False) -> DataFrame:
-    """Positions in the order of an integer column, bucketed by its range."""
+    """Positions in the order of an integer column, bucketed by its range; rows without a number come first, last where descending."""
     ends = df.agg(F.min(id_col).alias("__lo"), F.max(id_col).alias("__hi"))
     rows = df.crossJoin(F.broadcast(ends))
     at = F.floor((F.col(id_col) - F.col("__lo")).cast("double") * BUCKETS / (F.col("__hi") - F.col("__lo") + 1)).cast("int")
-    out = ordinal(rows, -at if descending else at, [F.col(id_col).desc() if descending else F.col(id_col)], name)
+    at = F.coalesce(-at if descending else at, F.lit(1 if descending else -1))
+    out = ordinal(rows, at, [F.col(id_col).desc() if descending else F.col(id_col)], name)
     return out.drop("__lo", "__hi")
 
 

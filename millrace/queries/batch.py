@@ -163,7 +163,7 @@ SQL = {
     "b1_head": f"WITH {ROLLOUTS} SELECT row_id % 3 AS iteration, row_id FROM r ORDER BY 1, 2 LIMIT 250",
     "b2_concat": f"WITH {ROLLOUTS} SELECT row_id, score FROM r UNION ALL SELECT row_id, score FROM r WHERE row_id < 5",
     "b3_shuffled_slice": f"WITH {ROLLOUTS}, o AS (SELECT row_id, row_number() OVER (ORDER BY md5('7|' || row_id), row_id) - 1 AS ord FROM r) SELECT * FROM o WHERE ord >= 100",
-    "b4_partition": _ORD + ", p AS (SELECT * FROM o WHERE row_id < 9998) SELECT row_id, ord FROM p, (SELECT count(*) // 5 AS k FROM p) WHERE ord >= 3 * k AND ord < 4 * k",
+    "b4_partition": _ORD + " SELECT row_id, ord FROM o, (SELECT count(*) // 5 AS k FROM r) WHERE ord >= 3 * k AND ord < 4 * k",
     "b5_select_positions": _ORD + " SELECT w.k::BIGINT AS \"at\", row_id, score FROM o JOIN (VALUES (0, 5), (1, 3), (2, 3), (3, 99), (4, 0)) w(k, ord) USING (ord)",
     "b5_slice": _ORD + " SELECT row_id FROM o WHERE ord >= 10 AND ord < 500 AND (ord - 10) % 7 = 0",
     "b6_columns": f"WITH {ROLLOUTS} SELECT row_id, score AS reward FROM r",
@@ -174,10 +174,10 @@ SQL = {
     "b9_repeat_each": f"WITH {ROLLOUTS} SELECT row_id, unnest(range(row_id % 4))::INT AS rep FROM r",
     "b10_unfold_chunks": f"WITH {TOKENS} SELECT row_id, (t // 4)::INT AS part, round(sum(logp), 6) AS s, count(*)::INT AS n FROM tok GROUP BY ALL",
     "b11_pad": _ORD + ", n AS (SELECT count(*) AS n, (768 - count(*) % 768) % 768 AS p FROM r) SELECT row_id, ord, false AS pad FROM o UNION ALL SELECT row_id, ord + n, true FROM o, n WHERE ord < p",
-    "b11_unpad": f"WITH {ROLLOUTS} SELECT row_id FROM r WHERE row_id < 10 UNION ALL SELECT row_id FROM r WHERE row_id < 10",
+    "b11_unpad": _ORD + " SELECT row_id FROM o UNION ALL SELECT row_id FROM o WHERE ord < (SELECT (64 - count(*) % 64) % 64 FROM r)",
     "b12_fold": _ORD + " SELECT ord // 9 AS chunk, count(*)::INT AS n, arg_min(score, ord) AS first, arg_max(score, ord) AS last FROM o GROUP BY 1",
     "b12_unfold": _ORD + " SELECT ord, score FROM o",
-    "b13_collate": f"WITH {ROLLOUTS}, k AS (SELECT *, row_number() OVER (PARTITION BY data_source ORDER BY row_id) AS i FROM r) SELECT data_source, string_agg(row_id::VARCHAR, ',' ORDER BY i) AS ids FROM k WHERE i <= 5 GROUP BY 1",
+    "b13_collate": _ORD + " SELECT ord // 100 AS chunk, " + ", ".join(f"list({c} ORDER BY ord) AS {c}" for c in ("row_id", "uid", "data_source", "score", "len")) + " FROM o GROUP BY 1",
     "b14_mini_batches": _ORD + " SELECT ord // 100 AS chunk, count(*) AS n, min(row_id) AS first FROM o GROUP BY 1",
     "b15_karmarkar_karp": _ORD + " SELECT ord // 512 AS batch, count(*) AS rows, 8::BIGINT AS parts, sum(len)::BIGINT AS tokens FROM o GROUP BY 1",
     "b16_greedy": _ORD + " SELECT ord // 512 AS batch, count(*) AS rows, 8::BIGINT AS parts, sum(len)::BIGINT AS tokens FROM o GROUP BY 1",

@@ -47,7 +47,7 @@ def a4_throughput(spark, sf_dir):
 
 def _samples(spark, sf_dir):
     r = rollouts(spark, sf_dir)
-    return r.select("data_source", F.concat(F.lit("p"), F.pmod("row_id", F.lit(120)).cast("string")).alias("prompt"), F.lit("reward").alias("var"), F.col("row_id").alias("pos"), F.col("score").alias("value"), F.pmod(F.col("row_id") * 7, F.lit(3)).cast("string").alias("pred"))
+    return r.select("data_source", F.concat(F.lit("p"), F.floor(F.col("row_id") / 20).cast("string")).alias("prompt"), F.lit("reward").alias("var"), F.col("row_id").alias("pos"), F.col("score").alias("value"), F.pmod(F.col("row_id") * 7, F.lit(3)).cast("string").alias("pred"))
 
 
 def a5_validation_metrics(spark, sf_dir):
@@ -116,7 +116,7 @@ def x10_lengths(spark, sf_dir):
 
 QUERIES = {k: v for k, v in globals().items() if k[:1] in "ax" and k[1:2].isdigit() and callable(v)}
 
-_S = ROLLOUTS + ", s AS (SELECT data_source, 'p' || (row_id % 120) AS prompt, 'reward' AS var, row_id AS pos, score AS value, ((row_id * 7) % 3)::VARCHAR AS pred FROM r WHERE row_id < 3000)"
+_S = ROLLOUTS + ", s AS (SELECT data_source, 'p' || (row_id // 20) AS prompt, 'reward' AS var, row_id AS pos, score AS value, ((row_id * 7) % 3)::VARCHAR AS pred FROM r)"
 
 SQL = {
     "a1_reduce_metrics": f"WITH {ROLLOUTS}, k AS (SELECT (['loss/max', 'loss/min', 'loss', 'maximum_gain', 'minmax'])[row_id % 5 + 1] AS key, score AS value FROM r) SELECT key, round(CASE WHEN contains(key, 'max') THEN max(value) WHEN contains(key, 'min') THEN min(value) ELSE avg(value) END, 6) + 0.0 AS value FROM k GROUP BY key",

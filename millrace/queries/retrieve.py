@@ -88,7 +88,7 @@ SQL = {
     "j1_dense_top_k": "WITH s AS (SELECT q.vec_id AS query_id, e.vec_id, list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda z: z[1]::DOUBLE * z[2]::DOUBLE)) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) SELECT query_id, rank::INT AS rank, vec_id, round(score, 6) + 0.0 AS score FROM k WHERE rank <= 3",
     "s15_postings": "WITH w AS (SELECT item_id AS doc_id, regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z]+)?') AS ws FROM benchmark), x AS (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM w) SELECT doc_id, term, count(*) AS tf, any_value(dl)::INT AS dl FROM x GROUP BY doc_id, term",
     "j2_bm25": r"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z]+)?') AS ws FROM documents), x AS (SELECT doc_id, len(ws) AS dl, unnest(ws) AS term FROM w), p AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM x GROUP BY ALL),
-st AS (SELECT count(DISTINCT doc_id) AS n, (SELECT avg(dl) FROM (SELECT DISTINCT doc_id, dl FROM p)) AS a FROM p), q AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(array_to_string(string_split(text, ' ')[1:6], ' ')), '[a-z0-9]+(?:''[a-z]+)?')) AS term FROM benchmark), qt AS (SELECT query_id, term, count(*) AS qtf FROM q GROUP BY ALL),
+st AS (SELECT count(DISTINCT doc_id) AS n, (SELECT avg(dl) FROM (SELECT DISTINCT doc_id, dl FROM p)) AS a FROM p), q AS (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z]+)?')) AS term FROM benchmark), qt AS (SELECT query_id, term, count(*) AS qtf FROM q GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM p GROUP BY term), s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 0.9 * (1 - 0.4 + 0.4 * dl / a)) * qtf) AS score FROM p JOIN qt USING (term) JOIN df USING (term), st GROUP BY ALL),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM s) SELECT query_id, rank::INT AS rank, doc_id, round(score, 6) + 0.0 AS score FROM k WHERE rank <= 3""",
     "s3_fetch": "SELECT request::INT AS request, pos::INT AS pos, doc_id, n_chars FROM (VALUES (0, 0, 5), (0, 1, 3), (0, 2, 5), (1, 0, 7)) w(request, pos, doc_id) JOIN documents USING (doc_id)",

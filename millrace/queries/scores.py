@@ -162,7 +162,7 @@ SQL = {
     "d5_format_score": "WITH " + TRAJ + r""", b AS (SELECT conv_id, traj, regexp_extract_all(traj, '(?s)<\|im_start\|>assistant\n(.*?)<\|im_end\|>', 1) AS a FROM tr)
 SELECT conv_id, round(((len(a) > 0 AND len(list_filter(a, lambda x: NOT regexp_matches(x, '(?s)^\s*<think>.*?\S.*?</think>'))) = 0)::INT + (len(list_filter(regexp_extract_all(traj, '(?s)<search>(.*?)</search>', 1), lambda x: trim(x) <> '')) >= 1)::INT
  + coalesce(len(list_filter(regexp_extract_all(traj, '(?s)<answer>(.*?)</answer>', 1), lambda x: trim(x) <> '')) = 1 AND contains(a[-1], '</answer>'), false)::INT) / 3.0, 6) + 0.0 AS format FROM b""",
-    "d6_short_form": r"""WITH d AS (SELECT doc_id, array_to_string(string_split(text, ' ')[1:doc_id % 13], ' ') AS a, CASE WHEN doc_id % 4 = 0 THEN 'other' ELSE text END AS i FROM documents WHERE doc_id % 3 < 2),
+    "d6_short_form": r"""WITH d AS (SELECT doc_id, array_to_string(string_split(text, ' ')[1:doc_id % 13], ' ') AS a, CASE WHEN doc_id % 4 = 0 THEN 'other' ELSE text END AS i FROM documents),
 p AS (SELECT doc_id, a, trim(regexp_replace(regexp_replace(lower(a), '[!-/:-@\[-`{-~]', '', 'g'), '\s+', ' ', 'g')) AS x, trim(regexp_replace(regexp_replace(lower(i), '[!-/:-@\[-`{-~]', '', 'g'), '\s+', ' ', 'g')) AS y FROM d)
 SELECT doc_id, CASE WHEN trim(a) = '' OR (x NOT IN ('yes', 'no') AND NOT contains(y, x)) OR x = '' THEN 0.0 WHEN len(string_split(x, ' ')) <= 5 THEN 1.0 WHEN len(string_split(x, ' ')) <= 10 THEN 0.5 ELSE 0.0 END::DOUBLE AS reward FROM p""",
     "d8_length_penalty": f"WITH {ROLLOUTS} SELECT row_id, round({_PEN}, 6) + 0.0 AS penalty FROM r",

@@ -141,9 +141,10 @@ SQL = {
     "t8_evidence": _WT + f" SELECT conv_id, len({_blocks('information')})::INT AS n_blocks FROM tr",
     "t9_normalize": "SELECT item_id, " + _NORM.format(x="text") + " AS norm FROM benchmark",
     "t10_dedup_docs": _WT + ", b AS (SELECT conv_id, list_transform(regexp_extract_all(traj, '(?s)<information>(.*?)</information>', 1), lambda x: trim(x, ' ' || chr(10))) AS d, len(regexp_extract_all(traj, '(?s)<search>(.*?)</search>', 1)) AS n FROM tr) SELECT conv_id, (2 * n)::INT AS n_turns, len(list_distinct(list_filter(list_transform(d[1:n], lambda x: x[1:200]), lambda x: x <> '')))::INT AS n_kept FROM b",
-    "t12_ngram_overlap": r"""WITH d AS (SELECT doc_id, regexp_extract_all(lower(text[1:400]), '[a-z0-9]+(?:''[a-z]+)?') AS a, regexp_extract_all(lower(text[200:599]), '[a-z0-9]+(?:''[a-z]+)?') AS e FROM documents WHERE lang = 'en'),
-g AS (SELECT doc_id, list_transform(range(1, greatest(len(a) - 2, 1)), lambda i: array_to_string(a[i:i + 3], ' ')) AS x, list_transform(range(1, greatest(len(e) - 2, 1)), lambda i: array_to_string(e[i:i + 3], ' ')) AS y FROM d)
-SELECT doc_id, round(CASE WHEN len(x) > 0 THEN len(list_filter(x, lambda v: list_contains(y, v)))::DOUBLE / len(x) ELSE 0.0 END, 6) + 0.0 AS overlap FROM g""",
+    "t12_ngram_overlap": r"""WITH w AS (SELECT 'd' AS k, doc_id AS id, regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z]+)?') AS ws FROM documents UNION ALL SELECT 'b', item_id, regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z]+)?') FROM benchmark),
+g AS (SELECT k, id, array_to_string(ws[i:i + 3], ' ') AS g FROM (SELECT *, unnest(range(1, len(ws) - 2)) AS i FROM w)), b AS (SELECT DISTINCT g FROM g WHERE k = 'b'),
+n AS (SELECT g.id, count(*) AS n, count(b.g) AS hit FROM g LEFT JOIN b USING (g) WHERE k = 'd' GROUP BY g.id)
+SELECT doc_id, round(coalesce(hit / n, 0), 6) + 0.0 AS overlap FROM documents LEFT JOIN n ON n.id = doc_id""",
     "t13_tokens": r"WITH k AS (SELECT item_id, len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}\p{Pc}]+|[^\p{L}\p{M}\p{N}\p{Pc}\s]'))::INT AS n FROM benchmark) SELECT item_id, n, least(n, 8)::INT AS n_cut FROM k",
     "t14_exact_match": "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS em, CASE WHEN item_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS sub_em, 0.0::DOUBLE AS without_tags FROM benchmark",
     "t15_gsm8k": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '1' || lpad((doc_id % 1000)::VARCHAR, 3, '0') END AS strict, CASE doc_id % 4 WHEN 0 THEN '1,' || lpad((doc_id % 1000)::VARCHAR, 3, '0') WHEN 1 THEN doc_id || '.' WHEN 3 THEN doc_id::VARCHAR END AS flexible FROM documents",

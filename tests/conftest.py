@@ -1,5 +1,6 @@
 """One local session for all tests."""
 
+import functools
 import os
 import sys
 
@@ -9,9 +10,9 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
-@pytest.fixture(scope="session")
-def spark():
-    session = (
+@functools.cache
+def session():
+    made = (
         SparkSession.builder.master("local[4]")
         .appName("tests")
         .config("spark.sql.shuffle.partitions", "4")
@@ -20,6 +21,10 @@ def spark():
         .config("spark.driver.memory", "4g")
         .getOrCreate()
     )
-    session.sparkContext.setLogLevel("ERROR")
-    yield session
-    session.stop()
+    made.sparkContext.setLogLevel("ERROR")
+    return made
+
+
+@pytest.fixture
+def spark():
+    return session()

@@ -1,6 +1,7 @@
 """Every registered query against its SQL on the smallest tables."""
 
 import decimal
+import functools
 import math
 import os
 
@@ -15,15 +16,22 @@ QUERIES, SQL = registry.queries(), registry.oracle_sql()
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
 
 
-@pytest.fixture(scope="module")
-def duck():
-    duckdb = pytest.importorskip("duckdb")
+@functools.cache
+def connection():
+    import duckdb
+
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return con
 
 
+@pytest.fixture
+def duck():
+    pytest.importorskip("duckdb")
+    return connection()
+
+
 def plain(v):
     if isinstance(v, (float, decimal.Decimal)):
         return "nan" if math.isnan(v) else float(f"{float(v):.9g}") + 0.0
