@@ -11,6 +11,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from millrace.functions import text as T
+
 # What the comparison of answers removes or rewrites before anything else, in this order.
 REWRITES = [("\n", ""), ("\\!", ""), ("\\\\", "\\"), ("tfrac", "frac"), ("dfrac", "frac"), ("\\left", ""), ("\\right", ""), ("^{\\circ}", ""), ("^\\circ", ""), ("\\$", "")]
 # Rewritten after units are cut off.
@@ -108,3 +110,38 @@ def pass_ratio(flags: Column, most: int = 10) -> Column:
     """Share of recorded test outcomes that passed, over the first ones; code is never run here."""
     first = F.slice(flags, 1, most)
     return F.when(F.size(first) > 0, F.aggregate(first, F.lit(0.0), lambda s, f: s + f.cast("double")) / F.greatest(F.size(first), F.lit(1))).otherwise(0.0)
+
+
+# What a competition answer loses before comparison, in this order.
+DAPO_REWRITES = [("an ", ""), ("a ", ""), (".$", "$"), ("\\$", ""), (r"\ ", ""), (" ", ""), ("mbox", "text"), (",\\text{and}", ","), ("\\text{and}", ","), ("\\text{m}", "\\text{}")]
+# Units and marks that are removed, in this order.
+DAPO_REMOVED = ["square", "ways", "integers", "dollars", "mph", "inches", "hours", "km", "units", "\\ldots", "sue", "points", "feet", "minutes", "digits", "cents", "degrees", "cm", "gm", "pounds", "meters", "meals", "edges", "students", "childrentickets", "multiples", "\\text{s}", "\\text{.}", "\\text{\ns}", "\\text{}^2", "\\text{}^3", "\\text{\n}", "\\text{}", "\\mathrm{th}", "^\\circ", "^{\\circ}", "\\;", ",\\!", "{,}", '"', "\\dots"]
+
+
+def dapo_normal(x: Column) -> Column:
+    """One spelling of a competition answer: right-hand side, without units, marks and text macros, short TeX written out, thousands joined."""
+    x = _literal(F.substring_index(x, "=", -1), DAPO_REWRITES)
+    x = _literal(x, [(w, "") for w in DAPO_REMOVED])
+    x = F.regexp_replace(x, r"(?:.*?)\$(.*?)\$(?:.*)", r"\$$1\$")
+    for macro in ("text", "textbf", "overline"):
+        x = F.regexp_replace(x, r"\\" + macro + r"\{(.*?)\}", "$1")
+    x = F.regexp_replace(x, r"\\boxed\{(.*)\}", "$1")
+    x = F.regexp_replace(x, r"frac([^{])(.)", "frac{$1}{$2}")
+    x = F.replace(F.regexp_replace(x, r"sqrt([^{])", "sqrt{$1}"), F.lit("$"), F.lit(""))
+    whole = F.replace(x, F.lit(","), F.lit(""))
+    return T.strip(F.when(whole.rlike(r"\A[0-9]+\z"), whole).otherwise(x))
+
+
+def dapo_score(x: Column, gold: Column) -> Column:
+    """1 if the last answer line of the final 300 characters and the gold answer have one spelling, else -1."""
+    return F.when(dapo_normal(T.boxed_number_answer(x)) == dapo_normal(gold), 1.0).otherwise(-1.0)
+
+
+def strict_box_score(x: Column, gold: Column) -> Column:
+    """1 if the last box of the final 100 characters holds exactly the gold answer, else -1."""
+    return F.when(F.coalesce(boxed(F.right(x, F.lit(100))) == gold, F.lit(False)), 1.0).otherwise(-1.0)
+
+
+def mixed_numbers(x: Column) -> Column:
+    """A whole number written before a fraction becomes a sum: ``3 1/2`` is ``3+1/2``."""
+    return F.regexp_replace(x, r"([0-9]) +([0-9])", "$1+$2")

@@ -77,14 +77,66 @@ def short_form_reward(response: Column, conversation: Column) -> Column:
     return F.when(F.coalesce(bad | loose, F.lit(True)), 0.0).when(n.between(1, 5), 1.0).when(n.between(6, 10), 0.5).otherwise(0.0)
 
 
-def format_score(x: Column, min_searches: Column | int = 1) -> Column:
-    """Mean of three checks: every assistant turn thinks first, enough searches, exactly one final non-empty answer."""
-    turns = F.regexp_extract_all(x, F.lit(r"(?s)<\|im_start\|>assistant\n(.*?)<\|im_end\|>"), F.lit(1))
-    thinks = (F.size(turns) > 0) & F.forall(turns, lambda t: t.rlike(r"(?s)\A\s*<think>.*?\S.*?</think>"))
-    searches = F.size(T.stripped_blocks(x, "search")) >= (F.lit(min_searches) if isinstance(min_searches, int) else min_searches)
-    answers = T.stripped_blocks(x, "answer")
-    final = (F.size(answers) == 1) & T.last(turns).contains("</answer>")
-    return (thinks.cast("double") + searches.cast("double") + F.coalesce(final, F.lit(False)).cast("double")) / 3.0
+def _ratio(part: Column, whole: Column) -> Column:
+    return F.when(whole > 0, F.least(part / F.greatest(whole, F.lit(1)), F.lit(1.0))).otherwise(0.0)
+
+
+def _calls(turn: Column, markup: str) -> Column:
+    """Valid search calls of a text in one markup."""
+    if markup == "search_r1":
+        return F.size(T.stripped_blocks(turn, "search"))
+    if markup == "function_calls":
+        return F.size(F.regexp_extract_all(turn, F.lit(T.FC_SEARCH), F.lit(1)))
+    if markup == "tool_call":
+        return T.valid_tool_calls(turn).cast("int")
+    raise ValueError(f"unknown markup {markup!r}")
+
+
+def thinking_share(turns: Column, budget: int | None = None) -> Column:
+    """Share of the turns that begin with a thought, of at most ``budget`` tokens where one is given; 0 without turns."""
+    within = lambda t: T.leading_thought(t).isNotNull() if budget is None else F.coalesce(T.token_count(T.leading_thought(t)) <= budget, F.lit(False))
+    return _ratio(F.size(F.filter(turns, within)), F.size(turns))
+
+
+def final_task(turn: Column) -> Column:
+    """The task that a final turn gives: in the last task tag, else by a submit call; null if none."""
+    return F.coalesce(F.nullif(T.strip(T.last(T.blocks(turn, "task"))), F.lit("")), T.submitted_task(turn))
+
+
+def task_format(x: Column, searches: Column | int | None = None, markup: str = "search_r1") -> Column:
+    """``(think, tool, structure, format)`` of a task writer's conversation; format is the mean of the three.
+
+    Tool: with ``searches`` expected, turns with a search less those with a
+    broken one, over that number; else calls over the turns before the last.
+    """
+
+    def parts(turns):
+        if searches is None:
+            calls, wanted = _calls(F.array_join(turns, "\n"), markup), F.greatest(F.size(turns) - 1, F.lit(0))
+            tool = F.when(wanted == 0, (calls == 0).cast("double")).otherwise(_ratio(calls, wanted))
+        else:
+            wanted = F.lit(searches) if isinstance(searches, int) else searches
+            first = lambda t: T.strip(F.get(T.blocks(t, "search"), F.lit(0)))
+            good = F.size(F.filter(turns, lambda t: F.coalesce(first(t) != "", F.lit(False))))
+            broken = F.size(F.filter(turns, lambda t: ~F.coalesce(first(t) != "", F.lit(False)) & t.contains("<search>")))
+            tool = F.when(wanted == 0, 1.0).otherwise(_ratio(F.greatest(good - broken, F.lit(0)), wanted))
+        think, structure = thinking_share(turns), final_task(T.last(turns)).isNotNull().cast("double")
+        return F.struct(think.alias("think"), tool.alias("tool"), structure.alias("structure"), ((think + tool + structure) / 3.0).alias("format"))
+
+    return T.let(T.assistant_turns(x), parts)
+
+
+def answer_format(x: Column, markup: str = "search_r1", think_budget: int | None = None) -> Column:
+    """``(think, tool, answer, format)`` of a solver's conversation: searches are due in every turn but the last."""
+
+    def parts(turns):
+        rest = F.slice(turns, F.lit(1), F.greatest(F.size(turns) - 1, F.lit(0)))
+        calls = F.aggregate(rest, F.lit(0), lambda n, t: n + _calls(t, markup))
+        think, tool = thinking_share(turns, think_budget), _ratio(calls, F.size(rest))
+        answer = F.coalesce(T.solver_answer(x).isNotNull() & (F.size(T.solver_errors(x)) == 0), F.lit(False)).cast("double")
+        return F.struct(think.alias("think"), tool.alias("tool"), answer.alias("answer"), ((think + tool + answer) / 3.0).alias("format"))
+
+    return T.let(T.assistant_turns(x), parts)
 
 
 def challenger_total(fmt: Column, diff: Column, quality: Column, mode: str = "additive", weights: tuple[float, float, float] = (0.3, 0.6, 0.1)) -> Column:
@@ -151,6 +203,57 @@ def grade_errors(x: Column) -> Column:
     return F.when(grades.isNull(), F.array(missing)).otherwise(bad)
 
 
+# The error messages of graders' output.
+_INVALID = ", must be 0, 0.5, or 1"
+
+
+def _assessment(i: Column, text: str) -> Column:
+    return F.concat(F.lit("Assessment "), (i + 1).cast("string"), F.lit(f": {text}"))
+
+
+def xml_grades(x: Column) -> Column:
+    """``(scores, errors)`` of ``<evaluation>`` with its assessments; an assessment without a valid score has none."""
+    body = F.get(T.blocks(x, "evaluation"), F.lit(0))
+    first = lambda a, tag: F.get(T.blocks(a, tag), F.lit(0))
+
+    def read(a, i):
+        raw = F.nullif(F.regexp_extract(a, r"<score>\s*([0-9.]+)\s*</score>", 1), F.lit(""))
+        value = raw.try_cast("double")
+        wrong = F.when(raw.isNull(), _assessment(i, "Missing <score> tag")).when(value.isNull(), F.concat(_assessment(i, "Non-numeric score: "), raw)).when(~value.isin(*GRADES), F.concat(_assessment(i, "Invalid score "), value.cast("string"), F.lit(_INVALID)))
+        errors = F.array_compact(F.array(F.when(first(a, "rubric").isNull(), _assessment(i, "Missing <rubric> tag")), F.when(first(a, "reasoning").isNull(), _assessment(i, "Missing <reasoning> tag")), wrong))
+        return F.struct(F.when(wrong.isNull(), value).alias("score"), errors.alias("errors"))
+
+    def collected(cells):
+        none = F.when(body.isNull() & x.contains("<evaluation>"), F.lit("Unclosed <evaluation> tag")).when(body.isNull(), F.lit("Missing <evaluation> tags")).when(F.size(cells) == 0, F.lit("No <rubric_assessment> blocks found"))
+        return _graded(cells, none)
+
+    return T.let(F.transform(T.blocks(body, "rubric_assessment"), read), collected)
+
+
+def json_grades(x: Column) -> Column:
+    """``(scores, errors)`` of the JSON array from the first bracket to the last; objects have rubric, reasoning and score."""
+    body = F.nullif(F.regexp_extract(x, r"(?s)(\[.*\])", 1), F.lit(""))
+    items = F.from_json(body, "array<string>")
+
+    def read(item, i):
+        raw = F.get_json_object(item, "$.score")
+        value = F.when(raw == "true", 1.0).when(raw == "false", 0.0).otherwise(raw.try_cast("double"))
+        wrong = F.when(~F.coalesce(item.startswith("{"), F.lit(False)), _assessment(i, "Expected object")).when(raw.isNull(), _assessment(i, "Missing 'score' field")).when(value.isNull(), F.concat(_assessment(i, "Invalid score type: "), raw)).when(~value.isin(*GRADES), F.concat(_assessment(i, "Invalid score "), value.cast("string"), F.lit(_INVALID)))
+        return F.struct(F.when(wrong.isNull(), value).alias("score"), F.array_compact(F.array(wrong)).alias("errors"))
+
+    def collected(cells):
+        return _graded(cells, F.when(body.isNull(), F.lit("No JSON array found in response")).when(items.isNull(), F.lit("JSON parse error")))
+
+    return T.let(F.transform(items, read), collected)
+
+
+def _graded(cells: Column, none: Column) -> Column:
+    """Scores and errors of parsed assessments; ``none`` is the error of the whole text, if it has one."""
+    scores = F.filter(F.transform(cells, lambda c: c["score"]), lambda v: v.isNotNull())
+    errors = F.when(none.isNotNull(), F.array(none)).otherwise(F.flatten(F.transform(cells, lambda c: c["errors"])))
+    return F.struct(F.coalesce(scores, F.array().cast("array<double>")).alias("scores"), errors.alias("errors"))
+
+
 RUBRIC = r"(?s)<rubric(?:\s+priority=\"([^\"]*)\")?\s*>(.*?)</rubric>"
 
 

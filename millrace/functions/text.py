@@ -81,6 +81,16 @@ def _orphan(text: Column) -> Column:
     return F.when(tail.contains("<answer>"), F.regexp_extract(tail, r"(?s)\A.*?<answer>(.*)\z", 1))
 
 
+def assistant_turns(x: Column) -> Column:
+    """Contents of the assistant's turns in chat markup."""
+    return F.regexp_extract_all(x, F.lit(r"(?s)<\|im_start\|>assistant\n(.*?)<\|im_end\|>"), F.lit(1))
+
+
+def leading_thought(turn: Column) -> Column:
+    """The thought that a turn begins with; null where it begins with something else."""
+    return F.when(turn.rlike(r"(?s)\A\s*<think>.*?</think>"), F.regexp_extract(turn, r"(?s)\A\s*<think>(.*?)</think>", 1))
+
+
 def tagged_answer(x: Column) -> Column:
     """Last answer over the assistant's segments: a closed tag, or one left open in a segment that is not the last; null if none."""
 
@@ -92,7 +102,7 @@ def tagged_answer(x: Column) -> Column:
     return last(found)
 
 
-_SUBMIT = "name string, arguments struct<answer:string,query_list:array<string>,queries:array<string>,query:string,task:string>"
+_SUBMIT = "name string, arguments struct<answer:string,query_list:array<string>,queries:array<string>,query:string,task:string,task_prompt:string>"
 
 
 def tool_calls(x: Column) -> Column:
@@ -105,6 +115,13 @@ def submitted_answer(x: Column) -> Column:
     return strip(F.get(calls, F.lit(0))["arguments"]["answer"])
 
 
+def submitted_task(x: Column) -> Column:
+    """Prompt of the first ``submit_task`` call that has one."""
+    calls = F.filter(tool_calls(x), lambda c: (c["name"] == "submit_task") & (strip(c["arguments"]["task_prompt"]) != ""))
+    return strip(F.get(calls, F.lit(0))["arguments"]["task_prompt"])
+
+
+# Markup of the search and answer formats.
 FC_ANSWER = r"""(?s)<function_calls>\s*answer\s*\(\s*answer\s*=\s*["'](.+?)["']\s*\)"""
 FC_SEARCH = r"""(?s)<function_calls>\s*search\s*\(\s*query\s*=\s*["'](.+?)["']\s*\)"""
 BOXED = r"\\boxed\{([^}]*)\}"
@@ -271,6 +288,12 @@ def gsm8k_answer(x: Column, strict: bool = True) -> Column:
     return last(numbers)
 
 
+def gsm8k_score(x: Column, gold: Column, strict: bool = True, score: float = 1.0, format_score: float = 0.0) -> Column:
+    """Score of an equal answer, ``format_score`` of another one, 0 without any."""
+    answer = gsm8k_answer(x, strict)
+    return F.when(answer.isNull(), 0.0).when(answer == gold, score).otherwise(format_score)
+
+
 def boxed_number_answer(x: Column) -> Column:
     """Text after the last ``Answer:`` in the last 300 characters, to the end of its line; ``[INVALID]`` if there is none."""
     found = last(F.regexp_extract_all(F.right(x, F.lit(300)), F.lit(r"(?i)Answer\s*:\s*([^\n]+)"), F.lit(1)))

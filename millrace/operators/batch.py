@@ -279,6 +279,13 @@ def pad(ids: Column | str, length: int, value: int, left: bool = False) -> Colum
     return F.concat(fill, ids) if left else F.concat(ids, fill)
 
 
+def fit(ids: Column | str, length: int, value: int, left: bool = False, keep_end: bool = False) -> Column:
+    """Padded or cut to exactly ``length``; what is cut off is the end, or the beginning where ``keep_end``."""
+    ids = F.col(ids) if isinstance(ids, str) else ids
+    short = F.slice(ids, F.greatest(F.size(ids) - length, F.lit(0)) + 1, F.lit(length)) if keep_end else F.slice(ids, F.lit(1), F.lit(length))
+    return pad(short, length, value, left)
+
+
 def remove_pad(ids: Column | str, mask: Column | str) -> Column:
     """Values where the mask is set."""
     cells = F.filter(F.arrays_zip(F.col(ids).alias("v"), F.col(mask).alias("m")), lambda x: x["m"] == 1)

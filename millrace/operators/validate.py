@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.functions.score import overlong_penalty
 
 
+# The error messages of turns and records.
 def tag_errors(x: Column, tag: str, name: str | None = None) -> Column:
     """Missing, unclosed and empty tags told apart."""
     name = name or tag
@@ -24,10 +26,6 @@ def turn_errors(x: Column, final: Column) -> Column:
     return F.concat(tag_errors(x, "think"), F.when(final, tag_errors(x, "answer")).otherwise(tag_errors(x, "search")))
 
 
-def assistant_turns(x: Column) -> Column:
-    return F.regexp_extract_all(x, F.lit(r"(?s)<\|im_start\|>assistant\n(.*?)<\|im_end\|>"), F.lit(1))
-
-
 def record_errors(x: Column) -> Column:
     """Errors of all assistant turns of a trajectory, each with its turn; none at all is an error too."""
 
@@ -35,17 +33,7 @@ def record_errors(x: Column) -> Column:
         cells = F.transform(turns, lambda t, i: F.transform(turn_errors(t, i == F.size(turns) - 1), lambda e: F.concat(F.lit("turn "), (i + 1).cast("string"), F.lit(": "), e)))
         return F.when(F.size(turns) == 0, F.array(F.lit("no assistant turn"))).otherwise(F.flatten(cells))
 
-    return T.let(assistant_turns(x), numbered)
-
-
-def solver_format(x: Column) -> tuple[Column, Column]:
-    """Score (share of turns without errors) and the error list of a solver's trajectory."""
-
-    def share(turns):
-        good = F.filter(F.transform(turns, lambda t, i: F.size(turn_errors(t, i == F.size(turns) - 1)) == 0), lambda ok: ok)
-        return F.when(F.size(turns) > 0, F.size(good) / F.greatest(F.size(turns), F.lit(1))).otherwise(0.0)
-
-    return T.let(assistant_turns(x), share), record_errors(x)
+    return T.let(T.assistant_turns(x), numbered)
 
 
 def token_budget(x: Column, think_limit: int, answer_limit: int) -> Column:
@@ -129,6 +117,55 @@ class RewardRegistry:
         return self._known[name](response, gold)
 
 
+def _safe(scorer: Callable[[str], float]):
+    """A scorer over batches of texts whose failures score 0."""
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        def one(text):
+            try:
+                return float(scorer(text))
+            except Exception:  # a scorer's failure is a score of 0 by definition
+                return 0.0
+
+        return pd.Series([one(t) for t in texts], dtype="float64")
+
+    return scored
+
+
+def _plain(rows: DataFrame, score: Column) -> Column:
+    return score
+
+
+def _overlong(rows: DataFrame, score: Column, expected: int = 12, buffer: int = 4) -> Column:
+    return score + overlong_penalty(F.col("len"), expected, buffer)
+
+
+_MANAGERS: dict[str, Callable[[DataFrame, Column], Column]] = {"naive": _plain, "batch": _plain, "dapo": _overlong, "prime": _plain}
+
+
+def managers() -> list[str]:
+    """Names of the registered reward managers."""
+    return list(_MANAGERS)
+
+
+def register_manager(name: str, manager: Callable[[DataFrame, Column], Column]) -> None:
+    """A manager turns rows and their score into a reward; a name can be taken once, or again by the same manager."""
+    if _MANAGERS.setdefault(name, manager) is not manager:
+        raise ValueError(f"manager {name!r} is taken")
+
+
+def reward(name: str, rows: DataFrame, scorer: Callable[[str], float], text_col: str = "solution") -> DataFrame:
+    """``rows`` with the ``reward`` of a registered manager for the scorer's scores.
+
+    Row by row, in batches and by a pool of workers are one here: scores are
+    computed in Arrow batches on all executors, and a failing row scores 0.
+    """
+    if name not in _MANAGERS:
+        raise ValueError(f"unknown manager {name!r}; known: {managers()}")
+    return rows.withColumn("reward", _MANAGERS[name](rows, _safe(scorer)(F.col(text_col))))
+
+
 def rolling_context(lengths: Column, budget: int) -> Column:
     """Index of the first message that a context of ``budget`` tokens, cut on the left, still holds whole."""
     zero = F.struct(F.lit(0).alias("used"), F.size(lengths).alias("first"), F.lit(True).alias("open"))

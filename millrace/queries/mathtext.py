@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import mathtext as M
-from millrace.sources.views import ROLLOUTS, r6, rollouts
+from millrace.functions import text as T
+from millrace.sources.views import ROLLOUTS, one_of, pick, picked, r6, rollouts, table
 
 # Response, gold, and whether they match.
 CASES = [
@@ -23,6 +24,25 @@ CASES = [
 PAIRS = [("1,000", "1000", 1), ("0.5", "50%", 1), ("(1,2.00001)", "(1,2)", 1), ("(1,2]", "(1,2)", 0), ("\\frac{2}{4}", "\\frac{1}{2}", 0), ("3.14159", "3.1416", 1), ("abc", "abd", 0), ("2", "2.1", 0)]
 
 
+# Solutions and the spelling that their answers have after normalisation.
+SPELLINGS = [
+    ("so\nAnswer: x = 5 units", "5"),
+    ("Answer: \\frac12", "\\frac{1}{2}"),
+    ("Answer: $\\boxed{3}$", "3"),
+    ("answer : 1,234 dollars", "1234"),
+    ("ANSWER: \\text{yes} ", "yes"),
+    ("no final line", "[INVALID]"),
+    ("Answer: 9\nAnswer: 90^\\circ", "90"),
+    ("Answer: \\sqrt2", "\\sqrt{2}"),
+    ("Answer: a dog", "dog"),
+    ("Answer: 10\\text{ cm}", "10"),
+    ("Answer: 1,2,x", "1,2,x"),
+    ("Answer: 4" + " " * 300, "[INVALID]"),
+]
+# Texts, and the content of the box that the strict rule sees.
+BOXES = [("so \\boxed{7}", "7"), ("\\boxed{7}" + "." * 95, None), ("\\boxed{1} or \\boxed{8}", "8"), ("none", None), ("\\boxed{ 7 }", " 7 "), ("\\boxed{\\frac{1}{7}}", "\\frac{1}{7}")]
+
+
 def _case(cases, i):
     return F.element_at(F.array(*[F.lit(c[i]) for c in cases]), (F.pmod("row_id", F.lit(len(cases))) + 1).cast("int"))
 
@@ -45,9 +65,34 @@ def t20_pass_ratio(spark, sf_dir):
     return rollouts(spark, sf_dir).select("row_id", r6(M.pass_ratio(flags)).alias("ratio"))
 
 
-QUERIES = {k: v for k, v in globals().items() if k[:1] == "t" and k[1:2].isdigit() and callable(v)}
+def t17_dapo(spark, sf_dir):
+    """Spelling of the answer and its mark beside a gold answer drawn from all spellings."""
+    x = one_of([c[0] for c in SPELLINGS], pick("row_id", "says", len(SPELLINGS)))
+    gold = one_of([c[1] for c in SPELLINGS], pick("row_id", "gold", len(SPELLINGS)))
+    return rollouts(spark, sf_dir).select("row_id", M.dapo_normal(T.boxed_number_answer(x)).alias("spelling"), M.dapo_score(x, gold).alias("score"))
+
+
+def x17_strict_box(spark, sf_dir):
+    x = one_of([c[0] for c in BOXES], pick("row_id", "box", len(BOXES)))
+    return rollouts(spark, sf_dir).select("row_id", M.strict_box_score(x, one_of(["7", "8"], pick("row_id", "want", 2))).alias("score"))
+
+
+def x18_mixed_numbers(spark, sf_dir):
+    """Numbers of a document's words written as mixed ones."""
+    x = F.concat(F.col("n_chars").cast("string"), F.lit("  "), pick("doc_id", "n", 9).cast("string"), F.lit("/7 and 3 "), one_of(["x", "1/2", "+4", " 5 6"], pick("doc_id", "tail", 4)))
+    return table(spark, sf_dir, "documents").select("doc_id", M.mixed_numbers(x).alias("x"))
+
+
+QUERIES = {k: v for k, v in globals().items() if k[:1] in "tx" and k[1:2].isdigit() and callable(v)}
+
+def _stated(cases, i, salt):
+    return "([" + ", ".join("NULL" if c[i] is None else "'" + c[i].replace("'", "''") + "'" for c in cases) + f"])[{picked('row_id', salt, len(cases))} + 1]"
+
 
 SQL = {
+    "t17_dapo": f"WITH {ROLLOUTS}, a AS (SELECT row_id, {_stated(SPELLINGS, 1, 'says')} AS spelling, {_stated(SPELLINGS, 1, 'gold')} AS gold FROM r) SELECT row_id, spelling, CASE WHEN spelling = gold THEN 1.0 ELSE -1.0 END::DOUBLE AS score FROM a",
+    "x17_strict_box": f"WITH {ROLLOUTS} SELECT row_id, CASE WHEN {_stated(BOXES, 1, 'box')} = (['7', '8'])[{picked('row_id', 'want', 2)} + 1] THEN 1.0 ELSE -1.0 END::DOUBLE AS score FROM r",
+    "x18_mixed_numbers": f"SELECT doc_id, n_chars || '+' || {picked('doc_id', 'n', 9)} || (['/7 and 3 x', '/7 and 3+1/2', '/7 and 3 +4', '/7 and 3+5 6'])[{picked('doc_id', 'tail', 4)} + 1] AS x FROM documents",
     "t16_math_boxed": f"WITH {ROLLOUTS} SELECT row_id, ({[c[2] for c in CASES]})[row_id % {len(CASES)} + 1]::DOUBLE AS score FROM r",
     "t18_tiered_equal": f"WITH {ROLLOUTS} SELECT row_id, ({[c[2] for c in PAIRS]})[row_id % {len(PAIRS)} + 1] = 1 AS equal FROM r",
     "t19_geometry": f"WITH {ROLLOUTS} SELECT row_id, round(CASE WHEN row_id % 3 = 0 THEN 0.0 ELSE 0.9 END + CASE WHEN row_id % 2 = 0 THEN 0.1 ELSE 0.0 END, 6)::DOUBLE AS score FROM r",

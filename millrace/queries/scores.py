@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import score as S
 from millrace.functions import text as T
-from millrace.sources.views import JUDGED, ROLLOUTS, TRAJ, judgements, r6, rollouts, table, trajectories
+from millrace.sources.views import JUDGED, ROLLOUTS, TRAJ, judgements, one_of, pick, picked, r6, rollouts, table, trajectories
 
 
 def _grid(spark, sf_dir):
@@ -26,8 +26,22 @@ def d4_recovered_sum(spark, sf_dir):
     return g.select("row_id", S.recovered_sum(F.col("g"), F.col("n")).alias("total"))
 
 
+def _spoilt(spark, sf_dir):
+    """Trajectories of which some give a task instead of an answer, leave searches open or begin turns without a thought."""
+    x = F.when(pick("conv_id", "task", 2) == 0, F.replace(F.replace("traj", F.lit("<answer>"), F.lit("<task>")), F.lit("</answer>"), F.lit("</task>"))).otherwise(F.col("traj"))
+    x = F.when(pick("conv_id", "open", 3) == 0, F.replace(x, F.lit("</search>"), F.lit("</sear>"))).otherwise(x)
+    return trajectories(spark, sf_dir).select("conv_id", F.when(pick("conv_id", "idea", 2) == 0, F.regexp_replace(x, "<think>([a-m])", "<idea>$1")).otherwise(x).alias("x"))
+
+
 def d5_format_score(spark, sf_dir):
-    return trajectories(spark, sf_dir).select("conv_id", r6(S.format_score(F.col("traj"))).alias("format"))
+    rows = _spoilt(spark, sf_dir).select("conv_id", S.task_format(F.col("x")).alias("f"), S.task_format(F.col("x"), 2).alias("g"))
+    return rows.select("conv_id", *[r6(F.col(f"f.{c}")).alias(c) for c in ("think", "tool", "structure", "format")], r6(F.col("g.tool")).alias("tool_of_two"))
+
+
+def d7_solver_format(spark, sf_dir):
+    f = S.answer_format(F.col("x"), think_budget=4)
+    rows = _spoilt(spark, sf_dir).select("conv_id", S.answer_format(F.col("x")).alias("f"), f.alias("g"))
+    return rows.select("conv_id", *[r6(F.col(f"f.{c}")).alias(c) for c in ("think", "tool", "answer", "format")], r6(F.col("g.think")).alias("think_within"))
 
 
 def d6_short_form(spark, sf_dir):
@@ -66,6 +80,33 @@ def d12_grader_lists(spark, sf_dir):
     return _lists(spark, sf_dir).select("doc_id", F.array_join(S.comma_grades(x), ",", "?").alias("grades"), (F.size(S.grade_errors(x)) == 0).alias("is_valid"))
 
 
+# Ends of assessments: a good grade, wrong ones, none.
+_ENDS = ["<rubric>r</rubric><reasoning>w</reasoning><score>1</score>", "<rubric>r</rubric><reasoning>w</reasoning><score> 0.5 </score>", "<rubric>r</rubric><score>0</score>", "<reasoning>w</reasoning><score>2</score>", "<rubric>r</rubric><reasoning>w</reasoning><score>1.0.1</score>", "<rubric>r</rubric><reasoning>w</reasoning>", "<rubric>r</rubric><reasoning>w</reasoning><score>x</score>"]
+_ITEMS = ['{"rubric": "r", "reasoning": "w", "score": 1}', '{"rubric": "r", "score": 0.5}', '{"score": "0"}', '{"rubric": "r", "score": 3}', '{"rubric": "r"}', '{"rubric": "r", "score": "much"}', "7"]
+
+
+def _joined_picks(values, sep, most=4):
+    """Up to ``most - 1`` hashed choices from ``values``."""
+    return F.array_join(F.transform(F.slice(F.array(*[pick("doc_id", f"p{i}", len(values)) for i in range(most - 1)]), F.lit(1), pick("doc_id", "count", most)), lambda k: one_of(values, k)), sep)
+
+
+def _graded(df, x, read):
+    rows = df.select("doc_id", read(x).alias("g"))
+    return rows.select("doc_id", F.array_join(F.transform("g.scores", lambda v: v.cast("string")), ",").alias("scores"), F.array_join("g.errors", "; ").alias("errors"))
+
+
+def d12_grader_xml(spark, sf_dir):
+    body = F.concat(F.lit("<think>t</think><evaluation>"), F.when(pick("doc_id", "count", 4) > 0, F.concat(F.lit("<rubric_assessment>"), _joined_picks(_ENDS, "</rubric_assessment>\n<rubric_assessment>"), F.lit("</rubric_assessment>"))).otherwise(F.lit("nothing")))
+    x = F.when(pick("doc_id", "whole", 9) == 0, F.lit("no tags")).when(pick("doc_id", "whole", 9) == 1, body).otherwise(F.concat(body, F.lit("</evaluation>")))
+    return _graded(table(spark, sf_dir, "documents"), x, S.xml_grades)
+
+
+def d12_grader_json(spark, sf_dir):
+    body = F.concat(F.lit("Here it is: ["), _joined_picks(_ITEMS, ", "))
+    x = F.when(pick("doc_id", "whole", 9) == 0, F.lit("none")).when(pick("doc_id", "whole", 9) == 1, F.concat(body, F.lit("{]"))).otherwise(F.concat(body, F.lit("] done")))
+    return _graded(table(spark, sf_dir, "documents"), x, S.json_grades)
+
+
 def d12_single_grades(spark, sf_dir):
     return judgements(spark, sf_dir).select("item_id", "rubric_idx", S.single_grade(F.col("judge_text")).alias("grade"))
 
@@ -154,14 +195,38 @@ _G = f"WITH {ROLLOUTS}, g AS (SELECT row_id, (row_id % 11) / 2.0::DOUBLE AS s, (
 _PEN = "CASE WHEN row_id % 3000 <= 1024 THEN 1.0 WHEN row_id % 3000 >= 2048 THEN 0.05 ELSE 0.05 + 0.95 * 0.5 * (1 + cos(pi() * (row_id % 3000 - 1024) / 1024.0)) END"
 _J = f"WITH {JUDGED}, g AS (SELECT *, try_cast(nullif(regexp_extract(judge_text, '<score>([0-9.]+)</score>', 1), '') AS DOUBLE) AS g FROM j)"
 
+def _picks(meanings, none, broken, empty):
+    """What the hashed pieces mean, each stated by hand: its grade and its errors."""
+    quote = lambda v: "'" + v.replace("'", "''") + "'"
+    lists = [", ".join(quote(m[k]) for m in meanings) for k in (0, 1)]
+    at = ", ".join(picked("doc_id", f"p{i}", len(meanings)) for i in range(3))
+    return f"""WITH p AS (SELECT doc_id, {picked("doc_id", "whole", 9)} AS w, ([{at}])[:{picked("doc_id", "count", 4)}] AS k FROM documents),
+m AS (SELECT doc_id, w, len(k) AS n, list_transform(k, lambda x: ([{lists[0]}])[x + 1]) AS s, list_transform(k, lambda x, i: replace(([{lists[1]}])[x + 1], '#', i::VARCHAR)) AS e FROM p)
+SELECT doc_id, CASE WHEN w < 2 THEN '' ELSE array_to_string(list_filter(s, lambda x: x <> ''), ',') END AS scores, CASE w WHEN 0 THEN {quote(none)} WHEN 1 THEN {quote(broken)} ELSE CASE WHEN n = 0 THEN {quote(empty)} ELSE array_to_string(list_filter(e, lambda x: x <> ''), '; ') END END AS errors FROM m"""
+
+
+_SPOILT = "WITH " + TRAJ + f""", x1 AS (SELECT conv_id, CASE WHEN {picked("conv_id", "task", 2)} = 0 THEN replace(replace(traj, '<answer>', '<task>'), '</answer>', '</task>') ELSE traj END AS x FROM tr),
+x2 AS (SELECT conv_id, CASE WHEN {picked("conv_id", "open", 3)} = 0 THEN replace(x, '</search>', '</sear>') ELSE x END AS x FROM x1),
+x3 AS (SELECT conv_id, CASE WHEN {picked("conv_id", "idea", 2)} = 0 THEN regexp_replace(x, '<think>([a-m])', '<idea>\\1', 'g') ELSE x END AS x FROM x2),
+b AS (SELECT conv_id, regexp_extract_all(x, '(?s)<\\|im_start\\|>assistant\n(.*?)<\\|im_end\\|>', 1) AS t FROM x3)"""
+
 SQL = {
     "d1_continuous": _G + " SELECT row_id, round(CASE WHEN n <= 1 OR s <= 0 OR s >= n THEN 0.0 ELSE least((n - s) / (n - 1), 1.0) END, 6) + 0.0 AS difficulty FROM g",
     "d2_tent": _G + " SELECT row_id, round(CASE WHEN n <= 0 OR s <= 0 OR s >= n THEN 0.0 WHEN s / n <= 0.5 THEN s / n / 0.5 ELSE (1 - s / n) / 0.5 END, 6) + 0.0 AS difficulty FROM g",
     "d3_normalized": _G + " SELECT row_id, round(CASE WHEN n <= 0 THEN 0.0 ELSE greatest(0.0, least(s / n, 1.0)) END, 6) + 0.0 AS difficulty FROM g",
     "d4_recovered_sum": f"WITH {ROLLOUTS}, g AS (SELECT row_id, ([1.0::DOUBLE, 0.5, 0.0, 1.0, 1.0])[1:row_id % 6] AS g, (row_id * 3 % 5)::INT AS n FROM r) SELECT row_id, CASE WHEN len(g) = 0 THEN NULL WHEN n = 0 THEN 0.0 WHEN len(g) >= n THEN list_sum(g[1:n]) WHEN len(g) / n >= 0.5 THEN list_sum(g) END::DOUBLE AS total FROM g",
-    "d5_format_score": "WITH " + TRAJ + r""", b AS (SELECT conv_id, traj, regexp_extract_all(traj, '(?s)<\|im_start\|>assistant\n(.*?)<\|im_end\|>', 1) AS a FROM tr)
-SELECT conv_id, round(((len(a) > 0 AND len(list_filter(a, lambda x: NOT regexp_matches(x, '(?s)^\s*<think>.*?\S.*?</think>'))) = 0)::INT + (len(list_filter(regexp_extract_all(traj, '(?s)<search>(.*?)</search>', 1), lambda x: trim(x) <> '')) >= 1)::INT
- + coalesce(len(list_filter(regexp_extract_all(traj, '(?s)<answer>(.*?)</answer>', 1), lambda x: trim(x) <> '')) = 1 AND contains(a[-1], '</answer>'), false)::INT) / 3.0, 6) + 0.0 AS format FROM b""",
+    "d5_format_score": _SPOILT + r""", c AS (SELECT conv_id, t, len(t) AS n, array_to_string(t, chr(10)) AS every, len(list_filter(t, lambda y: regexp_matches(y, '(?s)^\s*<think>.*?</think>'))) AS thinking,
+ len(list_filter(t, lambda y: regexp_matches(y, '(?s)<search>\s*[^<\s].*?</search>'))) AS good, len(list_filter(t, lambda y: contains(y, '<search>') AND NOT regexp_matches(y, '(?s)<search>\s*[^<\s].*?</search>'))) AS broken FROM b),
+d AS (SELECT conv_id, n, good, broken, CASE WHEN n > 0 THEN thinking / n ELSE 0.0 END AS think,
+ len(regexp_extract_all(every, '(?s)<search>\s*[^<\s].*?</search>')) AS calls, coalesce(trim((regexp_extract_all(t[-1], '(?s)<task>(.*?)</task>', 1))[-1]) <> '', false)::INT AS structure FROM c),
+e AS (SELECT *, CASE WHEN n <= 1 THEN (calls = 0)::INT ELSE least(calls / (n - 1), 1.0) END AS tool FROM d)
+SELECT conv_id, round(think, 6) + 0.0 AS think, round(tool, 6) + 0.0 AS tool, structure::DOUBLE AS structure, round((think + tool + structure) / 3.0, 6) + 0.0 AS format, round(least(greatest(good - broken, 0) / 2, 1.0), 6) + 0.0 AS tool_of_two FROM e""",
+    "d7_solver_format": _SPOILT + r""", c AS (SELECT conv_id, len(t) AS n, len(list_filter(t, lambda y: regexp_matches(y, '(?s)^\s*<think>.*?</think>'))) AS thinking,
+ len(list_filter(t, lambda y: regexp_matches(y, '(?s)^\s*<think>.*?</think>') AND len(regexp_extract_all(regexp_extract(y, '(?s)<think>(.*?)</think>', 1), '[\p{L}\p{M}\p{N}\p{Pc}]+|[^\p{L}\p{M}\p{N}\p{Pc}\s]')) <= 4)) AS within,
+ len(regexp_extract_all(array_to_string(t[:len(t) - 1], chr(10)), '(?s)<search>\s*[^<\s].*?</search>')) AS calls,
+ coalesce(trim((regexp_extract_all(array_to_string(t, chr(10)), '(?s)<answer>(.*?)</answer>', 1))[-1]) <> '', false)::INT AS answer FROM b),
+d AS (SELECT *, CASE WHEN n > 0 THEN thinking / n ELSE 0.0 END AS think, CASE WHEN n > 0 THEN within / n ELSE 0.0 END AS inside, CASE WHEN n > 1 THEN least(calls / (n - 1), 1.0) ELSE 0.0 END AS tool FROM c)
+SELECT conv_id, round(think, 6) + 0.0 AS think, round(tool, 6) + 0.0 AS tool, answer::DOUBLE AS answer, round((think + tool + answer) / 3.0, 6) + 0.0 AS format, round(inside, 6) + 0.0 AS think_within FROM d""",
     "d6_short_form": r"""WITH d AS (SELECT doc_id, array_to_string(string_split(text, ' ')[1:doc_id % 13], ' ') AS a, CASE WHEN doc_id % 4 = 0 THEN 'other' ELSE text END AS i FROM documents),
 p AS (SELECT doc_id, a, trim(regexp_replace(regexp_replace(lower(a), '[!-/:-@\[-`{-~]', '', 'g'), '\s+', ' ', 'g')) AS x, trim(regexp_replace(regexp_replace(lower(i), '[!-/:-@\[-`{-~]', '', 'g'), '\s+', ' ', 'g')) AS y FROM d)
 SELECT doc_id, CASE WHEN trim(a) = '' OR (x NOT IN ('yes', 'no') AND NOT contains(y, x)) OR x = '' THEN 0.0 WHEN len(string_split(x, ' ')) <= 5 THEN 1.0 WHEN len(string_split(x, ' ')) <= 10 THEN 0.5 ELSE 0.0 END::DOUBLE AS reward FROM p""",
@@ -170,6 +235,8 @@ SELECT doc_id, CASE WHEN trim(a) = '' OR (x NOT IN ('yes', 'no') AND NOT contain
     "d10_challenger_total": f"WITH {ROLLOUTS}, x AS (SELECT row_id, (row_id % 3) / 2.0::DOUBLE AS f, (row_id % 7) / 6.0::DOUBLE AS d, (row_id % 2)::DOUBLE AS q FROM r) SELECT row_id, round(0.3 * f + 0.6 * d + 0.1 * q, 6) + 0.0 AS additive, round(CASE WHEN f <> 1 OR q <> 1 THEN 0.0 ELSE d END, 6) + 0.0 AS gated, round(CASE WHEN q = 0 THEN 0.0 ELSE (3 * f + q) / 4 END, 6) + 0.0 AS short_format FROM x",
     "d11_overlong": f"WITH {ROLLOUTS} SELECT row_id, round(least(-(row_id % 3000 - 1000) / 512.0::DOUBLE, 0.0), 6) + 0.0 AS penalty FROM r",
     "d12_grader_lists": "SELECT doc_id, (['1.0,0.5,0.0', '1.0,0.0,0.5,1.0', '1.0,?,?', NULL, NULL, '0.0'])[doc_id % 6 + 1] AS grades, doc_id % 6 IN (0, 1, 5) AS is_valid FROM documents",
+    "d12_grader_xml": _picks([("1.0", ""), ("0.5", ""), ("0.0", "Assessment #: Missing <reasoning> tag"), ("", "Assessment #: Missing <rubric> tag; Assessment #: Invalid score 2.0, must be 0, 0.5, or 1"), ("", "Assessment #: Non-numeric score: 1.0.1"), ("", "Assessment #: Missing <score> tag"), ("", "Assessment #: Missing <score> tag")], "Missing <evaluation> tags", "Unclosed <evaluation> tag", "No <rubric_assessment> blocks found"),
+    "d12_grader_json": _picks([("1.0", ""), ("0.5", ""), ("0.0", ""), ("", "Assessment #: Invalid score 3.0, must be 0, 0.5, or 1"), ("", "Assessment #: Missing 'score' field"), ("", "Assessment #: Invalid score type: much"), ("", "Assessment #: Expected object")], "No JSON array found in response", "JSON parse error", ""),
     "d12_single_grades": _J + " SELECT item_id, rubric_idx, g AS grade FROM g",
     "d13_merge_grades": _J + " SELECT item_id, string_agg(coalesce(g::VARCHAR, '?'), ',' ORDER BY rubric_idx) AS grades, sum(g) AS total, count(g) AS n_valid FROM g GROUP BY item_id",
     "d14_quality_parse": _J + " SELECT item_id, rubric_idx, try_cast(nullif(regexp_extract(judge_text, '<score>([01])</score>', 1), '') AS INT) AS score FROM g",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import retrieve as R
-from millrace.sources.views import TRAJ, r6, table, trajectories
+from millrace.sources.views import TRAJ, one_of, pick, picked, r6, table, trajectories
 
 
 def _joined(x, sep="|"):
@@ -31,11 +31,28 @@ def t4_search_queries(spark, sf_dir):
     return trajectories(spark, sf_dir).select("conv_id", _joined(T.search_queries(F.col("traj"))).alias("queries"))
 
 
+# Tool calls with, stated by hand, the answer, the queries and the task that each gives, and whether it is a valid search.
+CALLS = [
+    ('{"name": "search", "arguments": {"query_list": ["a b", "b"]}}', "", "", "", 1),
+    ('{"name": "search", "arguments": {"query_list": []}}', "", "", "", 0),
+    ("{broken", "", "", "", 0),
+    ('{"name": "submit_answer", "arguments": {"answer": " 42 "}}', "42", "", "", 0),
+    ('{"name": "submit_answer", "arguments": {"answer": "it, \\"quoted\\""}}', 'it, "quoted"', "", "", 0),
+    ('{"name": "submit_answer", "arguments": {"answer": "  "}}', "", "", "", 0),
+    ('{"name": "browse", "arguments": {"query": "q"}}', "", "q", "", 0),
+    ('{"name": "search", "arguments": {"queries": ["x", " ", "y z"]}}', "", "x|y z", "", 0),
+    ('{"name": "submit_task", "arguments": {"task_prompt": " do it "}}', "", "", "do it", 0),
+    ('{"name": "submit_task", "arguments": {"task_prompt": ""}}', "", "", "", 0),
+]
+# Ends of solutions with, stated by hand, the strict and the flexible number; ``#`` stands for the row's number.
+SUMS = [("so\n#### #", "#", "#"), ("it is $#.", None, "#."), ("no number at all", None, None), ("x\nAnswer: #\nbye", None, "#"), ("#### 7 no,\n#### -#,000", "-#000", "-#,000"), ("####7 then .. and . ", None, ".."), ("3 or #, of 5" + " x" * 160, None, None), ("#### #" + " pad" * 10 + ".", "#", "#")]
+
+
 def _calls(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
-    k = F.pmod("doc_id", F.lit(5))
-    call = F.when(k == 0, F.concat(F.lit('{"name": "search", "arguments": {"query_list": ["a '), "lang", F.lit('", "b"]}}'))).when(k == 1, F.lit('{"name": "search", "arguments": {"query_list": []}}')).when(k == 2, F.lit("{broken")).when(k == 3, F.lit('{"name": "submit_answer", "arguments": {"answer": " 42 "}}')).otherwise(F.lit('{"name": "browse", "arguments": {"query": "q"}}'))
-    return d.select("doc_id", F.concat(F.lit("<tool_call>\n"), call, F.lit("\n</tool_call>")).alias("x"))
+    """Three hashed tool calls of each document."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    cells = [F.concat(F.lit("<tool_call>\n"), one_of([c[0] for c in CALLS], pick("doc_id", f"call{i}", len(CALLS))), F.lit("\n</tool_call>")) for i in range(3)]
+    return d.select("doc_id", F.concat_ws(" and ", *cells).alias("x"))
 
 
 def t5_turn_parse(spark, sf_dir):
@@ -94,17 +111,17 @@ def t14_exact_match(spark, sf_dir):
 
 def _sums(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("doc_id")
-    k = F.pmod("doc_id", F.lit(4))
-    body = F.when(k == 0, F.concat(F.lit("so\n#### 1,"), F.lpad(F.pmod("doc_id", F.lit(1000)).cast("string"), 3, "0"))).when(k == 1, F.concat(F.lit("it is $"), F.col("doc_id").cast("string"), F.lit("."))).when(k == 2, F.lit("no number at all")).otherwise(F.concat(F.lit("x\nAnswer: "), F.col("doc_id").cast("string"), F.lit("\nbye")))
-    return d.select("doc_id", body.alias("x"))
+    return d.select("doc_id", F.replace(one_of([c[0] for c in SUMS], pick("doc_id", "sum", len(SUMS))), F.lit("#"), F.lit("@")).alias("form")).select("doc_id", F.replace(F.replace("form", F.lit("@@@@"), F.lit("####")), F.lit("@"), F.col("doc_id").cast("string")).alias("x"))
 
 
 def t15_gsm8k(spark, sf_dir):
-    return _sums(spark, sf_dir).select("doc_id", T.gsm8k_answer(F.col("x")).alias("strict"), T.gsm8k_answer(F.col("x"), strict=False).alias("flexible"))
+    """Both extractions, and the score beside a gold answer that is the row's number."""
+    gold, x = F.col("doc_id").cast("string"), F.col("x")
+    return _sums(spark, sf_dir).select("doc_id", T.gsm8k_answer(x).alias("strict"), T.gsm8k_answer(x, strict=False).alias("flexible"), T.gsm8k_score(x, gold, format_score=0.1).alias("score"), T.gsm8k_score(x, gold, strict=False).alias("flexible_score"))
 
 
-def t17_last_answer(spark, sf_dir):
-    return _sums(spark, sf_dir).select("doc_id", T.boxed_number_answer(F.col("x")).alias("answer"))
+def x2_submitted_task(spark, sf_dir):
+    return _calls(spark, sf_dir).select("doc_id", T.submitted_task(F.col("x")).alias("task"))
 
 
 def x4_parse_flags(spark, sf_dir):
@@ -117,6 +134,18 @@ def x8_last_assistant(spark, sf_dir):
     return trajectories(spark, sf_dir).select("conv_id", F.md5(F.coalesce(T.last_assistant(F.col("turns")), F.lit(""))).alias("last"))
 
 
+def _called(field, first=True):
+    """What the three hashed calls give, from the meanings stated by hand."""
+    values = ", ".join("'" + str(c[field]).replace("'", "''") + "'" for c in CALLS)
+    cells = ", ".join(f"([{values}])[{picked('doc_id', f'call{i}', len(CALLS))} + 1]" for i in range(3))
+    return f"list_filter([{cells}], lambda v: v <> '')" + ("[1]" if first else "")
+
+
+def _summed(field):
+    values = ", ".join("NULL" if c[field] is None else "'" + c[field] + "'" for c in SUMS)
+    return f"replace(([{values}])[{picked('doc_id', 'sum', len(SUMS))} + 1], '#', doc_id::VARCHAR)"
+
+
 QUERIES = {k: v for k, v in globals().items() if k[:1] in "tx" and k[1:2].isdigit() and callable(v)}
 
 _WT = "WITH " + TRAJ
@@ -135,8 +164,9 @@ SQL = {
     "t2_strip_env": _WT + " SELECT conv_id, length(" + _SEEN + ")::INT AS n_left FROM tr",
     "t3_think_blocks": _WT + f" SELECT conv_id, array_to_string({_blocks('think')}, '|') AS thoughts, 0 AS n_calls FROM tr",
     "t4_search_queries": _WT + f" SELECT conv_id, array_to_string({_blocks('search')}, '|') AS queries FROM tr",
-    "t5_turn_parse": "SELECT doc_id, CASE WHEN doc_id % 5 = 3 THEN '42' END AS answer, CASE WHEN doc_id % 5 = 4 THEN 'q' ELSE '' END AS queries FROM documents",
-    "t6_valid_calls": "SELECT doc_id, (doc_id % 5 = 0)::BIGINT AS n_valid FROM documents",
+    "t5_turn_parse": f"SELECT doc_id, {_called(1)} AS answer, array_to_string({_called(2, False)}, '|') AS queries FROM documents",
+    "t6_valid_calls": f"SELECT doc_id, len(list_filter({_called(4, False)}, lambda v: v = '1')) AS n_valid FROM documents",
+    "x2_submitted_task": f"SELECT doc_id, {_called(3)} AS task FROM documents",
     "t7_documents": _WT + f", b AS (SELECT conv_id, {_blocks('information')} AS i, list_transform(regexp_extract_all(traj, '(?s)<search>(.*?)</search>', 1), lambda x: trim(x, ' ' || chr(10))) AS q, list_transform(regexp_extract_all(traj, '(?s)<information>(.*?)</information>', 1), lambda x: trim(x, ' ' || chr(10))) AS d FROM tr) SELECT conv_id, md5(array_to_string(i, chr(10) || chr(10) || '---' || chr(10) || chr(10))) AS docs, md5(array_to_string(list_transform(range(1, len(q) + 1), lambda k: '[Search turn ' || k || ': \"' || q[k] || '\"]' || chr(10) || coalesce(d[k], '(no results)')), chr(10) || chr(10))) AS turns FROM b",
     "t8_evidence": _WT + f" SELECT conv_id, len({_blocks('information')})::INT AS n_blocks FROM tr",
     "t9_normalize": "SELECT item_id, " + _NORM.format(x="text") + " AS norm FROM benchmark",
@@ -147,8 +177,7 @@ n AS (SELECT g.id, count(*) AS n, count(b.g) AS hit FROM g LEFT JOIN b USING (g)
 SELECT doc_id, round(coalesce(hit / n, 0), 6) + 0.0 AS overlap FROM documents LEFT JOIN n ON n.id = doc_id""",
     "t13_tokens": r"WITH k AS (SELECT item_id, len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}\p{Pc}]+|[^\p{L}\p{M}\p{N}\p{Pc}\s]'))::INT AS n FROM benchmark) SELECT item_id, n, least(n, 8)::INT AS n_cut FROM k",
     "t14_exact_match": "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS em, CASE WHEN item_id % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS sub_em, 0.0::DOUBLE AS without_tags FROM benchmark",
-    "t15_gsm8k": "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN '1' || lpad((doc_id % 1000)::VARCHAR, 3, '0') END AS strict, CASE doc_id % 4 WHEN 0 THEN '1,' || lpad((doc_id % 1000)::VARCHAR, 3, '0') WHEN 1 THEN doc_id || '.' WHEN 3 THEN doc_id::VARCHAR END AS flexible FROM documents",
-    "t17_last_answer": "SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN doc_id::VARCHAR ELSE '[INVALID]' END AS answer FROM documents",
+    "t15_gsm8k": f"WITH a AS (SELECT doc_id, {_summed(1)} AS strict, {_summed(2)} AS flexible FROM documents) SELECT doc_id, strict, flexible, CASE WHEN strict IS NULL THEN 0.0 WHEN strict = doc_id::VARCHAR THEN 1.0 ELSE 0.1 END::DOUBLE AS score, coalesce((flexible = doc_id::VARCHAR)::INT, 0)::DOUBLE AS flexible_score FROM a",
     "x4_parse_flags": _WT + f" SELECT conv_id, coalesce(trim((regexp_extract_all({_SEEN}, '(?s)<answer>(.*?)</answer>', 1))[-1]) <> '', false) AS is_valid, false AS has_calls, len({_blocks('think')})::INT AS n_think FROM tr",
     "x8_last_assistant": _WT + " SELECT conv_id, md5(coalesce(max(text) FILTER (i = last), '')) AS last FROM cl GROUP BY conv_id",
 }

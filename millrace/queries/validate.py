@@ -3,23 +3,21 @@
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 
 import pandas as pd
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import validate as V
+from millrace.operators.batch import fit
+from millrace.plans.stages import run_stages
 from millrace.sources import io
-from millrace.sources.views import JUDGED, ROLLOUTS, TRAJ, judgements, r6, rollouts, table, trajectories
+from millrace.sources.io import shared_folder
+from millrace.sources.views import JUDGED, ROLLOUTS, TRAJ, judgements, pick, picked, r6, rollouts, table, trajectories
 
 
 def _folder(spark) -> str:
-    """A folder all executors share: below the cluster's, or a local one where none is configured."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    top = named.rstrip("/") if named else "file://" + tempfile.gettempdir()
-    return f"{top}/millrace-io/{uuid.uuid4().hex}"
+    return shared_folder(spark, "io")
 
 
 def _bad(spark, sf_dir):
@@ -30,11 +28,6 @@ def _bad(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.coalesce(F.concat(good, turn(last)), F.lit("nothing")).alias("x"))
 
 
-def d7_solver_format(spark, sf_dir):
-    s, e = V.solver_format(F.col("x"))
-    return _bad(spark, sf_dir).select("doc_id", r6(s).alias("score"), F.size(e).alias("n_errors"))
-
-
 def d7_token_budget(spark, sf_dir):
     b = V.token_budget(F.col("traj"), 4, 2)
     t = trajectories(spark, sf_dir).select("conv_id", b.alias("b"))
@@ -112,6 +105,51 @@ def s14_encode(spark, sf_dir):
     return v.select("item_id", *[r6(F.col("v")[i]).alias(f"v{i}") for i in range(3)])
 
 
+def s2_read_jsonl(spark, sf_dir):
+    """Any rows read back from JSON lines by their schema; blank texts and nulls stay apart."""
+    at = _folder(spark)
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    io.write_jsonl(rows, at)
+    back = io.read_jsonl(spark, at, rows.schema)
+    return back.select("doc_id", F.md5("text").alias("text"), "lang", "n_chars")
+
+
+def s14_index_table(spark, sf_dir):
+    """An index built as a table of unit vectors of prefixed texts, and read back."""
+    at = _folder(spark)
+    index = io.build_index(table(spark, sf_dir, "documents").select("doc_id", "text"), at, _encode)
+    return index.select("doc_id", r6(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("length"), F.round(F.col("v")[1].cast("double") / F.col("v")[2], 2).alias("n_e"))
+
+
+def x16_fit(spark, sf_dir):
+    """Token lists padded or cut to one length, on either side."""
+    ids = F.transform(F.sequence(F.lit(1), F.col("len").cast("int")), lambda t: F.col("row_id") + t)
+    text = lambda c: F.array_join(F.transform(c, lambda v: v.cast("string")), ",")
+    r = rollouts(spark, sf_dir).withColumn("ids", ids)
+    return r.select("row_id", text(fit("ids", 6, 0)).alias("right"), text(fit("ids", 6, 0, left=True, keep_end=True)).alias("left"))
+
+
+def u2_reward_managers(spark, sf_dir):
+    """The same rollouts under each registered manager: reward on the last token."""
+    r = rollouts(spark, sf_dir).withColumn("solution", F.when(pick("row_id", "fails", 5) == 0, F.lit("")).otherwise(F.concat(F.lit("v"), F.col("row_id").cast("string"))))
+    out = None
+    for name in V.managers():
+        rows = V.reward(name, r, lambda x: float(x[1:]) % 7).select(F.lit(name).alias("manager"), "row_id", r6(F.col("reward")).alias("reward"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def x24_stages(spark, sf_dir):
+    """Three stages run twice: the second time from what the first one left."""
+    at = _folder(spark)
+    calls = []
+    stages = [("long", lambda d: d.where("n_chars > 200")), ("lengths", lambda d: d.select("source", "n_chars")), ("totals", lambda d: d.groupBy("source").agg(F.sum("n_chars").alias("n")))]
+    counted = [(name, lambda d, f=f, name=name: (calls.append(name), f(d))[1]) for name, f in stages]
+    for _ in range(2):
+        out = run_stages(table(spark, sf_dir, "documents"), counted, at)
+    return out.withColumn("runs", F.lit(len(calls)))
+
+
 def s16_vector_table(spark, sf_dir):
     at = _folder(spark)
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -139,7 +177,6 @@ def u1_reward_registry(spark, sf_dir):
 QUERIES = {k: v for k, v in globals().items() if k[:1] in "dxspu" and k[1:2].isdigit() and callable(v)}
 
 SQL = {
-    "d7_solver_format": "SELECT doc_id, ([1.0::DOUBLE, 0.5, 0.5, 0.5, 0.0])[doc_id % 5 + 1] AS score, ([0, 1, 1, 1, 1])[doc_id % 5 + 1]::INT AS n_errors FROM documents",
     "d16_record_errors": "SELECT doc_id, (['', 'turn 2: Unclosed <answer> tag', 'turn 2: Empty <answer> tag', 'turn 2: Missing <think> tag', 'no assistant turn'])[doc_id % 5 + 1] AS errors FROM documents",
     "x1_turn_errors": "SELECT doc_id, (['', 'Unclosed <answer> tag', 'Empty <answer> tag', '', 'Missing <answer> tag'])[doc_id % 5 + 1] AS errors FROM documents",
     "x5_python_calls": "SELECT n_nationkey, 'a ' || n_name || '|b' AS queries FROM nation",
@@ -151,6 +188,11 @@ SQL = {
     "s9_trajectory_jsonl": "WITH " + TRAJ + " SELECT conv_id, md5(traj) AS traj FROM tr",
     "s10_step_dump": f"WITH {ROLLOUTS} SELECT row_id % 3 AS step, count(*) AS n, max(row_id) AS last FROM r GROUP BY 1",
     "s14_encode": "WITH v AS (SELECT item_id, (length(text) + 9)::DOUBLE AS a, (length('passage: ' || text) - length(replace('passage: ' || text, 'e', '')))::DOUBLE AS b FROM benchmark), n AS (SELECT *, sqrt(a * a + b * b + 1) AS n FROM v) SELECT item_id, round(a / n, 6) + 0.0 AS v0, round(b / n, 6) + 0.0 AS v1, round(1 / n, 6) + 0.0 AS v2 FROM n",
+    "s2_read_jsonl": "SELECT doc_id, md5(text) AS text, lang, n_chars FROM documents",
+    "s14_index_table": "SELECT doc_id, 1.0::DOUBLE AS length, (length('passage: ' || coalesce(text, '')) - length(replace('passage: ' || coalesce(text, ''), 'e', '')))::DOUBLE AS n_e FROM documents",
+    "x16_fit": f"WITH {ROLLOUTS}, i AS (SELECT row_id, list_transform(range(1, len + 1), lambda t: row_id + t) AS ids, len FROM r) SELECT row_id, array_to_string((ids || [0, 0, 0, 0, 0, 0])[1:6], ',') AS right, array_to_string(([0, 0, 0, 0, 0, 0] || ids)[len + 1:len + 6], ',') AS left FROM i",
+    "u2_reward_managers": f"WITH {ROLLOUTS}, s AS (SELECT row_id, CASE WHEN {picked('row_id', 'fails', 5)} = 0 THEN 0.0 ELSE (row_id % 7)::DOUBLE END AS score, len FROM r) SELECT manager, row_id, round(CASE WHEN manager = 'dapo' THEN score + least(-(len - 12) / 4.0, 0.0) ELSE score END, 6) + 0.0 AS reward FROM s, (SELECT unnest(['naive', 'batch', 'dapo', 'prime']) AS manager)",
+    "x24_stages": "SELECT source, sum(n_chars)::BIGINT AS n, 3::INT AS runs FROM documents WHERE n_chars > 200 GROUP BY source",
     "s16_vector_table": "SELECT vec_id, len(embedding)::INT AS dim FROM embeddings",
     "p4_descriptions": "SELECT r_regionkey::INT AS name, r_name AS description FROM region",
     "u1_reward_registry": "SELECT n_nationkey, 1.0::DOUBLE AS em, CASE WHEN n_nationkey % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS ratio FROM nation",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder that driver and executors share: below the one the session names, or a local one if all run on this machine."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    top = named.rstrip("/") if named else "file://" + tempfile.gettempdir()
+    return f"{top}/millrace-{name}/{uuid.uuid4().hex}"
+
+
 def load_corpus(spark: SparkSession, path: str) -> DataFrame:
     """Title and body of a JSON-lines corpus with one ``contents`` string per row; ``doc_id`` if the rows have one."""
     rows = spark.read.schema("doc_id bigint, contents string").json(path)
@@ -63,6 +74,13 @@ def encode(df: DataFrame, encoder: Callable[[pd.Series], pd.Series], text_col: s
     return out.withColumn("v", F.transform("v", lambda x: x / F.greatest(norm, F.lit(1e-12))))
 
 
+def build_index(docs: DataFrame, path: str, encoder: Callable[[pd.Series], pd.Series], id_col: str = "doc_id", text_col: str = "text", prefix: str = "passage: ") -> DataFrame:
+    """The dense index of a corpus: a Parquet table of ids and unit vectors, written once and read back."""
+    vectors = encode(docs.select(id_col, text_col), encoder, text_col, prefix).select(id_col, F.col("v").cast("array<float>").alias("v"))
+    vectors.write.parquet(path)
+    return docs.sparkSession.read.schema(vectors.schema).parquet(path)
+
+
 def mean_pool(vectors: str, mask: str):
     """Mean of token vectors where the mask is set, as a fold."""
     cells = F.filter(F.arrays_zip(F.col(vectors).alias("v"), F.col(mask).alias("m")), lambda x: x["m"] == 1)

@@ -107,6 +107,20 @@ j0 AS (SELECT doc_id AS item_id, rubric_idx::INT AS rubric_idx, doc_id * 5 + rub
 j AS (SELECT item_id, rubric_idx, CASE WHEN k % 7 = 0 THEN 'no verdict here' ELSE '<think>x</think><score>' || (['0', '0.5', '1'])[(k * 7) % 3 + 1] || '</score>' END AS judge_text FROM j0 WHERE k % 11 <> 0)"""
 
 
+def pick(id_col: str, salt: str, n: int) -> Column:
+    """A number below ``n`` hashed from an id; ``picked`` is its SQL."""
+    digest = F.md5(F.concat(F.lit(f"{salt}|"), F.col(id_col).cast("string")))
+    return F.pmod(F.conv(F.substring(digest, 1, 6), 16, 10).cast("int"), F.lit(n))
+
+
+def picked(id_col: str, salt: str, n: int) -> str:
+    return f"(('0x' || md5('{salt}|' || {id_col})[1:6])::INT % {n})"
+
+
+def one_of(values: list[str], at: Column) -> Column:
+    return F.get(F.array(*[F.lit(v) for v in values]), at)
+
+
 def r6(x: Column) -> Column:
     """Rounded for comparison; adding zero turns minus zero into zero."""
     return F.round(x, 6) + F.lit(0.0)

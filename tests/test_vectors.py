@@ -141,3 +141,84 @@ def test_errors_and_caps(spark):
         batch.shuffled_slice(df, 1, 10)
     with pytest.raises(Exception, match="longer than"):
         spark.range(1).select(render.truncate(F.array(*[F.lit(1).cast("long")] * 4), 3)).collect()
+
+
+def chat(*turns):
+    return "".join(f"<|im_start|>{role}\n{said}<|im_end|>\n" for role, said in turns)
+
+
+def test_task_format(spark):
+    """Two of three turns think; two good searches and a broken one; a task in the last turn."""
+    x = chat(("user", "<search>not mine</search>"), ("assistant", "<think>a</think><search>q</search>"), ("user", "<information>i</information>"), ("assistant", "<search>r</search>"), ("assistant", " <think>b</think> <search>open"), ("assistant", "<task>old</task> <task> do </task>"))
+    of = lambda *a, **k: one(spark, score.task_format(F.lit(x), *a, **k).alias("f"))["f"]
+    assert list(of()) == pytest.approx([0.5, 2 / 3, 1.0, (0.5 + 2 / 3 + 1) / 3])
+    assert list(of(2)) == pytest.approx([0.5, 0.5, 1.0, 2 / 3])  # (2 good - 1 broken) of 2
+    assert of(0)["tool"] == 1.0 and of(markup="tool_call")["tool"] == 0.0
+    submit = chat(("assistant", '<think>t</think><tool_call>{"name": "submit_task", "arguments": {"task_prompt": " p "}}</tool_call>'))
+    assert list(one(spark, score.task_format(F.lit(submit)).alias("f"))["f"]) == [1.0, 1.0, 1.0, 1.0]  # nothing to search, nothing searched
+    assert list(one(spark, score.task_format(F.lit("")).alias("f"))["f"]) == pytest.approx([0.0, 1.0, 0.0, 1 / 3])
+    lone = chat(("assistant", "<search>q</search>"))
+    assert one(spark, score.task_format(F.lit(lone)).alias("f"))["f"]["tool"] == 0.0
+
+
+def test_answer_format(spark):
+    """Searches count in all turns but the last, thoughts within their budget."""
+    x = chat(("assistant", "<think>one two three</think><search>q</search>"), ("user", "<search>nudge</search>"), ("assistant", "<think>one</think> nothing"), ("assistant", "<search>late</search><answer> A </answer>"))
+    of = lambda v, **k: list(one(spark, score.answer_format(F.lit(v), **k).alias("f"))["f"])
+    assert of(x) == pytest.approx([2 / 3, 0.5, 1.0, (2 / 3 + 0.5 + 1) / 3])
+    assert of(x, think_budget=2) == pytest.approx([1 / 3, 0.5, 1.0, (1 / 3 + 0.5 + 1) / 3])
+    many = chat(("assistant", "<search>a</search><search>b</search>"), ("assistant", "<answer></answer>"))
+    assert of(many) == pytest.approx([0.0, 1.0, 0.0, 1 / 3])
+    assert of(chat(("assistant", "<think>t</think><answer>A</answer>"))) == pytest.approx([1.0, 0.0, 1.0, 2 / 3])
+    call = chat(("assistant", '<tool_call>{"name": "search", "arguments": {"query_list": ["a"]}}</tool_call>'), ("assistant", "<answer>A</answer>"))
+    assert of(call, markup="tool_call") == pytest.approx([0.0, 1.0, 1.0, 2 / 3])
+    fc = chat(("assistant", '<function_calls>search(query="a")</function_calls>'), ("assistant", "<answer>A</answer>"))
+    assert of(fc, markup="function_calls") == pytest.approx([0.0, 1.0, 1.0, 2 / 3])
+    with pytest.raises(ValueError, match="unknown markup"):
+        score.answer_format(F.lit(x), markup="other")
+
+
+def test_grader_formats(spark):
+    xml = "<evaluation><rubric_assessment><rubric>a</rubric><reasoning>b</reasoning><score>0.5</score></rubric_assessment><rubric_assessment><score>7</score></rubric_assessment></evaluation>"
+    got = one(spark, score.xml_grades(F.lit(xml)).alias("g"))["g"]
+    assert got["scores"] == [0.5] and got["errors"] == ["Assessment 2: Missing <rubric> tag", "Assessment 2: Missing <reasoning> tag", "Assessment 2: Invalid score 7.0, must be 0, 0.5, or 1"]
+    got = one(spark, score.json_grades(F.lit('x [{"rubric": "[r]", "score": "1"}, {"score": true}, {"score": null}] y')).alias("g"))["g"]
+    assert got["scores"] == [1.0, 1.0] and got["errors"] == ["Assessment 3: Missing 'score' field"]
+
+
+def test_rows_without_a_number_keep_a_place(spark):
+    df = spark.createDataFrame([(5, "a"), (None, "b"), (10**12, "c"), (1, "d"), (None, "e")], "row_id long, x string")
+    up = {r["x"]: r["ord"] for r in batch.by_number(df).collect()}
+    assert sorted(up.values()) == [0, 1, 2, 3, 4] and {up["b"], up["e"]} == {0, 1} and up["d"] < up["a"] < up["c"]
+    down = {r["x"]: r["ord"] for r in batch.by_number(df, descending=True).collect()}
+    assert sorted(down.values()) == [0, 1, 2, 3, 4] and {down["b"], down["e"]} == {3, 4} and down["c"] == 0
+
+
+def test_balanced_loads_are_those_of_a_plain_search(spark):
+    """Part by part: greedy against the lightest bin by linear search, differencing against a list that is sorted anew each time."""
+    rng = random.Random(12)
+    rows = [(i, rng.choice((1, 2, 3, 50, rng.randint(1, 400)))) for i in range(300)]
+    df = spark.createDataFrame(rows, "row_id long, len long")
+
+    def greedy(lens, k):
+        loads = [0] * k
+        for n in lens:
+            loads[min(range(k), key=lambda p: (loads[p], p))] += n
+        return sorted(loads)
+
+    def differencing(lens, k):
+        states = [(t, sorted([n] + [0] * (k - 1), reverse=True)) for t, n in enumerate(sorted(lens))]
+        tick = len(states)
+        while len(states) > 1:
+            states.sort(key=lambda s: (s[1][-1] - s[1][0], s[0]))
+            (_, a), (_, b) = states[:2]
+            states = [*states[2:], (tick, sorted((x + y for x, y in zip(a, reversed(b), strict=True)), reverse=True))]
+            tick += 1
+        return sorted(states[0][1])
+
+    for method, plain in ((batch.greedy, greedy), (batch.differencing, differencing)):
+        got = {}
+        for r in batch.balance(df, 7, batch_size=100, method=method).groupBy("batch", "part").agg(F.sum("len").alias("load")).collect():
+            got.setdefault(r["batch"], []).append(r["load"])
+        want = {b: plain([n for i, n in rows if i // 100 == b], 7) for b in range(3)}
+        assert {b: sorted(v) for b, v in got.items()} == want
