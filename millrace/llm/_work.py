@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
+_to_delete: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     key = spark.sparkContext.applicationId
     if key not in _own_dir:
         _own_dir[key] = "file://" + tempfile.mkdtemp(prefix="millrace-")
@@ -34,8 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh path for one intermediate table."""
-    return f"{shared_dir(spark)}/millrace/{uuid.uuid4().hex}/{name}"
+    """A fresh path for one intermediate table, below the application's folder, which goes when the driver ends."""
+    top = f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}"
+    if top not in _to_delete:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(top)
+        fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _to_delete.add(top)
+    return f"{top}/{uuid.uuid4().hex}/{name}"
 
 
 @contextlib.contextmanager
@@ -96,6 +106,8 @@ def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def fits(df: DataFrame, rows: int) -> bool:
-    """Whether ``df`` has at most ``rows`` rows: a count with partial sums, on materialised tables from file footers."""
-    return df.count() <= rows
+def fits(df: DataFrame, rows: int, arrays: str | None = None) -> bool:
+    """Whether ``df`` has at most ``rows`` rows, counting the elements of an array column too where one is named."""
+    if arrays is None:
+        return df.count() <= rows
+    return df.agg(F.count(F.lit(1)) + F.coalesce(F.sum(F.greatest(F.size(arrays), F.lit(0))), F.lit(0))).first()[0] <= rows

@@ -12,7 +12,9 @@ in proportion to ``size ** temperature``.  Sources missing from ``weights``
 have rate 0.  Sizes are pre-aggregated sums, so a hot source is no hot task.
 Nulls: a null source is a source of its own; a null or empty text counts as
 size 1 and is replicated like any other; rows repeated under one ``doc_id``
-share a count.
+share a count; a row without one draws by its source and text.  An input
+column ``copy`` is replaced, all others stay whatever their names.  A very
+long text is one row like any other.
 """
 
 from __future__ import annotations
@@ -64,13 +66,14 @@ def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, tempe
 
 def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, epochs: float = 1.0, seed: int = 17) -> DataFrame:
     """The columns of ``docs`` and ``copy`` (from 0), each document as often as drawn, in random order."""
-    rates = materialize(source_rates(docs, weights, temperature, epochs).select("__source", F.col("cdf").alias("__cdf")), "rates")
+    rates = materialize(source_rates(docs, weights, temperature, epochs).select(F.col("__source").alias("source"), "cdf"), "rates")
     rates = F.broadcast(rates) if fits(rates, BROADCAST_SOURCES) else rates
-    u = uniform(F.lit(seed), F.col("doc_id"))
-    count = F.size(F.filter("__cdf", lambda c: c <= F.col("__u")))
-    keyed = docs.withColumns({"__source": F.coalesce(F.col("source").cast("string"), F.lit("")), "__u": F.coalesce(u, F.lit(0.5))})
-    drawn = keyed.join(rates, "__source").withColumn("__n", count).where("__n > 0")
-    copies = drawn.select(*[F.col(f"`{c}`") for c in docs.columns if c != "copy"], F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("copy"))
-    order = F.md5(F.concat_ws("|", F.lit(seed), F.col("doc_id"), F.col("copy"), F.lit("order")))
-    shuffled = copies.withColumn("__order", order).repartition("__order").sortWithinPartitions("__order")
-    return shuffled.drop("__order")
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != "copy"]
+    ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("source", "text").cast("string")))
+    # The row travels as one value, so that no column of it can clash with a column made here.
+    keyed = docs.select(F.struct(*columns).alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), ident.alias("ident"), uniform(F.lit(seed), ident).alias("u"))
+    drawn = keyed.join(rates, "source").withColumn("n", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).where("n > 0")
+    copies = drawn.select("row", "ident", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    order = F.md5(F.concat_ws("|", F.lit(seed), "ident", "copy", F.lit("order")))
+    shuffled = copies.select("row", "copy", order.alias("at")).repartition("at").sortWithinPartitions("at")
+    return shuffled.select("row.*", "copy")

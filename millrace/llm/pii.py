@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-DEFAULT_KEY = "millrace-pseudonyms-1"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 PHONE = r"(?<![0-9A-Za-z])(?:\+?1[ .-]?)?(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])"
@@ -181,23 +180,31 @@ def _pseudonym(m: Column, key: str) -> tuple[Column, Column]:
     return kind, value
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``text_col`` rewritten, and ``pii_kinds``: the kind of each replaced value."""
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs`` with ``text_col`` rewritten, and ``pii_kinds``: the kind of each replaced value.
+
+    Whoever has ``key`` can undo the pseudonyms, so it is never a default.  An
+    input column ``pii_kinds`` is replaced; all others stay whatever their names.
+    """
+    if not key:
+        raise ValueError("a key is needed")
     text = F.col(text_col)
     pattern = r"(?s)\G(.*?)(" + "|".join(PATTERNS.values()) + ")"
     likely = text.rlike("[0-9]{3}|@") | text.rlike(IPV4)
     group = lambda k: F.regexp_extract_all(text, F.lit(pattern), F.lit(k))
     none = F.array().cast("array<struct<gap:string,hit:string>>")
-    cells = docs.withColumn("__hits", F.when(likely, F.arrays_zip(group(1).alias("gap"), group(2).alias("hit"))).otherwise(none))
+    # The row travels as one value, so that no column of it can clash with a column made here.
+    cells = docs.select(F.struct("*").alias("row"), F.when(likely, F.arrays_zip(group(1).alias("gap"), group(2).alias("hit"))).otherwise(none).alias("hits"))
 
     def replaced(x):
         kind, value = _pseudonym(x["hit"], key)
         return F.struct(x["gap"].alias("gap"), F.length(x["gap"]).alias("g"), F.length(x["hit"]).alias("n"), value.alias("value"), kind.alias("kind"))
 
-    cells = cells.withColumn("__new", F.transform("__hits", replaced))
-    used = F.aggregate("__new", F.lit(0), lambda s, x: s + x["g"] + x["n"])
-    body = F.array_join(F.transform("__new", lambda x: F.concat(x["gap"], x["value"])), "")
+    text = F.col(f"row.`{text_col}`")
+    cells = cells.select("row", F.transform("hits", replaced).alias("new"))
+    used = F.aggregate("new", F.lit(0), lambda s, x: s + x["g"] + x["n"])
+    body = F.array_join(F.transform("new", lambda x: F.concat(x["gap"], x["value"])), "")
     tail = F.substring(text, used + 1, F.length(text))
-    kinds = F.filter(F.transform("__new", lambda x: x["kind"]), lambda k: k.isNotNull())
-    new = F.when(F.size("__new") > 0, F.concat(body, tail)).otherwise(text)
-    return cells.select(*[new.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns], F.coalesce(kinds, F.array().cast("array<string>")).alias("pii_kinds"))
+    kinds = F.filter(F.transform("new", lambda x: x["kind"]), lambda k: k.isNotNull())
+    new = F.when(F.size("new") > 0, F.concat(body, tail)).otherwise(text)
+    return cells.select(*[new.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "pii_kinds"], F.coalesce(kinds, F.array().cast("array<string>")).alias("pii_kinds"))

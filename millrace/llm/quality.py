@@ -9,7 +9,9 @@ leaves too little.
 
 Both the line counts and the verdicts depend on a text and its host only, so
 copies are pre-aggregated before anything is exploded.  Null and empty texts
-have no words and fail; a null host is a host of its own.
+have no words and fail; a null host is a host of its own.  Rows repeated under
+one ``doc_id`` are judged alike and each kept or not; a long text is measured
+in one piece.  Other columns pass whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from millrace.llm._work import fits, materialize
 
 WORD_SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
-#: Frequent lines and changed texts are broadcast up to this many rows, joined by shuffle beyond.
+#: Frequent lines, and changed texts with their removed lines, are broadcast up to this many, joined by shuffle beyond.
 BROADCAST_ROWS = 200_000
 
 _NOT_CHARS = WORD_SPACE + bytes(range(0x80, 0xC0))
@@ -105,40 +107,35 @@ def quality_verdicts(docs: DataFrame, max_docs: int = 100, min_words: int = 50,
     """``doc_id``, the five measures, ``removed_words``, ``base_failed`` and ``kept``, one row per input row."""
     rows, gone = _analyse(docs, id_col, text_col, host_col, max_docs)
     gone = gone.select("host", "content", "removed_words")
-    joined = rows.select("doc_id", "host", "content", *_MEASURES).join(F.broadcast(gone) if fits(gone, BROADCAST_ROWS) else gone, ["host", "content"], "left")
+    joined = rows.select("doc_id", "host", "content", *_MEASURES).join(gone, ["host", "content"], "left")
     failed = _failed(min_words)
     return joined.select("doc_id", *_MEASURES, F.coalesce("removed_words", F.lit(0)).alias("removed_words"), failed.alias("base_failed"), (~failed & ~_depleted(max_removed_percent, min_left)).alias("kept"))
 
 
 def _strip_lines(batches):
     for b in batches:
-        t = pa.Table.from_batches([b])
         out = []
-        for cell, drop in zip(t["__raw"], t["__drop"].to_pylist(), strict=True):
-            if not drop:
-                out.append(cell.as_py())
-                continue
+        for cell, drop in zip(b["raw"], b["drop"].to_pylist(), strict=True):
             drop = set(drop)
             lines = cell.as_buffer().to_pybytes().split(b"\n")
             out.append(b"\n".join(x for x in lines if not x.split() or line_key(x)[0] not in drop).decode())
-        yield from t.drop_columns(["__raw", "__drop"]).append_column("__text", pa.array(out, pa.string())).to_batches()
+        yield pa.RecordBatch.from_arrays([b["row"], pa.array(out, pa.string())], names=["row", "left"])
 
 
 def keep_good(docs: DataFrame, max_docs: int = 100, min_words: int = 50, max_removed_percent: int = 50, min_left: int = 25) -> DataFrame:
     """Kept rows of ``docs``, all columns, their too frequent lines removed and ``n_chars`` recounted."""
     rows, gone = _analyse(docs, "doc_id", "text", "source", max_docs)
     per_text = rows.groupBy("host", "content").agg(F.first("n_words").alias("n_words"), F.first("n_repeat_words").alias("n_repeat_words"))
-    verdict = per_text.join(gone, ["host", "content"], "left").select("host", "content", (~_failed(min_words) & ~_depleted(max_removed_percent, min_left)).alias("__kept"), F.col("removed_lines").alias("__drop"))
-    verdict = materialize(verdict.where("NOT __kept OR __drop IS NOT NULL"), "changed")
-    verdict = verdict.select(F.col("host").alias("__host"), F.col("content").alias("__content"), "__kept", "__drop")
-    verdict = F.broadcast(verdict) if fits(verdict, BROADCAST_ROWS) else verdict
-    keyed = docs.withColumns({"__host": F.coalesce(F.col("source").cast("string"), F.lit("")), "__content": F.xxhash64(F.coalesce("text", F.lit("")).cast("binary"))})
-    kept = keyed.join(verdict, ["__host", "__content"], "left").where("__kept IS NULL OR __kept")
-    same = kept.where("__drop IS NULL").select(docs.columns)
-    other = [c for c in docs.columns if c != "text"]
-    cut = kept.where("__drop IS NOT NULL").select(*other, F.col("text").cast("binary").alias("__raw"), "__drop")
-    schema = docs.select(*other).schema.add("__text", "string")
-    cut = cut.mapInArrow(_strip_lines, schema).withColumnRenamed("__text", "text")
+    verdict = per_text.join(gone, ["host", "content"], "left").select("host", "content", (~_failed(min_words) & ~_depleted(max_removed_percent, min_left)).alias("kept"), F.col("removed_lines").alias("drop"))
+    verdict = materialize(verdict.where("NOT kept OR drop IS NOT NULL"), "changed")
+    verdict = F.broadcast(verdict) if fits(verdict, BROADCAST_ROWS, "drop") else verdict
+    # The row travels as one value, so that no column of it can clash with a column made here.
+    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")).alias("content"))
+    kept = keyed.join(verdict, ["host", "content"], "left").where("kept IS NULL OR kept")
+    same = kept.where("drop IS NULL").select("row.*")
+    cut = kept.where("drop IS NOT NULL").select("row", F.col("row.text").cast("binary").alias("raw"), "drop")
+    cut = cut.mapInArrow(_strip_lines, cut.select("row").schema.add("left", "string"))
+    new = {"text": F.col("left")}
     if "n_chars" in docs.columns:
-        cut = cut.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return same.union(cut.select(docs.columns))
+        new["n_chars"] = F.length("left").cast(docs.schema["n_chars"].dataType)
+    return same.union(cut.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]))

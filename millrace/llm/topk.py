@@ -12,8 +12,9 @@ are exact integers.
 Query blocks meet bucket groups by an equi-join on the group number, so
 neither side is broadcast and a task holds one block and one bucket at a
 time.  Rows with a null id, a null vector or a component that is null or not
-finite take no part; equal rows count once; vectors of different dimension
-are compared as if padded with zeros.
+finite take no part; repeated rows, under one id or several, each count, and
+each asks if its id is one of the queries'; vectors of different dimension are
+compared as if padded with zeros.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,35 +34,35 @@ QUERY_ROWS = 512
 SEED_BUCKETS = 2
 GROUP_BUCKETS = 8
 COORDINATE_FROM = 0.9
-_BLOCK = "no long, dim int, ids binary, mat binary, most double, least double"
+_BLOCK = "no long, dim int, ids binary, rows binary, mat binary, most double, least double"
 
 
 def integer_vectors(df: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
-    """``(vec_id, v, len)`` with ``v = floor(scale * x)``, for valid rows."""
+    """``(vec_id, v, row, len)`` with ``v = floor(scale * x)`` and a number of its own, for each valid row."""
     x = F.transform(F.col(vec_col), lambda c: c.cast("double"))
     ok = F.col(vec_col).isNotNull() & F.col(id_col).isNotNull() & F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(math.inf)))
-    rows = df.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v")).distinct()
+    rows = df.where(ok).select(F.col(id_col).cast("long").alias("vec_id"), F.transform(x, lambda c: F.floor(c * scale)).alias("v"), F.monotonically_increasing_id().alias("row"))
     return rows.withColumn("len", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c)))
 
 
 def _blocks(rows_a_block: int):
     def packed(no: int, rows: list) -> tuple:
-        dim = max((len(v) for _, v, _ in rows), default=0)
+        dim = max((len(v) for _, v, *_ in rows), default=0)
         mat = np.zeros((len(rows), dim), "<i8")
-        for m, (_, v, _) in zip(mat, rows, strict=True):
+        for m, (_, v, *_) in zip(mat, rows, strict=True):
             m[: len(v)] = v
         lens = [n for *_, n in rows]
-        return no, dim, np.array([i for i, *_ in rows], "<i8").tobytes(), mat.tobytes(), max(lens), min(lens)
+        return no, dim, np.array([r[0] for r in rows], "<i8").tobytes(), np.array([r[3] for r in rows], "<i8").tobytes(), mat.tobytes(), max(lens), min(lens)
 
     def batch(out):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.float64(), pa.float64()), strict=True)], names=["no", "dim", "ids", "mat", "most", "least"])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.float64(), pa.float64()), strict=True)], names=["no", "dim", "ids", "rows", "mat", "most", "least"])
 
     def run(batches):
         from pyspark import TaskContext
 
         base, held = TaskContext.get().partitionId() << 32, []
         for b in batches:
-            held += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)
+            held += zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)
             while len(held) >= rows_a_block:
                 yield batch([packed(base, held[:rows_a_block])])
                 base, held = base + 1, held[rows_a_block:]
@@ -79,10 +80,10 @@ def _product(q: np.ndarray, p: np.ndarray) -> np.ndarray:
     return q @ p.T
 
 
-def _best(k: int, q_ids, p_ids, scores, floor) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of each row over its floor, ties to the smaller id, the query's own id left out."""
+def _best(k: int, q_rows, p_rows, p_ids, scores, floor) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query row, id and score of the k best of each row over its floor, ties to the smaller id, the query's own row left out."""
     low = np.iinfo(np.int64).min
-    scores = np.where(q_ids[:, None] == p_ids[None, :], low, scores)
+    scores = np.where(q_rows[:, None] == p_rows[None, :], low, scores)
     if scores.shape[1] > k:
         floor = np.maximum(floor, np.partition(scores, -k, axis=1)[:, -k])
     row, col = np.nonzero((scores >= floor[:, None]) & (scores > low))
@@ -90,7 +91,7 @@ def _best(k: int, q_ids, p_ids, scores, floor) -> tuple[np.ndarray, np.ndarray,
     order = np.lexsort((ids, -s, row))
     row, s, ids = row[order], s[order], ids[order]
     place = np.arange(len(row)) - np.searchsorted(row, row)
-    return q_ids[row[place < k]], ids[place < k], s[place < k]
+    return q_rows[row[place < k]], ids[place < k], s[place < k]
 
 
 def _search(k: int):
@@ -98,10 +99,10 @@ def _search(k: int):
 
     def run(batches):
         for b in batches:
-            for q_dim, q_raw, q_mat, q_floor, dim, ids, mat, most in zip(*(b.column(c).to_pylist() for c in range(8)), strict=True):
-                q_ids, p_ids = np.frombuffer(q_raw, "<i8"), np.frombuffer(ids, "<i8")
-                q, p = np.frombuffer(q_mat, "<i8").reshape(len(q_ids), q_dim), np.frombuffer(mat, "<i8").reshape(len(p_ids), dim)
-                floor = np.frombuffer(q_floor, "<i8") if q_floor is not None else np.full(len(q_ids), low)
+            for q_dim, q_raw, q_mat, q_floor, dim, ids, rows, mat, most in zip(*(b.column(c).to_pylist() for c in range(9)), strict=True):
+                q_rows, p_ids, p_rows = (np.frombuffer(x, "<i8") for x in (q_raw, ids, rows))
+                q, p = np.frombuffer(q_mat, "<i8").reshape(len(q_rows), q_dim), np.frombuffer(mat, "<i8").reshape(len(p_ids), dim)
+                floor = np.frombuffer(q_floor, "<i8") if q_floor is not None else np.full(len(q_rows), low)
                 q_len, p_len = np.sqrt((q.astype(float) ** 2).sum(1)), np.sqrt((p.astype(float) ** 2).sum(1))
                 bound = np.where(floor > 0, floor.astype(float), -math.inf)
                 with np.errstate(divide="ignore", invalid="ignore"):
@@ -113,7 +114,7 @@ def _search(k: int):
                     need = float(np.where(floor[wide] > 0, bound[wide] / np.maximum(q_len[wide], 1e-300), 0).min())
                     n = int((p_len >= need * (1 - 1e-9)).sum()) if need > 0 else len(p_ids)
                     if n:
-                        found.append(_best(k, q_ids[wide], p_ids[:n], _product(q[wide], p[:n]), floor[wide]))
+                        found.append(_best(k, q_rows[wide], p_rows[:n], p_ids[:n], _product(q[wide], p[:n]), floor[wide]))
                 for i in np.flatnonzero((local <= 1) & (local >= COORDINATE_FROM)):
                     f = int(np.abs(q[i]).argmax())
                     cos, x = local[i], q[i, f] / q_len[i]
@@ -124,9 +125,9 @@ def _search(k: int):
                     lower = -1.0 if -x >= cos else x * cos - half
                     near = np.flatnonzero((y >= lower - 1e-9) & (y <= upper + 1e-9))
                     if len(near):
-                        found.append(_best(k, q_ids[i : i + 1], p_ids[near], _product(q[i : i + 1], p[near]), floor[i : i + 1]))
+                        found.append(_best(k, q_rows[i : i + 1], p_rows[near], p_ids[near], _product(q[i : i + 1], p[near]), floor[i : i + 1]))
                 if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[j] for x in found])) for j in range(3)], names=["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[j] for x in found])) for j in range(3)], names=["query", "vec_id", "score"])
 
     return run
 
@@ -136,21 +137,21 @@ def _with_floors(batches):
     for b in batches:
         t = pa.Table.from_batches([b])
         out = []
-        for ids, bounds in zip(t["q_ids"].to_pylist(), t["bounds"].to_pylist(), strict=True):
-            known = {x["query_id"]: x["floor"] for x in bounds or []}
-            out.append(np.array([known.get(i, np.iinfo(np.int64).min) for i in np.frombuffer(ids, "<i8").tolist()], "<i8").tobytes())
+        for rows, bounds in zip(t["q_rows"].to_pylist(), t["bounds"].to_pylist(), strict=True):
+            known = {x["query"]: x["floor"] for x in bounds or []}
+            out.append(np.array([known.get(i, np.iinfo(np.int64).min) for i in np.frombuffer(rows, "<i8").tolist()], "<i8").tobytes())
         yield from t.drop_columns(["bounds"]).append_column("floor", pa.array(out, pa.binary())).to_batches()
 
 
 def _members(batches):
     """A row for each query of a block."""
     for b in batches:
-        for no, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            x = np.frombuffer(ids, "<i8")
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), no, np.int64)), pa.array(x)], names=["q_no", "query_id"])
+        for no, rows, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            x = np.frombuffer(rows, "<i8")
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), no, np.int64)), pa.array(x), pa.array(np.frombuffer(ids, "<i8"))], names=["q_no", "query", "query_id"])
 
 
-_FOUND = "query_id long, vec_id long, score long"
+_FOUND = "query long, vec_id long, score long"
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -159,26 +160,27 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     n = rows.count()
     parts = max(1, -(-n // (8 * BUCKET_ROWS)))
     ordered = rows.repartitionByRange(parts, F.col("len").desc(), "vec_id").sortWithinPartitions(F.col("len").desc(), "vec_id")
-    buckets = materialize(ordered.select("vec_id", "v", "len").mapInArrow(_blocks(BUCKET_ROWS), _BLOCK), "buckets")
+    buckets = materialize(ordered.select("vec_id", "v", "len", "row").mapInArrow(_blocks(BUCKET_ROWS), _BLOCK), "buckets")
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     q_parts = max(1, -(-(n // every + 1) // (4 * QUERY_ROWS)))
-    blocks = materialize(asked.repartition(q_parts, "vec_id").select("vec_id", "v", "len").mapInArrow(_blocks(QUERY_ROWS), _BLOCK), "queries")
-    q = blocks.select(F.col("no").alias("q_no"), F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("mat").alias("q_mat"))
+    blocks = materialize(asked.repartition(q_parts, "row").select("vec_id", "v", "len", "row").mapInArrow(_blocks(QUERY_ROWS), _BLOCK), "queries")
+    q = blocks.select(F.col("no").alias("q_no"), F.col("dim").alias("q_dim"), F.col("rows").alias("q_rows"), F.col("mat").alias("q_mat"))
     seeds = [r["no"] for r in buckets.orderBy(F.col("most").desc(), "no").limit(SEED_BUCKETS).select("no").collect()]
 
     def scored(q: DataFrame, side: DataFrame, groups: int) -> DataFrame:
         spread = q.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
         met = spread.join(side.withColumn("g", F.pmod(F.xxhash64("no"), F.lit(groups)).cast("int")), "g")
-        return met.select("q_dim", "q_ids", "q_mat", "floor", "dim", "ids", "mat", "most").mapInArrow(_search(k), _FOUND)
+        return met.select("q_dim", "q_rows", "q_mat", "floor", "dim", "ids", "rows", "mat", "most").mapInArrow(_search(k), _FOUND)
 
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
     first = materialize(scored(q.withColumn("floor", F.lit(None).cast("binary")), buckets.where(F.col("no").isin(seeds)), 1), "first")
     first = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    floors = first.where(F.col("rank") == k).select("query_id", F.col("score").alias("floor"))
-    named = blocks.select("no", "ids").mapInArrow(_members, "q_no long, query_id long")
-    bounds = named.join(floors, "query_id").groupBy("q_no").agg(F.collect_list(F.struct("query_id", "floor")).alias("bounds"))
-    bounded = q.join(bounds, "q_no", "left").mapInArrow(_with_floors, "q_no long, q_dim int, q_ids binary, q_mat binary, floor binary")
+    floors = first.where(F.col("rank") == k).select("query", F.col("score").alias("floor"))
+    named = materialize(blocks.select("no", "rows", "ids").mapInArrow(_members, "q_no long, query long, query_id long"), "named")
+    bounds = named.join(floors, "query").groupBy("q_no").agg(F.collect_list(F.struct("query", "floor")).alias("bounds"))
+    bounded = q.join(bounds, "q_no", "left").mapInArrow(_with_floors, "q_no long, q_dim int, q_rows binary, q_mat binary, floor binary")
     groups = max(1, -(-buckets.count() // GROUP_BUCKETS))
     rest = scored(bounded, buckets.where(~F.col("no").isin(seeds)), groups)
-    both = first.select("query_id", "vec_id", "score").union(rest)
-    return both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    both = first.select("query", "vec_id", "score").union(rest)
+    ranked = both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return ranked.join(named.select("query", "query_id"), "query").select("query_id", "rank", "vec_id", "score")

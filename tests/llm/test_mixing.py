@@ -44,5 +44,14 @@ def test_edges(spark):
     rows = [(1, "a", "en", "s", 0, 7, "x", "y"), (1, "a", "en", "s", 0, 7, "x", "y"), (None, "b", "en", "s", 0, 7, "x", "y")]
     df = spark.createDataFrame(rows, SCHEMA + ", copy int, rate string, cdf string")
     assert mix_sources(df).columns == [*[c for c in df.columns if c != "copy"], "copy"]
+    clash = df.selectExpr("*", "'a' AS row", "'b' AS ident", "1 AS u", "2 AS n", "'c' AS at", "'d' AS __source", "3 AS __u")
+    out = mix_sources(clash, epochs=3.0)
+    assert out.columns == [*[c for c in clash.columns if c != "copy"], "copy"] and {tuple(r[c] for c in ("row", "ident", "u", "n", "at", "__source", "__u")) for r in out.collect()} == {("a", "b", 1, 2, "c", "d", 3)}
     n = Counter(r["doc_id"] for r in mix_sources(df, epochs=300.0).collect())
     assert n[1] % 2 == 0 and n[1] > 300
+
+
+def test_rows_without_an_id_draw_by_text(spark):
+    df = spark.createDataFrame([(None, f"text {i}", "en", "s", 0) for i in range(400)], SCHEMA)
+    n = Counter(r["text"] for r in mix_sources(df).collect())
+    assert 3 <= len(set(n.values())) and 200 < len(n) < 300  # about 1 - 1/e of them come at least once

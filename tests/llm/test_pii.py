@@ -1,9 +1,12 @@
 """Pseudonyms: format kept, one-to-one, equal everywhere, validated only."""
 
 import datetime
+import hashlib
 import random
 import re
 
+import pytest
+
 from millrace.llm.pii import pseudonymise
 
 
@@ -22,7 +25,7 @@ def card(rng, n=16):
 
 def run(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    return {r["doc_id"]: (r["text"], r["pii_kinds"]) for r in pseudonymise(df).collect()}
+    return {r["doc_id"]: (r["text"], r["pii_kinds"]) for r in pseudonymise(df, "k").collect()}
 
 
 def test_each_format(spark):
@@ -77,7 +80,107 @@ def test_left_alone(spark):
 
 
 def test_columns_stay(spark):
-    df = spark.createDataFrame([(1, "mail a@b.co", "k", 5)], "doc_id long, text string, kind string, value int")
-    out = pseudonymise(df)
-    assert out.columns == [*df.columns, "pii_kinds"] and out.first()["value"] == 5
-    assert pseudonymise(df.where("false")).collect() == []
+    df = spark.createDataFrame([(1, "mail a@b.co", "k", 5, "h", "n", "r")], "doc_id long, text string, kind string, value int, hits string, new string, row string")
+    out = pseudonymise(df, "k")
+    assert out.columns == [*df.columns, "pii_kinds"] and tuple(out.first()[c] for c in ("kind", "value", "hits", "new", "row")) == ("k", 5, "h", "n", "r")
+    assert pseudonymise(df.where("false"), "k").collect() == []
+    again = pseudonymise(out, "k")
+    assert again.columns == out.columns  # its own column is replaced
+    with pytest.raises(ValueError):
+        pseudonymise(df, "")
+
+
+# -- the same permutations in plain Python
+
+KEY = "a key of the tests"
+
+
+def bits(tweak, i, half):
+    return int(hashlib.sha256(f"{KEY}|{tweak}|{i}|{half}".encode()).hexdigest()[:15], 16)
+
+
+def feistel(tweak, l, r, a, b):
+    for i in range(10):
+        if i % 2 == 0:
+            l = (l + bits(tweak, i, r)) % a
+        else:
+            r = (r + bits(tweak, i, l)) % b
+    return l, r
+
+
+def feistel_text(tweak, v):
+    def moved(text, i, other):
+        out = ""
+        for k, ch in enumerate(text):
+            by = bits(tweak, i, f"{other}|{k}")
+            for first, n in (("0", 10), ("a", 26), ("A", 26)):
+                if ord(first) <= ord(ch) < ord(first) + n:
+                    ch = chr(ord(first) + (ord(ch) - ord(first) + by) % n)
+                    break
+            out += ch
+        return out
+
+    l, r = v[: len(v) // 2], v[len(v) // 2 :]
+    for i in range(10):
+        if i % 2 == 0:
+            l = moved(l, i, r)
+        else:
+            r = moved(r, i, l)
+    return l + r
+
+
+def refill(m, digits):
+    it = iter(digits)
+    return re.sub("[0-9]", lambda _: next(it), m)
+
+
+def by_hand(kind, m):
+    d = re.sub("[^0-9]", "", m)
+    if kind == "email":
+        local, _, rest = m.partition("@")
+        return feistel_text("email", local) + "@" + rest
+    if kind == "phone":
+        local = d[-10:]
+        n = (int(local[:3]) - 200) * 8_000_000 + (int(local[3:6]) - 200) * 10_000 + int(local[6:])
+        l, r = feistel("phone", n // 80_000, n % 80_000, 80_000, 80_000)
+        n = l * 80_000 + r
+        return refill(m, d[:-10] + f"{n // 8_000_000 + 200:03d}{n % 8_000_000 // 10_000 + 200:03d}{n % 10_000:04d}")
+    if kind == "ssn":
+        areas = [a for a in range(1, 900) if a != 666]
+        l, r = feistel("ssn", areas.index(int(d[:3])) * 99 + int(d[3:5]) - 1, int(d[5:]) - 1, 898 * 99, 9999)
+        return refill(m, f"{areas[l // 99]:03d}{l % 99 + 1:02d}{r + 1:04d}")
+    if kind in ("iso_date", "us_date"):
+        day = datetime.date.fromisoformat(m) if kind == "iso_date" else datetime.datetime.strptime(m, "%m/%d/%Y").date()
+        first = datetime.date(day.year // 100 * 100, 1, 1)
+        days = (datetime.date(first.year + 100, 1, 1) - first).days
+        a, b = {36525: (75, 487), 36524: (92, 397)}[days]
+        l, r = feistel("date", (day - first).days // b, (day - first).days % b, a, b)
+        new = first + datetime.timedelta(l * b + r)
+        return new.isoformat() if kind == "iso_date" else new.strftime("%m/%d/%Y")
+    if kind == "ipv4":
+        w, x, y, z = map(int, m.split("."))
+        l, r = feistel("ipv4", w * 256 + x, y * 256 + z, 65536, 65536)
+        return f"{l // 256}.{l % 256}.{r // 256}.{r % 256}"
+    body = d[0] + feistel_text("card", d[1:-1])
+    return refill(m, next(body + str(c) for c in range(10) if luhn(body + str(c))))
+
+
+def test_against_plain_python(spark):
+    rng = random.Random(6)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    makers = {
+        "email": lambda: rng.choice(["Jo.Doe+", "x_", "A-9."]) + number(rng.randint(1, 5)) + "@mail.example.com",
+        "phone": lambda: f"{rng.randint(200, 999)}-{rng.randint(200, 999)}-{number(4)}",
+        "ssn": lambda: f"{rng.choice([1, 665, 667, rng.randint(1, 665)]):03d}-{rng.randint(1, 99):02d}-{rng.randint(1, 9999):04d}",
+        "iso_date": lambda: (datetime.date(1901, 1, 1) + datetime.timedelta(rng.randint(0, 70_000))).isoformat(),
+        "us_date": lambda: (datetime.date(1999, 1, 1) + datetime.timedelta(rng.randint(0, 9_000))).strftime("%m/%d/%Y"),
+        "ipv4": lambda: ".".join(str(rng.randint(0, 255)) for _ in range(4)),
+        "card": lambda: card(rng, rng.randint(13, 19)),
+    }
+    values = [(kind, make()) for kind, make in makers.items() for _ in range(60)]
+    df = spark.createDataFrame([(i, v) for i, (_, v) in enumerate(values)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["text"], r["pii_kinds"]) for r in pseudonymise(df, KEY).collect()}
+    for i, (kind, v) in enumerate(values):
+        assert got[i] == (by_hand(kind, v), [kind]), (kind, v)
+    other = {r["doc_id"]: r["text"] for r in pseudonymise(df, KEY + "!").collect()}
+    assert sum(other[i] != got[i][0] for i in other) > 0.9 * len(values)

@@ -71,6 +71,14 @@ def test_filter_removes_lines_and_documents(spark):
         assert r["n_chars"] == (len(r["text"]) if gone[r["doc_id"]] else 0)
 
 
+def test_columns_of_any_name_stay(spark):
+    df = spark.createDataFrame(corpus(), SCHEMA).selectExpr("*", "doc_id AS row", "'a' AS host", "'b' AS content", "'c' AS kept", "'d' AS drop", "'e' AS left", "'f' AS __host")
+    kept = keep_good(df, max_docs=6)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert {tuple(r[c] for c in ("host", "content", "kept", "drop", "left", "__host")) for r in got} == {("a", "b", "c", "d", "e", "f")} and all(r["row"] == r["doc_id"] for r in got)
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], SCHEMA + ", host string, content int")
     assert quality_verdicts(df).collect() == [] and keep_good(df).collect() == []

@@ -24,7 +24,12 @@ def test_round_trip_through_compaction(spark):
     assert content(store.read(df.schema)) == content(df)
     assert content(store.read(df.schema, first)) == content(df)
     assert store.runs(store.version()).count() == 0
-    store.vacuum()
+    assert content(store.read(df.schema, first)) == content(df)
+    store.vacuum(keep_versions=1)  # all files are younger than the grace period
+    assert content(store.read(df.schema)) == content(df)
+    with pytest.raises(ValueError, match="no version"):
+        store.read(df.schema, first)
+    store.vacuum(keep_versions=1, grace_seconds=0)
     assert content(store.read(df.schema)) == content(df)
     assert len(store._files(f"{store.root}/data")) == store.manifest().count()
 
@@ -48,5 +53,32 @@ def test_empty_and_arrivals(spark):
     store.compact(df.schema)
     assert store.read(df.schema).collect() == []
     more = spark.range(20).selectExpr("id AS doc_id", "id % 4 AS arrival")
-    assert store.append_each(more, "arrival") == 5
+    assert store.append_each(more, "arrival") == 2
+    assert sorted(r[0] for r in store.manifest().select("seq").distinct().collect()) == [1, 2, 3, 4, 5]
     assert content(store.read(df.schema)) == [(i,) for i in range(20)] or len(content(store.read(df.schema))) == 20
+
+
+def test_vacuum_beside_a_writer_that_has_not_committed(spark):
+    store = ShardStore(spark, scratch(spark, "store"))
+    df = spark.range(6).withColumnRenamed("id", "doc_id")
+    v = store.append(df.where("doc_id < 3"))
+    folder = f"{store.root}/data/late"
+    df.where("doc_id >= 3").write.parquet(folder)
+    store.vacuum(keep_versions=1)
+    store.commit(store.manifest(v).select("shard", "bytes", "seq", "tier").unionByName(store._listed([(f, n, v + 1) for f, n in store._files(folder)])), v)
+    assert content(store.read(df.schema)) == content(df)
+
+
+def test_kept_versions_can_be_read(spark):
+    store = ShardStore(spark, scratch(spark, "store"), target_bytes=60_000, fanout=2, base_bytes=2_000)
+    df = spark.range(40).withColumnRenamed("id", "doc_id")
+    for k in range(4):
+        store.append(df.where(f"doc_id % 4 = {k}"))
+    store.compact(df.schema)
+    store.vacuum(keep_versions=3, grace_seconds=0)
+    last = store.version()
+    assert content(store.read(df.schema)) == content(df) and content(store.read(df.schema, last - 1)) and content(store.read(df.schema, last - 2))
+    with pytest.raises(ValueError, match="no version"):
+        store.read(df.schema, 1)
+    with pytest.raises(ValueError):
+        store.vacuum(keep_versions=0)

@@ -8,11 +8,11 @@ from millrace.llm.topk import top_k
 
 
 def brute(rows, k, every):
-    ok = {(i, tuple(math.floor(1024 * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    ok = [(i, tuple(math.floor(1024 * x) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for i, q in ok:
+    for n, (i, q) in enumerate(ok):
         if i % every == 0:
-            best = sorted((-sum(a * b for a, b in zip(q, p)), j) for j, p in ok if j != i)[:k]
+            best = sorted((-sum(a * b for a, b in zip(q, p)), j) for m, (j, p) in enumerate(ok) if m != n)[:k]
             out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
     return sorted(out)
 
@@ -28,7 +28,7 @@ def test_against_all_products(spark, monkeypatch):
                 v[i % 3] += 1
             n = math.sqrt(sum(x * x for x in v)) * (1 if shape == "unit" else rng.paretovariate(1.2))
             rows.append((i, [x / n for x in v]))
-        rows += [(2000 + i, rows[5][1]) for i in range(40)] + [rows[7], (3000, None), (3100, [float("nan")] * 8), (3200, [None] * 8), (None, [1.0] * 8), (3300, [0.0] * 8)]
+        rows += [(2000 + i, rows[5][1]) for i in range(40)] + [rows[7], rows[7], rows[50], (50, rows[7][1]), (3000, None), (3100, [float("nan")] * 8), (3200, [None] * 8), (None, [1.0] * 8), (3300, [0.0] * 8)]
         df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
         real = [(r[0], r[1]) for r in df.collect()]
         assert sorted(map(tuple, top_k(df, k=10, every=50).collect())) == brute(real, 10, 50), shape
@@ -49,7 +49,7 @@ def test_pruning_keeps_every_winner():
     import pyarrow as pa
 
     most = float(np.linalg.norm(p, axis=1).max())
-    batch = pa.RecordBatch.from_arrays([pa.array([6]), pa.array([np.arange(1000, 1040, dtype="<i8").tobytes()]), pa.array([q.tobytes()]), pa.array([floor.tobytes()]), pa.array([6]), pa.array([np.arange(400, dtype="<i8").tobytes()]), pa.array([p.tobytes()]), pa.array([most])], names=list("abcdefgh"))
+    batch = pa.RecordBatch.from_arrays([pa.array([6]), pa.array([np.arange(1000, 1040, dtype="<i8").tobytes()]), pa.array([q.tobytes()]), pa.array([floor.tobytes()]), pa.array([6]), pa.array([np.arange(400, dtype="<i8").tobytes()]), pa.array([np.arange(400, dtype="<i8").tobytes()]), pa.array([p.tobytes()]), pa.array([most])], names=list("abcdefghi"))
     got = {(a, b) for t in topk._search(3)(iter([batch])) for a, b in zip(t.column(0).to_pylist(), t.column(1).to_pylist())}
     want = {(1000 + i, int(j)) for i in range(40) for j in np.flatnonzero(exact[i] > floor[i])}
     assert want <= got
