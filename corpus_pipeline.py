@@ -17,32 +17,45 @@ from millrace.llm.mixing import mix_sources
 from millrace.llm.packing import pack_documents
 from millrace.llm.pii import pseudonymise
 from millrace.llm.quality import keep_good
+from millrace.llm.queries import EXAMPLE_KEY
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules, without lines that are too frequent on their host."""
+    """Documents that pass the quality rules, without lines that are too frequent on their host.
+
+    Null and empty texts have no words and go; a null source is a host of its
+    own; repeated rows are judged alike and all stay or all go.
+    """
     return keep_good(docs.select(COLUMNS))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies: the one with the smallest id.
+
+    Rows with a null id, and texts without words, stay; of equal rows under
+    one id, one stays.
+    """
     return keep_one_per_component(docs.select(COLUMNS), n=5, percent=75)
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts with personal numbers, dates and addresses under pseudonyms."""
-    return pseudonymise(docs.select(COLUMNS)).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
+    """Texts with personal numbers, dates and addresses under pseudonyms; null and empty texts, and repeated rows, stay as they are."""
+    return pseudonymise(docs.select(COLUMNS), EXAMPLE_KEY).withColumn("n_chars", F.length("text").cast("long")).select(COLUMNS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents repeated so that sources come in proportion to the root of their size, shuffled."""
+    """Documents repeated so that sources come in proportion to the root of their size, shuffled.
+
+    A null source is a source of its own; a row without an id draws by its
+    text; repeated rows draw alike.
+    """
     return mix_sources(docs.select(COLUMNS), temperature=0.5).select(COLUMNS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of tokenised documents with their place in sequences of 4096."""
+    """Pieces of tokenised documents with their place in sequences of 4096; null and empty texts are just the end id, repeated rows are packed each."""
     return pack_documents(docs.select(COLUMNS), public_tokenizers.path("word_bpe_49k.json"))
 
 
