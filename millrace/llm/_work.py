@@ -48,26 +48,31 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{top}/{uuid.uuid4().hex}/{name}"
 
 
+_WHILE_WRITING = {
+    # Shuffle files of a query go when it ends: what is written as a table needs them no more.
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    # Long texts make large batches: bound them by bytes, on both sides of a worker's pipe.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
+}
+
+
 @contextlib.contextmanager
-def _shuffles_end(spark: SparkSession):
-    """Shuffle files of a query go when it ends: what is written as a table needs them no more."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, "true")
+def _bounded(spark: SparkSession):
+    before = {k: spark.conf.get(k, None) for k in _WHILE_WRITING}
+    for k, v in _WHILE_WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if before is None:
-            spark.conf.unset(key)
-        else:
-            spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
     path = scratch(spark, name)
-    with _shuffles_end(spark):
+    with _bounded(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -76,7 +81,7 @@ def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
     """As ``materialize``, dealt by ``key`` into as many files as a shuffle has partitions, so joins on it ship the other side only."""
     spark = df.sparkSession
     table = f"millrace_{name}_{uuid.uuid4().hex}"
-    with _shuffles_end(spark):
+    with _bounded(spark):
         df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("compression", "zstd").option("path", scratch(spark, name)).saveAsTable(table)
     out = spark.table(table)
     spark.sql(f"DROP TABLE {table}")  # the files, which are outside the warehouse, stay

@@ -27,9 +27,9 @@ from millrace.llm._work import materialize, slices, text_rows
 
 GROUP_PIECES = 50_000
 #: Words that one Python worker remembers, about 250 bytes each.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 800_000
 #: Bytes of text that are split and numbered together.
-SLICE = 1 << 23
+SLICE = 1 << 22
 _TAIL = ".,!;:?"
 _LATIN = "\u024f"
 

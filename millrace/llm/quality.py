@@ -25,8 +25,10 @@ from millrace.llm._work import fits, materialize
 
 WORD_SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
-#: Frequent lines, and changed texts with their removed lines, are broadcast up to this many, joined by shuffle beyond.
+#: Frequent lines are broadcast up to this many rows, joined by shuffle beyond.
 BROADCAST_ROWS = 200_000
+#: Changed texts with their removed lines are broadcast up to this many texts and lines, about 40 MB, joined by shuffle beyond.
+BROADCAST_LINES = 1_000_000
 
 _NOT_CHARS = WORD_SPACE + bytes(range(0x80, 0xC0))
 _NORMAL = bytes(48 if 48 <= c < 58 else c + 32 if 65 <= c < 91 else c for c in range(256))
@@ -128,7 +130,7 @@ def keep_good(docs: DataFrame, max_docs: int = 100, min_words: int = 50, max_rem
     per_text = rows.groupBy("host", "content").agg(F.first("n_words").alias("n_words"), F.first("n_repeat_words").alias("n_repeat_words"))
     verdict = per_text.join(gone, ["host", "content"], "left").select("host", "content", (~_failed(min_words) & ~_depleted(max_removed_percent, min_left)).alias("kept"), F.col("removed_lines").alias("drop"))
     verdict = materialize(verdict.where("NOT kept OR drop IS NOT NULL"), "changed")
-    verdict = F.broadcast(verdict) if fits(verdict, BROADCAST_ROWS, "drop") else verdict
+    verdict = F.broadcast(verdict) if fits(verdict, BROADCAST_LINES, "drop") else verdict
     # The row travels as one value, so that no column of it can clash with a column made here.
     keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")).alias("content"))
     kept = keyed.join(verdict, ["host", "content"], "left").where("kept IS NULL OR kept")
