@@ -84,6 +84,11 @@ def _tokens(df: DataFrame) -> DataFrame:
     return df.select("row_id", F.posexplode(cells).alias("t", "x")).where("x.mask > 0").select("row_id", "t", "x.adv", "x.logp", "x.old_logp")
 
 
+#: Ranges of places that are counted; rows of one bucket of cumulative weights.
+PLACES = 4096
+BUCKET_ROWS = 500_000
+
+
 def _centred(tokens: DataFrame, mean_eps: float) -> DataFrame:
     means = tokens.agg((F.sum("adv") / (F.count(F.lit(1)) + mean_eps)).alias("ma"), (F.sum("logp") / (F.count(F.lit(1)) + mean_eps)).alias("mp"), F.count(F.lit(1)).alias("n"))
     return tokens.crossJoin(F.broadcast(means)).withColumn("cov", (F.col("adv") - F.col("ma")) * (F.col("logp") - F.col("mp")))
@@ -91,6 +96,27 @@ def _centred(tokens: DataFrame, mean_eps: float) -> DataFrame:
 
 
 
+def first_rows(rows: DataFrame, n: int, place: Column, order: list[Column]) -> DataFrame:
+    """The ``n`` first rows by ``place`` and then ``order``; only the rows of one narrow range of places are ever sorted.
+
+    Places are counted in ranges, a bounded number of them: rows of ranges
+    before the one that holds the ``n``-th row are in, and of that one the first.
+    """
+    placed = rows.withColumn("__p", place)
+    lo, hi = placed.agg(F.min("__p"), F.max("__p")).first()
+    if lo is None:
+        return rows.limit(0)
+    width = (hi - lo) / PLACES or 1.0
+    placed = placed.withColumn("__at", F.floor((F.col("__p") - lo) / width).cast("int"))
+    left = n
+    for at, count in sorted(map(tuple, placed.groupBy("__at").count().collect())):
+        if count >= left:
+            edge = placed.where(F.col("__at") == at).orderBy("__p", *order).limit(left)
+            return placed.where(F.col("__at") < at).union(edge).drop("__p", "__at")
+        left -= count
+    return rows
+
+
 @register("clip_cov")
 def clip_cov_loss(df: DataFrame, low: float = 0.2, high: float = 0.2, share: float = 0.0002, cov_low: float = 1.0, cov_high: float = 5.0, seed: int = 0) -> DataFrame:
     """A hashed pick among unclipped tokens with covariance inside a band loses its loss."""
@@ -99,7 +125,8 @@ def clip_cov_loss(df: DataFrame, low: float = 0.2, high: float = 0.2, share: flo
     n = tokens.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     picks = max(int(share * n), 1)
     band = tokens.where((F.col("cut") <= F.col("plain")) & (F.col("cov") > cov_low) & (F.col("cov") < cov_high))
-    gone = band.select("row_id", "t", F.md5(F.concat_ws("|", F.lit(seed), "row_id", "t")).alias("u")).orderBy("u", "row_id", "t").limit(picks).select("row_id", "t", F.lit(0.0).alias("corr"))
+    band = band.select("row_id", "t", F.md5(F.concat_ws("|", F.lit(seed), "row_id", "t")).alias("u"))
+    gone = first_rows(band, picks, F.conv(F.substring("u", 1, 12), 16, 10).cast("double"), [F.col("u"), F.col("row_id"), F.col("t")]).select("row_id", "t", F.lit(0.0).alias("corr"))
     kept = tokens.join(gone, ["row_id", "t"], "left").withColumn("corr", F.coalesce("corr", F.lit(1.0)))
     d = F.count(F.lit(1)) + 1e-8
     return kept.agg((F.sum(F.greatest("plain", "cut") * F.col("corr")) / d).alias("pg_loss"), (F.sum(1 - F.col("corr")) / d).alias("clip_frac"), (F.sum(F.col("old_logp") - F.col("logp")) / d).alias("kl"))
@@ -111,7 +138,7 @@ def kl_cov_loss(df: DataFrame, share: float = 0.0002, coef: float = 1.0) -> Data
     tokens = _centred(_tokens(df), 0.0)
     n = tokens.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     picks = max(1, int(n * share))
-    top = tokens.orderBy(F.col("cov").desc(), "row_id", "t").limit(picks).select("row_id", "t", F.lit(coef).alias("pay"))
+    top = first_rows(tokens.select("row_id", "t", "cov"), picks, -F.col("cov"), [F.col("row_id"), F.col("t")]).select("row_id", "t", F.lit(coef).alias("pay"))
     rows = tokens.join(top, ["row_id", "t"], "left").withColumn("x", F.col("logp") - F.col("old_logp"))
     loss = -F.col("adv") * F.exp("x") + F.coalesce("pay", F.lit(0.0)) * F.abs("x")
     d = F.count(F.lit(1)) + 1e-8
@@ -202,14 +229,16 @@ def sampling_weights(df: DataFrame, method: str = "pow", power: float = 2.0, sco
     return rows.withColumn("weight", w + 1e-8).drop("hi", "lo")
 
 
-def resample(weighted: DataFrame, size: int | None = None, seed: int = 0, buckets: int = 64, id_col: str = "row_id") -> DataFrame:
+def resample(weighted: DataFrame, size: int | None = None, seed: int = 0, buckets: int | None = None, id_col: str = "row_id") -> DataFrame:
     """``(draw, id)``: ``size`` draws (as many as rows by default) with replacement in proportion to ``weight``.
 
     Hashed uniforms meet cumulative weights by bucket: each row's interval of
     cumulative weight is split at bucket bounds, so the range condition is an
     equi-join on the bucket and no side is gathered.
     """
-    size = weighted.count() if size is None else size
+    n = weighted.count()
+    size = n if size is None else size
+    buckets = max(64, -(-n // BUCKET_ROWS)) if buckets is None else buckets
     parts = weighted.select(F.col(id_col), "weight", F.pmod(F.xxhash64(id_col), F.lit(buckets)).cast("int").alias("p"))
     sums = parts.groupBy("p").agg(F.sum("weight").alias("w"))
     starts = sums.select("p", (F.sum("w").over(Window.orderBy("p")) - F.col("w")).alias("base"), F.sum("w").over(Window.partitionBy()).alias("all"))  # ``buckets`` rows

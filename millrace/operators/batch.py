@@ -2,7 +2,8 @@
 
 Rows get their position from ``ordinal``: counts of deterministic buckets
 give each bucket's first position and rows are numbered inside their bucket,
-so no task ever holds the whole order.
+so no task ever holds the whole order.  There are as many buckets as
+``BUCKET_ROWS`` asks for, so a task's share does not grow with the table.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Rows that a bucket of positions should have; there are at least ``BUCKETS`` of them.
+BUCKET_ROWS = 500_000
 BUCKETS = 256
 
 
@@ -27,18 +30,23 @@ def ordinal(df: DataFrame, bucket: Column, order: list[Column], name: str = "ord
 
 def by_number(df: DataFrame, id_col: str = "row_id", name: str = "ord", descending: bool = False) -> DataFrame:
     """Positions in the order of an integer column, bucketed by its range; rows without a number come first, last where descending."""
-    ends = df.agg(F.min(id_col).alias("__lo"), F.max(id_col).alias("__hi"))
+    # Buckets divide the middle of the range, so that a few far numbers do not put all others into one.
+    middle = F.percentile_approx(id_col, F.array(F.lit(0.001), F.lit(0.999)), 10_000)
+    ends = df.agg(middle.alias("m"), F.greatest(F.lit(BUCKETS), F.ceil(F.count(F.lit(1)) / BUCKET_ROWS)).alias("__k")).select(F.col("m")[0].alias("__lo"), F.col("m")[1].alias("__hi"), "__k")
     rows = df.crossJoin(F.broadcast(ends))
-    at = F.floor((F.col(id_col) - F.col("__lo")).cast("double") * BUCKETS / (F.col("__hi") - F.col("__lo") + 1)).cast("int")
+    place = (F.col(id_col).cast("double") - F.col("__lo")) * F.col("__k") / (F.col("__hi").cast("double") - F.col("__lo") + 1)
+    at = F.least(F.greatest(F.floor(place), F.lit(0)), F.col("__k")).cast("int")
     at = F.coalesce(-at if descending else at, F.lit(1 if descending else -1))
     out = ordinal(rows, at, [F.col(id_col).desc() if descending else F.col(id_col)], name)
-    return out.drop("__lo", "__hi")
+    return out.drop("__lo", "__hi", "__k")
 
 
 def by_hash(df: DataFrame, seed: int, id_col: str = "row_id", name: str = "ord") -> DataFrame:
     """Positions in a seeded random order: that of an MD5 of seed and id."""
     h = F.md5(F.concat_ws("|", F.lit(seed), F.col(id_col)))
-    return ordinal(df, F.conv(F.substring(h, 1, 2), 16, 10).cast("int"), [h, F.col(id_col)], name)
+    size = df.agg(F.greatest(F.lit(BUCKETS), F.ceil(F.count(F.lit(1)) / BUCKET_ROWS)).alias("__k"))
+    at = F.floor(F.conv(F.substring(h, 1, 8), 16, 10).cast("long") * F.col("__k") / F.lit(float(1 << 32))).cast("int")
+    return ordinal(df.crossJoin(F.broadcast(size)), at, [h, F.col(id_col)], name).drop("__k")
 
 
 def head(df: DataFrame, n: int, *order: str) -> DataFrame:

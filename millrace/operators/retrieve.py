@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,20 +29,44 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
+def _scored(ids: list[int], vectors: list[list[float]], k: int):
+    """Scores of a batch's vectors that may be among a query's ``k`` best of the batch, ties included."""
+
+    def run(batches):
+        q = np.array(vectors, np.float64)
+        names = np.array(ids, np.int64)
+        for b in batches:
+            if not len(b) or not len(q):
+                continue
+            # Components are added in order, as a fold does, so that equal vectors get equal scores wherever they are.
+            p = np.array(b.column(1).to_pylist(), np.float64)
+            s = np.zeros((len(q), len(p)))
+            for d in range(q.shape[1]):
+                s += q[:, d : d + 1] * p[:, d]
+            least = np.partition(s, -k, axis=1)[:, -k] if len(p) > k else np.full(len(q), -np.inf)
+            row, col = np.nonzero(s >= least[:, None])
+            yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(b.column(0).to_numpy()[col]), pa.array(s[row, col])], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
 def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """``k`` best inner products of each query; ties to the smaller id.
 
     ``queries (query_id, q)``, ``corpus (vec_id, v)``.  A request's queries are
-    broadcast if few; more are dealt to blocks that meet every corpus row by
-    an equi-join on the block.  Ranks stop at ``k`` in every task first.
+    broadcast if few and scored in blocks, a matrix product for each batch of
+    the corpus; more are dealt to blocks that meet every corpus row by an
+    equi-join on the block.  Ranks stop at ``k`` in every task first.
     """
-    if queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES:
-        pairs = corpus.crossJoin(F.broadcast(queries))
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.transform("q", lambda x: x.cast("double")).alias("q")).limit(BROADCAST_QUERIES + 1).collect()
+    if len(asked) <= BROADCAST_QUERIES:
+        corpus = corpus.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("v", lambda x: x.cast("double")).alias("v"))
+        scored = corpus.where("v IS NOT NULL").mapInArrow(_scored([r[0] for r in asked if r[1] is not None], [r[1] for r in asked if r[1] is not None], k), "query_id long, vec_id long, score double")
     else:
         blocks = max(2, queries.count() // BROADCAST_QUERIES)
         dealt = queries.withColumn("blk", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
         pairs = corpus.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "blk").drop("blk")
-    scored = pairs.select("query_id", "vec_id", dot(F.col("q"), F.col("v")).alias("score"))
+        scored = pairs.select("query_id", "vec_id", dot(F.col("q"), F.col("v")).alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
@@ -57,14 +83,22 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return docs.select(F.col(id_col).alias("doc_id"), F.explode(terms).alias("x")).select("doc_id", "x.term", "x.tf", "x.dl")
 
 
-def bm25(queries: DataFrame, index: DataFrame, k: int, k1: float = 0.9, b: float = 0.4) -> DataFrame:
+def lengths(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row: number and mean length of the documents that have terms, from one scan."""
+    return docs.select(F.size(T.tokens(F.col(text_col))).alias("dl")).where("dl > 0").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+
+
+def bm25(queries: DataFrame, index: DataFrame, k: int, k1: float = 0.9, b: float = 0.4, stats: DataFrame | None = None) -> DataFrame:
     """``k`` best documents of each query by BM25; fewer hits return all.  ``queries (query_id, text)``.
 
+    ``stats`` are the ``lengths`` of the indexed documents; without them they
+    are counted from the index, which shuffles it once more.
+
     Postings of query terms are dealt by document, so that a document's scores
     are summed where it is, and each task ranks before the rest is shuffled.
     """
-    docs = index.groupBy("doc_id").agg(F.first("dl").alias("dl"))
-    stats = docs.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    if stats is None:
+        stats = index.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     terms = queries.select("query_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
     small = F.broadcast if few else lambda df: df
