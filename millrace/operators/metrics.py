@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -110,14 +111,11 @@ def _bootstrap(seed: int, votes: bool):
         first = (often == often.max(1, keepdims=True)).argmax(1)
         return vals[idx[np.arange(len(idx)), first]]
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        vals = pdf["value"].to_numpy(float)
-        codes = pd.factorize(pdf["pred"], use_na_sentinel=False)[0] if votes else None
+    def measured(vals, codes):
         n = len(vals)
-        rows = [(f"mean@{n}", vals.mean())]
+        yield f"mean@{n}", vals.mean()
         if n > 1:
-            rows.append((f"std@{n}", vals.std()))
+            yield f"std@{n}", vals.std()
         for k in subset_sizes(n):
             idx = positions(n, k)
             drawn = vals[idx]
@@ -125,8 +123,19 @@ def _bootstrap(seed: int, votes: bool):
             if votes:
                 stats["maj"] = majority(idx, vals, codes)
             for name, x in stats.items():
-                rows += [(f"{name}@{k}/mean", x.mean()), (f"{name}@{k}/std", x.std())]
-        return pd.DataFrame([(key[0], key[1], key[2], m, float(v)) for m, v in rows], columns=["data_source", "prompt", "var", "metric", "value"])
+                yield f"{name}@{k}/mean", x.mean()
+                yield f"{name}@{k}/std", x.std()
+
+    def run(batches):
+        for b in batches:
+            names, out = ["data_source", "var", "metric", "value"], [[], [], [], []]
+            for source, var, cells in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                flat = cells.values
+                codes = pd.factorize(flat.field("pred").to_pandas(), use_na_sentinel=False)[0] if votes else None
+                for metric, value in measured(flat.field("value").to_numpy(zero_copy_only=False), codes):
+                    for o, v in zip(out, (source, var, metric, float(value)), strict=True):
+                        o.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, (pa.string(), pa.string(), pa.string(), pa.float64()), strict=True)], names=names)
 
     return run
 
@@ -139,7 +148,9 @@ def validation_metrics(samples: DataFrame, seed: int = 42, votes: bool = False)
     values that are not numbers take no part.
     """
     rows = samples.where(F.col("value").isNotNull()).select("data_source", "prompt", "var", "pos", "value", *(["pred"] if votes else []))
-    each = rows.groupBy("data_source", "prompt", "var").applyInPandas(_bootstrap(seed, votes), "data_source string, prompt string, var string, metric string, value double")
+    cells = F.sort_array(F.collect_list(F.struct("pos", F.col("value").cast("double").alias("value"), *(["pred"] if votes else []))))
+    groups = rows.groupBy("data_source", "prompt", "var").agg(cells.alias("cells")).select("data_source", "var", "cells")
+    each = groups.mapInArrow(_bootstrap(seed, votes), "data_source string, var string, metric string, value double")
     return each.groupBy("data_source", "var", "metric").agg(F.avg("value").alias("value"))
 
 
