@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import text as T
 from millrace.operators import render as R
+from millrace.sources import benchmarks as B
 from millrace.sources import io
 from millrace.sources.views import ROLLOUTS, TOKENS, TRAJ, r6, rollouts, table, token_rows, trajectories
 
@@ -36,6 +37,31 @@ def s7_preference_scan(spark, sf_dir):
     return io.preference_rows(b).select("prompt", "side", "response")
 
 
+def s13_eight_sets(spark, sf_dir):
+    """All eight evaluation sets, each made of an eighth of the benchmark texts, in one table."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("idx"), "text")
+    part = lambda k, *columns: b.where(F.pmod("idx", F.lit(8)) == k).select("idx", *columns)
+    text, none = F.col("text"), F.lit(None).cast("string")
+    said = lambda role, c: F.struct(F.lit(role).alias("role"), c.alias("content"))
+    talk = F.array(said("user", text), said("assistant", F.lit("yes?")), said("user", F.repeat(text, 9)))
+    graded = F.array(F.struct(text.alias("criterion"), F.lit(2.0).alias("points"), F.array(F.lit("t")).alias("tags")))
+    weighed = F.array(F.struct(text.alias("criterion"), F.lit(0.5).alias("weight"), F.lit("x").alias("axis")))
+    answers = b.where(F.col("idx") % 3 > 0).select(F.col("idx").cast("string").alias("uid"), F.concat(F.lit("A "), "text").alias("answer"))
+    rows = B.unite(
+        B.healthbench(part(0, F.when(F.col("idx") % 5 > 0, talk).otherwise(F.slice(talk, 1, 0)).alias("prompt"), graded.alias("rubrics")), "P: "),
+        B.researchqa(part(1, F.concat(F.lit(" "), text, F.lit("\n")).alias("query"), F.array(text).alias("rubric")), "Q: "),
+        B.drb_race(part(2, F.when(F.col("idx") % 4 > 0, text).alias("prompt"), F.concat(F.lit("A "), "text").alias("topic")), "Q: "),
+        B.sqa_cs_v2(part(3, text.alias("question")), "Q: "),
+        B.researchrubrics(part(4, text.alias("prompt"), weighed.alias("rubrics")), "Q: "),
+        B.research_plan_gen(part(5, text.alias("Goal"), F.array(text, F.lit("r")).alias("Rubric")), "Q: ", "Plan: "),
+        B.arena_hard_cw(part(6, F.col("idx").cast("string").alias("uid"), F.when(F.col("idx") % 4 == 2, "creative_writing").otherwise("hard").alias("category"), text.alias("prompt")), answers),
+        B.wildbench(part(7, talk.alias("conversation_input"), F.array(text).alias("checklist"), none.alias("primary_tag")), "P: "),
+    )
+    field = lambda name: F.get_json_object("ground_truth", f"$.{name}")
+    detail = F.coalesce(field("healthbench_rubrics[0].criterion"), field("researchqa_rubric_items[0]"), field("drb_prompt"), field("sqa_question"), field("researchrubrics_rubrics[0].axis"), field("research_plan_gen_rubrics[1].weight"), field("arena_hard_baseline_answer"), field("wildbench_checklist[0]"))
+    return rows.select("idx", "data_source", "ability", field("eval_type").alias("eval_type"), F.md5(F.col("prompt")[0]["content"]).alias("prompt"), F.size("prompt").alias("n_messages"), F.md5("question").alias("question"), F.md5(detail).alias("detail"))
+
+
 def s13_benchmark_rows(spark, sf_dir):
     """Two benchmark sources projected to one schema and united."""
     b = table(spark, sf_dir, "benchmark")
@@ -157,6 +183,11 @@ SQL = {
     "s5_nested_scan": "SELECT item_id, text AS prompt, length(text)::INT AS response FROM benchmark",
     "s6_multi_turn_scan": "SELECT conv_id, count(*)::INT AS n_turns FROM conversations GROUP BY 1",
     "s7_preference_scan": "SELECT item_id AS prompt, side, CASE side WHEN 'chosen' THEN 'good' ELSE 'bad' END AS response FROM benchmark, (SELECT unnest(['chosen', 'rejected']) AS side)",
+    "s13_eight_sets": """WITH m AS (SELECT * FROM (VALUES (0, 'healthbench', 'medical-qa'), (1, 'researchqa', 'research-qa'), (2, 'drb_race', 'deep-research'), (3, 'sqa_cs_v2', 'scientific-qa'), (4, 'researchrubrics', 'deep-research'), (5, 'research_plan_gen', 'research-planning'), (6, 'arena_hard_cw', 'creative-writing'), (7, 'wildbench', 'instruction-following')) v(k, kind, ability)),
+b AS (SELECT item_id AS idx, item_id % 8 AS k, text AS t, trim(text, ' ' || chr(10)) AS s, CASE WHEN item_id % 4 > 0 THEN text ELSE 'A ' || text END AS d FROM benchmark)
+SELECT idx, 'eval_' || kind AS data_source, ability, kind AS eval_type, md5(CASE WHEN k IN (0, 7) THEN 'P: ' || t WHEN k = 2 THEN 'Q: ' || trim(d, ' ' || chr(10)) WHEN k = 5 THEN 'Q: Plan: ' || s WHEN k = 6 THEN s ELSE 'Q: ' || s END) AS prompt, CASE WHEN k IN (0, 7) THEN 3 ELSE 1 END::INT AS n_messages,
+md5(CASE WHEN k IN (0, 7) THEN repeat(t, 9)[1:200] WHEN k = 1 THEN ' ' || t || chr(10) WHEN k = 2 THEN d ELSE t END) AS question, md5(CASE k WHEN 2 THEN d WHEN 4 THEN 'x' WHEN 5 THEN '1.0' WHEN 6 THEN 'A ' || t ELSE t END) AS detail
+FROM b JOIN m USING (k) WHERE (k <> 0 OR idx % 5 > 0) AND (k <> 6 OR (idx % 4 = 2 AND idx % 3 > 0))""",
     "s13_benchmark_rows": "SELECT CASE WHEN item_id % 2 = 0 THEN 'eval_points' ELSE 'eval_pair' END AS data_source, md5(CASE WHEN item_id % 2 = 0 THEN text ELSE upper(text) END) AS prompt, CASE WHEN item_id % 2 = 0 THEN 2 ELSE 0 END::INT AS n_rubrics, item_id AS idx FROM benchmark",
     "p1_preprocess": "WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents) SELECT doc_id, md5('(Title: ' || l[1] || ')' || chr(10) || rtrim(coalesce(l[2], '')) || chr(10)) AS doc FROM l",
     "p2_template": "SELECT p_partkey, 'Use ' || p_name || ' of ' || p_brand || '; ' || p_name || '. {other}' AS prompt FROM part",
