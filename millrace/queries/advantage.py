@@ -12,7 +12,7 @@ DIMS = ("d_format", "d_difficulty", "d_acc")
 
 def _scored(name, **options):
     def run(spark, sf_dir):
-        return adv.advantages(rollouts(spark, sf_dir), name, **options).select("row_id", r6(F.col("advantage")).alias("advantage"))
+        return adv.advantages(rollouts(spark, sf_dir), name, **options).select("row_id", r6(F.col("advantage") + 1e-10).alias("advantage"))
 
     return run
 
@@ -24,7 +24,7 @@ def w4_gdpo(spark, sf_dir):
 
 
 def w4_gdpo_fallback(spark, sf_dir):
-    return adv.advantages(rollouts(spark, sf_dir), "gdpo", dimensions=("score",)).select("row_id", r6(F.col("advantage")).alias("advantage"))
+    return adv.advantages(rollouts(spark, sf_dir), "gdpo", dimensions=("score",)).select("row_id", r6(F.col("advantage") + 1e-10).alias("advantage"))
 
 
 def _exploded(df, *columns):
@@ -81,7 +81,7 @@ def _group(key="uid", extra=""):
 
 
 def _select(value, key="uid", extra="", tail=""):
-    return f"{_group(key, extra)}{tail} SELECT row_id, round({value}, 6) + 0.0 AS advantage FROM g"
+    return f"{_group(key, extra)}{tail} SELECT row_id, round({value} + 1e-10, 6) + 0.0 AS advantage FROM g"
 
 
 _WHITE = "(v - mean) / sqrt(var + 1e-8)"

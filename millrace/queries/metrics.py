@@ -60,11 +60,11 @@ def a6_bootstrap(spark, sf_dir):
 
 
 def a6_expected_best(spark, sf_dir):
-    return _r(m.expected_extreme(_samples(spark, sf_dir), 4))
+    return _r(m.expected_extreme(_samples(spark, sf_dir), 4).withColumn("value", F.col("value") + 1e-10))  # decides exact ties of rounding
 
 
 def a7_worst_of_n(spark, sf_dir):
-    return _r(m.expected_extreme(_samples(spark, sf_dir), 2, best=False))
+    return _r(m.expected_extreme(_samples(spark, sf_dir), 2, best=False).withColumn("value", F.col("value") + 1e-10))
 
 
 def a8_majority(spark, sf_dir):
@@ -129,8 +129,8 @@ SELECT round(COLUMNS(*), 6) + 0.0 FROM a, b""",
     "a3_timing": f"WITH {ROLLOUTS}, n AS (SELECT sum(len) AS resp, sum(len + 20) AS everything FROM r), t AS (SELECT part, sum(s) AS seconds FROM (VALUES ('gen', 12.5::DOUBLE), ('update', 30.0), ('gen', 2.0), ('ref', 4.25)) v(part, s) GROUP BY part) SELECT part, round(seconds, 6) + 0.0 AS seconds, round(seconds * 1000 / CASE WHEN part = 'gen' THEN resp ELSE everything END, 6) + 0.0 AS ms_per_token FROM t, n",
     "a4_throughput": f"WITH {ROLLOUTS} SELECT sum(len + 20)::BIGINT AS total_tokens, 48.75::DOUBLE AS seconds, round(sum(len + 20) / (48.75 * 6)::DOUBLE, 6) + 0.0 AS throughput FROM r",
     "a5_validation_metrics": f"WITH {_S}, g AS (SELECT data_source, var, prompt, count(*) AS n, avg(value) AS mu, stddev_pop(value) AS sd FROM s GROUP BY ALL), l AS (SELECT data_source, var, 'mean@' || n AS metric, mu AS v FROM g UNION ALL SELECT data_source, var, 'std@' || n, sd FROM g WHERE n > 1) SELECT data_source, var, metric, round(avg(v), 6) + 0.0 AS value FROM l GROUP BY ALL",
-    "a6_expected_best": f"WITH {_S}, k AS (SELECT *, row_number() OVER (PARTITION BY data_source, prompt, var ORDER BY value, pos) AS i, count(*) OVER (PARTITION BY data_source, prompt, var) AS n FROM s) SELECT data_source, prompt, var, round(sum(value * (pow(i / n, 4) - pow((i - 1) / n, 4))), 6) + 0.0 AS value FROM k GROUP BY ALL",
-    "a7_worst_of_n": f"WITH {_S}, k AS (SELECT *, row_number() OVER (PARTITION BY data_source, prompt, var ORDER BY value DESC, pos) AS i, count(*) OVER (PARTITION BY data_source, prompt, var) AS n FROM s) SELECT data_source, prompt, var, round(sum(value * (pow(i / n, 2) - pow((i - 1) / n, 2))), 6) + 0.0 AS value FROM k GROUP BY ALL",
+    "a6_expected_best": f"WITH {_S}, k AS (SELECT *, row_number() OVER (PARTITION BY data_source, prompt, var ORDER BY value, pos) AS i, count(*) OVER (PARTITION BY data_source, prompt, var) AS n FROM s) SELECT data_source, prompt, var, round(sum(value * (pow(i / n, 4) - pow((i - 1) / n, 4))) + 1e-10, 6) + 0.0 AS value FROM k GROUP BY ALL",
+    "a7_worst_of_n": f"WITH {_S}, k AS (SELECT *, row_number() OVER (PARTITION BY data_source, prompt, var ORDER BY value DESC, pos) AS i, count(*) OVER (PARTITION BY data_source, prompt, var) AS n FROM s) SELECT data_source, prompt, var, round(sum(value * (pow(i / n, 2) - pow((i - 1) / n, 2))) + 1e-10, 6) + 0.0 AS value FROM k GROUP BY ALL",
     "a8_majority": f"WITH {_S}, c AS (SELECT data_source, prompt, pred, count(*) AS n, min(pos) AS first, arg_min(value, pos) AS value FROM s GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY data_source, prompt ORDER BY n DESC, first) AS i FROM c) SELECT data_source, prompt, round(value, 6) + 0.0 AS value FROM k WHERE i = 1",
     "a9_roll_up": f"""WITH {_S}, e AS (SELECT CASE WHEN data_source < 'm' THEN 'eval_' || data_source ELSE data_source END AS ds, value FROM s),
 g AS (SELECT ds, avg(value) AS a, max(value) AS b, min(value) AS c FROM e GROUP BY ds),
