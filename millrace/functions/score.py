@@ -83,7 +83,7 @@ def _ratio(part: Column, whole: Column) -> Column:
 
 def _calls(turn: Column, markup: str) -> Column:
     """Valid search calls of a text in one markup."""
-    if markup == "search_r1":
+    if markup == "search_tags":
         return F.size(T.stripped_blocks(turn, "search"))
     if markup == "function_calls":
         return F.size(F.regexp_extract_all(turn, F.lit(T.FC_SEARCH), F.lit(1)))
@@ -103,7 +103,7 @@ def final_task(turn: Column) -> Column:
     return F.coalesce(F.nullif(T.strip(T.last(T.blocks(turn, "task"))), F.lit("")), T.submitted_task(turn))
 
 
-def task_format(x: Column, searches: Column | int | None = None, markup: str = "search_r1") -> Column:
+def task_format(x: Column, searches: Column | int | None = None, markup: str = "search_tags") -> Column:
     """``(think, tool, structure, format)`` of a task writer's conversation; format is the mean of the three.
 
     Tool: with ``searches`` expected, turns with a search less those with a
@@ -126,7 +126,7 @@ def task_format(x: Column, searches: Column | int | None = None, markup: str = "
     return T.let(T.assistant_turns(x), parts)
 
 
-def answer_format(x: Column, markup: str = "search_r1", think_budget: int | None = None) -> Column:
+def answer_format(x: Column, markup: str = "search_tags", think_budget: int | None = None) -> Column:
     """``(think, tool, answer, format)`` of a solver's conversation: searches are due in every turn but the last."""
 
     def parts(turns):
