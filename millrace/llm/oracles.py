@@ -75,4 +75,37 @@ n AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, count(*) FILTER (ter
 SELECT doc_id, unnest(range(n))::INT AS copy, text, lang, source, n_chars FROM n
 """
 
-SQL = {"op3_tiered_shards": _OP3, "op4_quality_rules": _OP4, "op5_ngram_jaccard": _OP5, "op6_preference_chat": _OP6, "op7_exact_topk": _OP7, "op8_poisson_mix": _OP8}
+_OP12 = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || doc_id) AS h FROM documents),
+u AS (SELECT doc_id, t, length(t) AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+f AS (SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS p, greatest(h1 % (n + 1), h2 % (n + 1)) AS q,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
+c AS (SELECT *, substring(t, 1, p) AS pre, substring(t, p + 1, q - p) AS mid, substring(t, q + 1) AS suf FROM f)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN p::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN (q - p)::BIGINT END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM c
+"""
+
+_OP13 = r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+n AS (SELECT doc_id, count(*)::BIGINT AS n FROM w GROUP BY 1),
+s AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS total FROM n),
+p AS (SELECT doc_id, term, count(*)::BIGINT AS tf FROM w GROUP BY 1, 2),
+v AS (SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM p, s GROUP BY term, docs),
+m AS (SELECT doc_id, 50 + (50 * n * docs) // total AS m FROM n, s),
+r AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score FROM q JOIN v USING (term) JOIN p USING (term) JOIN m USING (doc_id) GROUP BY 1, 2)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id))::INT AS rank, doc_id, score FROM r WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+"""
+
+SQL = {
+    "op3_tiered_shards": _OP3,
+    "op4_quality_rules": _OP4,
+    "op5_ngram_jaccard": _OP5,
+    "op6_preference_chat": _OP6,
+    "op7_exact_topk": _OP7,
+    "op8_poisson_mix": _OP8,
+    "op12_fill_in_middle": _OP12,
+    "op13_ranked_search": _OP13,
+}

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from millrace.llm import oracles
 from millrace.llm._work import scratch
+from millrace.llm.bin_slack import pack_tightly
 from millrace.llm.chat import format_preferences, pairs_from_conversations
+from millrace.llm.infill import fill_in_middle_digest
 from millrace.llm.jaccard import jaccard_components
 from millrace.llm.mixing import mix_sources
 from millrace.llm.packing import pack_documents
@@ -20,8 +22,10 @@ from millrace.llm.secrets import secret_digest
 from millrace.llm.sharding import ShardStore
 from millrace.llm.suffix_dedup import remove_repeats
 from millrace.llm.topk import top_k
+from millrace.llm.wavelet import ranked_search
 
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 ARRIVALS = 8
 #: Of these queries over invented data only; real keys come from a secret store.
 EXAMPLE_KEY = "millrace-pseudonyms-1"
@@ -77,8 +81,20 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), length=200)
 
 
+def op11_min_bin_slack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_tightly(_table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER), capacity=2048, end_id=0)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle_digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = [op1_secret_scan, op2_pii_pseudonyms, op3_tiered_shards, op4_quality_rules, op5_ngram_jaccard, op6_preference_chat, op7_exact_topk, op8_poisson_mix, op9_packing, op10_suffix_dedup]
+    every = [op1_secret_scan, op2_pii_pseudonyms, op3_tiered_shards, op4_quality_rules, op5_ngram_jaccard, op6_preference_chat, op7_exact_topk, op8_poisson_mix, op9_packing, op10_suffix_dedup, op11_min_bin_slack, op12_fill_in_middle, op13_ranked_search]
     return {f.__name__: f for f in every}
 
 
