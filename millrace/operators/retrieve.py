@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.sources.io import shared_folder
 
-#: Queries of one search request are broadcast up to this many rows.
-BROADCAST_QUERIES = 4096
+#: Queries that are scored in one pass over the corpus.
+QUERY_BLOCK = 4096
 
 #: Terms of all queries of a term search are broadcast up to this many.
 BROADCAST_TERMS = 200_000
@@ -29,23 +33,60 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def _scored(ids: list[int], vectors: list[list[float]], k: int):
-    """Scores of a batch's vectors that may be among a query's ``k`` best of the batch, ties included."""
+#: Corpus rows that are scored against a block of queries at once.
+CORPUS_ROWS = 1024
+
+
+def _valid(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
+    """``(id, vector of doubles)`` of the rows that take part in a search."""
+    v = F.transform(vec_col, lambda x: x.cast("double"))
+    whole = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
+    return df.select(F.col(id_col).cast("long").alias(id_col), v.alias(vec_col)).where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & whole)
+
+
+def _matrix(vectors: pa.Array, width: int | None = None) -> np.ndarray:
+    """A row per vector; those of fewer components than ``width`` (by default the most) end in zeros, others are cut."""
+    size = pc.list_value_length(vectors).to_numpy(zero_copy_only=False).astype(np.int64)
+    width = int(size.max(initial=0)) if width is None else width
+    out = np.zeros((len(size), width))
+    row = np.repeat(np.arange(len(size)), size)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    out[row[at < width], at[at < width]] = vectors.flatten().to_numpy()[at < width]
+    return out
+
+
+def _best(row: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
+    """Places of each row's ``k`` best, highest first, then by id."""
+    order = np.lexsort((ids, -scores, row))
+    first = np.r_[0, np.flatnonzero(np.diff(row[order])) + 1] if len(order) else np.zeros(0, np.int64)
+    rank = np.arange(len(order)) - np.repeat(first, np.diff(np.r_[first, len(order)]))
+    return order[rank < k]
+
+
+def _scored(shared, k: int):
+    """The ``k`` best vectors of a task for each query of a block."""
 
     def run(batches):
-        q = np.array(vectors, np.float64)
-        names = np.array(ids, np.int64)
+        numbers, names, q = shared.value
+        row, ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        least = np.full(len(q), -np.inf)
         for b in batches:
-            if not len(b) or not len(q):
-                continue
-            # Components are added in order, as a fold does, so that equal vectors get equal scores wherever they are.
-            p = np.array(b.column(1).to_pylist(), np.float64)
-            s = np.zeros((len(q), len(p)))
-            for d in range(q.shape[1]):
-                s += q[:, d : d + 1] * p[:, d]
-            least = np.partition(s, -k, axis=1)[:, -k] if len(p) > k else np.full(len(q), -np.inf)
-            row, col = np.nonzero(s >= least[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(b.column(0).to_numpy()[col]), pa.array(s[row, col])], names=["query_id", "vec_id", "score"])
+            for first in range(0, b.num_rows, CORPUS_ROWS):
+                some = b.slice(first, CORPUS_ROWS)
+                p = _matrix(some.column(1), q.shape[1])
+                s = np.zeros((len(q), len(p)))
+                # Components are added in order, as a fold does, so that equal vectors get equal scores wherever they are.
+                for d in range(q.shape[1]):
+                    s += q[:, d : d + 1] * p[:, d]
+                floor = np.maximum(least, np.partition(s, -k, axis=1)[:, -k]) if len(p) > k else least
+                i, j = np.nonzero(s >= floor[:, None])
+                row, ids, scores = np.r_[row, i], np.r_[ids, some.column(0).to_numpy()[j]], np.r_[scores, s[i, j]]
+                keep = _best(row, ids, scores, k)
+                row, ids, scores = row[keep], ids[keep], scores[keep]
+                full = np.bincount(row, minlength=len(q)) == k
+                last = np.r_[row[1:] != row[:-1], True][: len(row)]
+                least[full] = scores[last & full[row]]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (numbers[row], names[row], ids, scores)], names=["no", "query_id", "vec_id", "score"])
 
     return run
 
@@ -53,22 +94,33 @@ def _scored(ids: list[int], vectors: list[list[float]], k: int):
 def dense_top_k(queries: DataFrame, corpus: DataFrame, k: int) -> DataFrame:
     """``k`` best inner products of each query; ties to the smaller id.
 
-    ``queries (query_id, q)``, ``corpus (vec_id, v)``.  A request's queries are
-    broadcast if few and scored in blocks, a matrix product for each batch of
-    the corpus; more are dealt to blocks that meet every corpus row by an
-    equi-join on the block.  Ranks stop at ``k`` in every task first.
+    ``queries (query_id, q)``, ``corpus (vec_id, v)``.  Queries are taken in
+    blocks of ``QUERY_BLOCK``, and each block is scored against batches of the
+    corpus where they are, without a shuffle of either: a task holds the ``k``
+    best so far of each query of the block.  All blocks go the same way.
+
+    Rows without an id or a vector, or with a component that is null or not
+    finite, take no part; vectors of different dimension are compared as if
+    padded with zeros; repeated rows each count and each ask.
     """
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.transform("q", lambda x: x.cast("double")).alias("q")).limit(BROADCAST_QUERIES + 1).collect()
-    if len(asked) <= BROADCAST_QUERIES:
-        corpus = corpus.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform("v", lambda x: x.cast("double")).alias("v"))
-        scored = corpus.where("v IS NOT NULL").mapInArrow(_scored([r[0] for r in asked if r[1] is not None], [r[1] for r in asked if r[1] is not None], k), "query_id long, vec_id long, score double")
-    else:
-        blocks = max(2, queries.count() // BROADCAST_QUERIES)
-        dealt = queries.withColumn("blk", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-        pairs = corpus.withColumn("blk", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "blk").drop("blk")
-        scored = pairs.select("query_id", "vec_id", dot(F.col("q"), F.col("v")).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return scored.withColumn("rank", rank).where(F.col("rank") <= k)
+    spark = corpus.sparkSession
+    v = _valid(corpus, "vec_id", "v")
+    rows, found, before = _valid(queries, "query_id", "q").toLocalIterator(), None, 0
+    block = list(islice(rows, QUERY_BLOCK))
+    while block:
+        shared = spark.sparkContext.broadcast((before + np.arange(len(block)), np.array([r[0] for r in block], np.int64), _matrix(pa.array([r[1] for r in block], pa.list_(pa.float64())))))
+        some, before = v.mapInArrow(_scored(shared, k), "no long, query_id long, vec_id long, score double"), before + len(block)
+        block = list(islice(rows, QUERY_BLOCK))
+        if block or found is not None:  # of many blocks the driver holds one at a time
+            path = shared_folder(spark, "dense")
+            some.write.parquet(path)
+            shared.destroy()
+            some = spark.read.schema(some.schema).parquet(path)
+        found = some if found is None else found.union(some)
+    if found is None:
+        found = spark.createDataFrame([], "no long, query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("no").orderBy(F.col("score").desc(), "vec_id"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("no")
 
 
 def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

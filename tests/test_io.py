@@ -46,12 +46,24 @@ def test_search_errors_and_fan_in(spark):
     assert got == {1: (["A", "B"], None), 2: ([], "count mismatch")}
 
 
-def test_dense_search_paths_agree(spark, monkeypatch):
-    e = spark.createDataFrame([(i, [float(i % 7), float(i % 3), 1.0]) for i in range(60)], "vec_id long, v array<double>")
-    q = e.where("vec_id < 9").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    a = sorted(map(tuple, retrieve.dense_top_k(q, e, 4).collect()))
-    monkeypatch.setattr(retrieve, "BROADCAST_QUERIES", 2)
-    assert sorted(map(tuple, retrieve.dense_top_k(q, e, 4).collect())) == a
+@pytest.mark.parametrize("block", [1, 2, 4096])
+def test_dense_search_is_alike_at_any_number_of_queries(spark, monkeypatch, block):
+    """Ties, repeats, nulls, ragged and unusable vectors, against every product."""
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", block)
+    monkeypatch.setattr(retrieve, "CORPUS_ROWS", 7)
+    vectors = [(i, [float(i % 7), float(i % 3), 1.0]) for i in range(60)] + [(60, None), (61, [1.0, None, 2.0]), (62, [float("nan")]), (63, [float("inf"), 1.0]), (64, [9.0]), (65, []), (66, [1.0, 1.0, 1.0, 50.0]), (None, [99.0] * 3), (3, [3.0, 0.0, 1.0])]
+    asked = vectors[:5] + vectors[60:] + [(70, [1.0, 0.0, 0.0, 2.0, 5.0]), (2, [2.0, 2.0, 1.0])]
+    e = spark.createDataFrame(vectors, "vec_id long, v array<double>").repartition(3)
+    q = spark.createDataFrame(asked, "query_id long, q array<double>")
+    fine = lambda v: v is not None and all(x is not None and abs(x) < float("inf") for x in v)
+    want = []
+    for name, x in asked:
+        if name is not None and fine(x):
+            scores = sorted((-sum(a * b for a, b in zip(x, v, strict=False)), i) for i, v in vectors if i is not None and fine(v))
+            want += [(name, i, -s + 0.0, r) for r, (s, i) in enumerate(scores[:4], 1)]
+    got = [(r["query_id"], r["vec_id"], r["score"] + 0.0, r["rank"]) for r in retrieve.dense_top_k(q, e, 4).collect()]
+    assert sorted(got) == sorted(want)
+    assert retrieve.dense_top_k(q.limit(0), e, 4).collect() == [] == retrieve.dense_top_k(q, e.limit(0), 4).collect()
 
 
 def test_registry(spark):
