@@ -13,7 +13,8 @@ the threshold is one span, unless an allow-list pattern matches the run or a
 fixed-pattern span touches it.
 
 Null is an empty text; a text without hits has empty spans.  Repeated rows
-each get a result.
+each get a result, and an empty table none; other columns are ignored.  Time
+grows in proportion to a text and its hits, however long it is.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ MIN_ASSIGN_VALUE = 12
 MIN_ACCESS = 18
 ALPHABETS = {"entropy_base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-", "entropy_hex": "0123456789abcdefABCDEF"}
 THRESHOLDS = {"entropy_base64": 3.6, "entropy_hex": 2.9}
+#: Places that one fold adds up.
+BLOCK = 128
 KINDS = ["assign", "access", "hex", "entropy_base64", "entropy_hex"]
 ALLOW = (
     r"^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # UUIDs
@@ -40,22 +43,64 @@ ALLOW = (
 )
 
 
+def _let(x: Column, f) -> Column:
+    """``f`` of an expression that is computed once."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
+def _running(values: Column, op) -> Column:
+    """Running results of ``op`` over an array of numbers, of non-negative ones for ``F.greatest`` and ``+``.
+
+    A fold copies what it has so far in every step, so it runs inside blocks
+    of ``BLOCK`` and once over the blocks.
+    """
+    none = F.array().cast("array<int>")
+    zero = F.struct(F.lit(0).alias("last"), none.alias("out"))
+
+    def step(acc, x):
+        now = op(acc["last"], x)
+        return F.struct(now.alias("last"), F.concat(acc["out"], F.array(now)).alias("out"))
+
+    def before(acc, w):
+        return F.struct(op(acc["last"], F.get(w, F.size(w) - 1)).alias("last"), F.concat(acc["out"], F.array(acc["last"])).alias("out"))
+
+    def blocks(v):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / BLOCK).cast("int")), lambda k: F.aggregate(F.slice(v, k * BLOCK + 1, F.lit(BLOCK)), zero, step, lambda acc: acc["out"]))
+
+    def joined(w):
+        return F.flatten(F.zip_with(w, F.aggregate(w, zero, before, lambda acc: acc["out"]), lambda part, base: F.transform(part, lambda x: op(base, x))))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, _let(blocks(v), joined)).otherwise(none))
+
+
 def _hits(text: Column, pattern: str, keep=None) -> Column:
     """Spans ``(start, end, value)`` of all leftmost non-overlapping matches; ``keep`` filters on the match."""
     full = r"(?s)\G(.*?)(" + pattern + ")"
     group = lambda k: F.regexp_extract_all(text, F.lit(full), F.lit(k))
     value = group(4) if "(" in pattern.replace("(?i:", "") else group(2)
-    hits = F.arrays_zip(group(1).alias("gap"), group(2).alias("hit"), value.alias("value"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("out"))
+    hits = F.arrays_zip(F.transform(group(1), F.length).alias("gap"), F.transform(group(2), F.length).alias("size"), value.alias("value"))
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("out"))
+    def placed(h):
+        ends = _running(F.transform(h, lambda x: x["gap"] + x["size"]), lambda a, b: a + b)
+        return _let(ends, lambda e: F.transform(h, lambda x, k: F.struct((F.get(e, k) - x["size"]).alias("start"), F.get(e, k).alias("end"), x["value"].alias("value"))))
 
-    spans = F.aggregate(hits, zero, step, lambda acc: acc["out"])
+    spans = _let(hits, placed)
     spans = F.filter(spans, keep) if keep else spans
-    return F.when(text.rlike(pattern), spans).otherwise(zero["out"])
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
+
+
+def _touched(start: Column, end: Column) -> Column:
+    """Whether a span of ``base``, which is in order of start, overlaps ``[start, end)``: a binary search for the last that starts before the end."""
+
+    def halve(acc, _):
+        middle = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        left = F.get(F.col("base"), middle)["start"] < end
+        open_ = acc["lo"] < acc["hi"]
+        return F.struct(F.when(open_ & left, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(open_ & ~left, middle).otherwise(acc["hi"]).alias("hi"))
+
+    steps = F.ceil(F.log2(F.size("base") + 1.0)).cast("int") + 1
+    below = F.aggregate(F.sequence(F.lit(1), steps), F.struct(F.lit(0).alias("lo"), F.size("base").alias("hi")), halve, lambda acc: acc["lo"])
+    return F.coalesce(_let(below, lambda n: F.get("reach", n - 1) > start), F.lit(False))
 
 
 def _windows(run: Column, kind: str, window: int) -> Column:
@@ -87,7 +132,7 @@ def _windows(run: Column, kind: str, window: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.length(run) - 1), empty, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
 
 
-def _entropy_spans(text: Column, base: Column, kind: str, window: int, allow) -> Column:
+def _entropy_spans(text: Column, kind: str, window: int, allow) -> Column:
     runs = _hits(text, r"[A-Za-z0-9+/_=-]{%d,}" % window)
     is_hex = lambda r: r["value"].rlike("^[0-9a-fA-F]+$")
 
@@ -95,7 +140,7 @@ def _entropy_spans(text: Column, base: Column, kind: str, window: int, allow) ->
         ok = r["value"].rlike("[0-9]") & r["value"].rlike("[A-Za-z]") & (is_hex(r) if kind == "entropy_hex" else ~is_hex(r))
         for pattern in allow:
             ok = ok & ~r["value"].rlike(pattern)
-        return ok & ~F.exists(base, lambda b: (b["start"] < r["end"]) & (b["end"] > r["start"]))
+        return ok & ~_touched(r["start"], r["end"])
 
     found = F.transform(F.filter(runs, candidate), lambda r: F.struct(r["start"].alias("at"), _windows(r["value"], kind, window).alias("w")))
     found = F.filter(found, lambda x: x["w"]["first"] >= 0)
@@ -112,8 +157,10 @@ def scan_secrets(docs: DataFrame, window: int = 20, allow: tuple[str, ...] = ALL
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", _hits(text, ASSIGN, lambda s: F.length(s["value"]) >= MIN_ASSIGN_VALUE).alias("assign"), _hits(text, ACCESS, lambda s: s["end"] - s["start"] >= MIN_ACCESS).alias("access"), _hits(text, HEX).alias("hex"))
     rows = rows.select("doc_id", "text", F.array_sort(F.concat(*[_tag(F.col(k), k) for k in KINDS[:3]])).alias("base"))
+    # How far the spans up to each one reach.
+    rows = rows.withColumn("reach", _running(F.transform("base", lambda b: b["end"]), F.greatest))
     likely = text.rlike(r"[A-Za-z0-9+/_=-]{%d,}" % window) & text.rlike("[0-9]")
-    added = [F.when(likely, _tag(_entropy_spans(text, F.col("base"), k, window, allow), k)).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")) for k in KINDS[3:]]
+    added = [F.when(likely, _tag(_entropy_spans(text, k, window, allow), k)).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")) for k in KINDS[3:]]
     return rows.select("doc_id", "text", "base", F.array_sort(F.concat("base", *added)).alias("found"))
 
 
