@@ -25,14 +25,19 @@ joined.  Steps:
 The suffix filter bounds the overlap by the sum over ``BINS`` hash ranges of
 the smaller of the two sets' counts there.
 
-Null and empty texts are empty sets: component is the document itself.  Rows
-repeated under one ``doc_id`` get one result row each.
+Sets are named by 128 bits.  Null and empty texts are empty sets: component is
+the document itself.  Rows repeated under one ``doc_id`` get one result row
+each.  Rows without an id link others like any row, and their component is the
+smallest id that they reach, null if there is none.  An empty table gives no
+rows; a very long text is one set, which a task holds as eight bytes a word;
+other columns of the input are ignored.
 """
 
 from __future__ import annotations
 
+import struct
 import zlib
-from itertools import chain
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -52,6 +57,8 @@ SLICE_BYTES = 1 << 17
 LONG_WORD = 32
 #: An n-gram that may occur in more sets is dealt to so many more groups.
 HOT_ROWS = 20_000
+#: Pairs of one centre, and sets of one n-gram in the last join, that go to one group; more are dealt to so many more.
+HOT_PAIRS = 256
 #: Components are broadcast for the final lookup only up to this many rows.
 BROADCAST_ROWS = 1_000_000
 
@@ -121,8 +128,9 @@ def shingle_sets(texts: pa.BinaryArray, n: int):
             yield s[np.r_[True, s[1:] != s[:-1]]] if len(s) else s
 
 
-def node_id(s: np.ndarray) -> int:
-    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes())).astype(np.int64)))
+def node_id(s: np.ndarray, seed: int = 0) -> tuple[int, int]:
+    """128 bits that name a set, as two signed numbers; the first alone is the node's id once no two sets share it."""
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(s.tobytes(), seed))
 
 
 def _cells(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,19 +138,19 @@ def _cells(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), (s & low).astype(np.int64)
 
 
-_SETS = "doc_id long, nid long, n long, hist binary, slice int, counts binary"
+_SETS = "doc_id long, nid long, check long, n long, hist binary, slice int, counts binary"
 
 
-def _profile(n: int):
+def _profile(n: int, seed: int):
     def run(batches):
         total = np.zeros((2, 1 << SKETCH_BITS), np.int64)
         used = False
         for b in batches:
-            ids, nids, ns, hists, pend, held = [], [], [], [], [], 0
+            ids, names, ns, hists, pend, held = [], [], [], [], [], 0
             for doc, s in zip(b.column(0).to_pylist(), shingle_sets(b.column(1), n), strict=True):
                 ids.append(doc)
                 ns.append(len(s))
-                nids.append(node_id(s) if len(s) else None)
+                names.append(node_id(s, seed) if len(s) else (None, None))
                 hists.append(np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=BINS).astype("<u4").tobytes() if len(s) else None)
                 pend.append(s)
                 held += len(s)
@@ -156,15 +164,15 @@ def _profile(n: int):
                 used = True
             k = len(ids)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(nids, pa.int64()), pa.array(ns, pa.int64()), pa.array(hists, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
-                names=["doc_id", "nid", "n", "hist", "slice", "counts"],
+                [pa.array(ids, pa.int64()), *[pa.array([x[i] for x in names], pa.int64()) for i in (0, 1)], pa.array(ns, pa.int64()), pa.array(hists, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
+                names=["doc_id", "nid", "check", "n", "hist", "slice", "counts"],
             )
         if used:
             flat = total.reshape(-1, SLICE)
             k = len(flat)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([zlib.compress(x.astype("<u8").tobytes(), 1) for x in flat], pa.binary())],
-                names=["doc_id", "nid", "n", "hist", "slice", "counts"],
+                [*[pa.nulls(k, pa.int64())] * 4, pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([zlib.compress(x.astype("<u8").tobytes(), 1) for x in flat], pa.binary())],
+                names=["doc_id", "nid", "check", "n", "hist", "slice", "counts"],
             )
 
     return run
@@ -191,7 +199,7 @@ def _sketch(sets: DataFrame) -> np.ndarray:
     return np.minimum(flat, 2**32 - 1).astype(np.uint32).reshape(2, -1)
 
 
-def _prefixes(n: int, percent: int, shared):
+def _prefixes(n: int, percent: int, shared, seed: int):
     """Postings of each set's prefix; ``salt`` deals an n-gram that may be very frequent to several groups."""
     names = ["h", "salt", "nid", "sp"]
 
@@ -202,7 +210,7 @@ def _prefixes(n: int, percent: int, shared):
             out: list[list[np.ndarray]] = [[] for _ in names]
             held = 0
             for s in shingle_sets(b.column(0), n):
-                if not len(s) or (nid := node_id(s)) in seen:
+                if not len(s) or (nid := node_id(s, seed)[0]) in seen:
                     continue
                 seen.add(nid)
                 m = len(s)
@@ -308,25 +316,61 @@ def _verify(n: int, percent: int):
     return run
 
 
-def _rehash(n: int):
+def _named(n: int, seed: int):
+    """Node ids of texts, null for those without words."""
+
+    def run(batches):
+        for b in batches:
+            ids = [node_id(s, seed)[0] if len(s) else None for s in shingle_sets(b["raw"], n)]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), b["raw"]], names=["nid", "raw"])
+
+    return run
+
+
+def _renamed(n: int, seed: int):
+    """As ``_named``, with the node that each text was looked up for."""
+
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array([len(s) > 0 and node_id(s) == k for k, s in zip(b["nid"].to_pylist(), shingle_sets(b["raw"], n), strict=True)], pa.bool_()))
+            for named in _named(n, seed)([b.select(["raw"])]):
+                yield pa.RecordBatch.from_arrays([b["of"], *named.columns], names=["of", "nid", "raw"])
 
     return run
 
 
-def _links(pairs: DataFrame, reps: DataFrame, raw: DataFrame, n: int, percent: int, unique_ids: bool) -> DataFrame:
-    """Pairs whose whole texts reach the similarity; each text is shipped once per pair."""
+def _centre_salts(pairs: DataFrame) -> DataFrame | None:
+    """``(a, salts)`` of the centres with more than ``HOT_PAIRS`` pairs, if there are any."""
+    hot = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT_PAIRS).select("a", F.ceil(F.col("c") / HOT_PAIRS).cast("int").alias("salts"))
+    hot = materialize(hot, "centres")
+    if not hot.limit(1).count():
+        return None
+    return F.broadcast(hot) if fits(hot, BROADCAST_ROWS) else hot
+
+
+def _links(pairs: DataFrame, reps: DataFrame, raw: DataFrame, n: int, percent: int, seed: int, unique_ids: bool) -> DataFrame:
+    """Pairs whose whole texts reach the similarity; each text is shipped once per pair, and a centre's once per ``HOT_PAIRS`` of its pairs more."""
     ends = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
     named = reps.join(ends, "nid", "left_semi").select("nid", "doc_id")
     named = materialize(named, "named")
-    named = F.broadcast(named) if fits(named, BROADCAST_ROWS) else named
-    texts = raw.join(named, "doc_id").select("nid", "raw")
+    lost = named.where("doc_id IS NULL").select("nid")
+    known = F.broadcast(named) if fits(named, BROADCAST_ROWS) else named
+    texts = raw.join(known, "doc_id").select("nid", "raw")
     if not unique_ids:  # one id may then stand for several texts; keep the one that was meant
-        texts = texts.mapInArrow(_rehash(n), "nid long, raw binary").dropDuplicates(["nid"])
+        meant = texts.select(F.col("nid").alias("of"), "raw").mapInArrow(_renamed(n, seed), "of long, nid long, raw binary")
+        texts = meant.where("of = nid").select("nid", "raw").dropDuplicates(["nid"])
+    if lost.limit(1).count():  # sets that only rows without an id have
+        own = raw.where("doc_id IS NULL").select("raw").mapInArrow(_named(n, seed), "nid long, raw binary")
+        texts = texts.union(own.join(lost, "nid", "left_semi").dropDuplicates(["nid"]))
     texts = materialize(texts, "texts")
-    joined = pairs.join(texts.select(F.col("nid").alias("a"), F.col("raw").alias("ra")), "a").join(texts.select(F.col("nid").alias("b"), F.col("raw").alias("rb")), "b")
+    centre, other = texts.select(F.col("nid").alias("a"), F.col("raw").alias("ra")), texts.select(F.col("nid").alias("b"), F.col("raw").alias("rb"))
+    salts = _centre_salts(pairs)
+    if salts is None:
+        joined = pairs.join(centre, "a")
+    else:
+        pairs = pairs.join(salts, "a", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("b"), F.col("salts")), F.lit(0)))
+        centre = centre.join(salts, "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("salts", F.lit(1)).cast("bigint") - 1)))
+        joined = pairs.drop("salts").join(centre.drop("salts"), ["a", "salt"])
+    joined = joined.join(other, "b")
     return materialize(joined.select("a", "b", "ra", "rb").mapInArrow(_verify(n, percent), "a long, b long"), "links")
 
 
@@ -359,13 +403,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
         raise ValueError("percent must be in (0, 100]")
     spark = docs.sparkSession
     raw = text_rows(docs, id_col, text_col).select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("raw"))
-    sets = materialize(raw.mapInArrow(_profile(n), _SETS), "sets")
+    for seed in count():  # the first one but for an accident of one in some billion runs over as many sets
+        sets = materialize(raw.mapInArrow(_profile(n, seed), _SETS), "sets")
+        shared_ids = sets.where("nid IS NOT NULL").groupBy("nid").agg(F.min("check").alias("x"), F.max("check").alias("y")).where("x <> y")
+        if not shared_ids.limit(1).count():
+            break
     members = sets.where(F.col("slice").isNull()).select("doc_id", "nid", "n", "hist")
     reps = members.where(F.col("nid").isNotNull()).groupBy("nid").agg(F.min("doc_id").alias("doc_id"), F.first("hist").alias("hist"))
     unique_ids = not members.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").limit(1).count()
     shared = spark.sparkContext.broadcast(_sketch(sets))
 
-    postings = raw.select("raw").mapInArrow(_prefixes(n, percent, shared), _POSTINGS)
+    postings = raw.select("raw").mapInArrow(_prefixes(n, percent, shared, seed), _POSTINGS)
     postings = postings.repartition("h", "salt").sortWithinPartitions("h", "salt", "sp", "nid")
     groups = materialize(postings.mapInArrow(_partnered(percent), _POSTINGS), "groups")
     size, pos = F.shiftright("sp", 32), F.col("sp").bitwiseAND(0xFFFFFFFF)
@@ -380,21 +428,22 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 75, id_col: s
     near = groups.where("a <> nid").where(_may_link(F.least("sa", "sp"), F.greatest("sa", "sp"), percent)).groupBy("a", F.col("nid").alias("b")).agg(F.count(F.lit(1)).alias("c"))
     near = near.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b", "m.c")
     best = materialize(_filtered(near, reps, percent).select("a", "b"), "best")
-    links = _links(best, reps, raw, n, percent, unique_ids)
+    links = _links(best, reps, raw, n, percent, seed, unique_ids)
     labels = components(links)
 
     # What is left: postings of n-grams that still span several components.
     tagged = groups.select("h", "nid", "sp").join(labels, "nid", "left").select("h", "nid", "sp", F.coalesce("label", "nid").alias("label"))
     tagged = materialize(tagged, "tagged")
-    spread = materialize(tagged.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h"), "spread")
-    tagged = tagged.join(spread, "h", "left_semi")
-    one = tagged.select("h", F.col("nid").alias("a"), F.col("sp").alias("sa"), F.col("label").alias("la"))
-    two = tagged.select("h", F.col("nid").alias("b"), F.col("sp").alias("sb"), F.col("label").alias("lb"))
-    rest = one.join(two, "h").where((F.col("la") != F.col("lb")) & ((F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")))) & _may_link(F.col("sa"), F.col("sb"), percent))
+    spread = tagged.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.ceil(F.count(F.lit(1)) / HOT_PAIRS).alias("salts")).where("x <> y").select("h", "salts")
+    tagged = materialize(tagged.join(materialize(spread, "spread"), "h"), "spread_out")
+    # An n-gram of many sets is dealt to groups of its own for one side, and the other side goes to each of them.
+    one = tagged.select("h", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"), F.col("nid").alias("a"), F.col("sp").alias("sa"), F.col("label").alias("la"))
+    two = tagged.select("h", F.pmod(F.xxhash64("nid"), F.col("salts")).alias("salt"), F.col("nid").alias("b"), F.col("sp").alias("sb"), F.col("label").alias("lb"))
+    rest = one.join(two, ["h", "salt"]).where((F.col("la") != F.col("lb")) & ((F.col("sa") < F.col("sb")) | ((F.col("sa") == F.col("sb")) & (F.col("a") < F.col("b")))) & _may_link(F.col("sa"), F.col("sb"), percent))
     rest = rest.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).join(best.select("a", "b").union(best.select("b", "a")), ["a", "b"], "left_anti")
     rest = materialize(_filtered(rest, reps, percent).select("a", "b"), "rest")
     if rest.limit(1).count():
-        more = _links(rest, reps, raw, n, percent, unique_ids)
+        more = _links(rest, reps, raw, n, percent, seed, unique_ids)
         if more.limit(1).count():
             labels = components(links.union(more))
 

@@ -73,6 +73,47 @@ def test_edges(spark):
     assert keep_one_per_component(df).columns == df.columns
 
 
+def test_rows_without_an_id_join_others(spark):
+    words = [f"w{i}" for i in range(40)]
+    texts = [words, words[:-3] + ["x1", "x2", "x3"], ["y1", "y2", "y3", *words[3:-3], "x1", "x2", "x3"]]
+    for middle, want in ((None, {5: 5, None: 5, 9: 5}), (7, {5: 5, 7: 5, 9: 5})):
+        rows = [(5, texts[0]), (middle, texts[1]), (9, texts[2])]
+        df = spark.createDataFrame([(d, " ".join(t), "en", "s", 0) for d, t in rows], SCHEMA)
+        assert {r["doc_id"]: r["component_id"] for r in jaccard_components(df).collect()} == want
+    df = spark.createDataFrame([(d, " ".join(t), "en", "s", 0) for d, t in ((5, texts[0]), (9, texts[2]))], SCHEMA)
+    assert {r["component_id"] for r in jaccard_components(df).collect()} == {5, 9}
+
+
+def test_large_groups_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT_PAIRS", 2)
+    rows = corpus(9)
+    df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], SCHEMA)
+    assert sorted(map(tuple, jaccard_components(df).collect())) == brute(rows)
+
+
+def test_shared_node_ids_are_told_apart(spark, monkeypatch):
+    """Two sets with one id: the next seed is taken."""
+    rows = corpus(3, 40)
+    seeds = []
+    profile = jaccard._profile
+
+    def poor(n, seed):
+        seeds.append(seed)
+        run = profile(n, seed)
+
+        def short(batches):
+            for b in run(batches):
+                nid = pa.array([None if x is None else x % 8 for x in b["nid"].to_pylist()], pa.int64()) if seed == 0 else b["nid"]
+                yield b.set_column(1, "nid", nid)
+
+        return short
+
+    monkeypatch.setattr(jaccard, "_profile", poor)
+    df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], SCHEMA)
+    assert sorted(map(tuple, jaccard_components(df).collect())) == brute(rows)
+    assert seeds == [0, 1]
+
+
 def test_postings_in_batches_of_any_size():
     """Streaming over sorted postings gives the same rows however they are cut."""
     rng = random.Random(4)
