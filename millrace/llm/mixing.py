@@ -47,15 +47,20 @@ def poisson_cdf(rate: Column) -> Column:
     return F.when(rate > 0, F.aggregate(F.sequence(F.lit(1), upto), first, step, lambda s: s["out"])).otherwise(F.array(F.lit(1.0)))
 
 
+def _key(name: str) -> Column:
+    """A source's key; null and the empty name are two sources."""
+    return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit(""))
+
+
 def source_rates(docs: DataFrame, weights: dict[str, float] | None = None, temperature: float = 0.5, epochs: float = 1.0) -> DataFrame:
     """``(__source, rate, cdf)``: with ``epochs`` the expected size of the mix over that of the corpus."""
     size = F.sum(F.greatest(F.coalesce(F.length("text"), F.lit(0)), F.lit(1))).cast("double")
-    sizes = docs.groupBy(F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__source")).agg(size.alias("size"))
+    sizes = docs.groupBy(_key("source").alias("__source")).agg(size.alias("size"))
     sizes = materialize(sizes, "sizes")
     if weights:
         if any(w < 0 for w in weights.values()) or not sum(weights.values()):
             raise ValueError("weights must not be negative and not all zero")
-        given = docs.sparkSession.createDataFrame([(k, float(v)) for k, v in weights.items()], "__source string, weight double")
+        given = docs.sparkSession.createDataFrame([("" if k is None else f"={k}", float(v)) for k, v in weights.items()], "__source string, weight double")
         sizes = sizes.join(F.broadcast(given), "__source", "left").select("__source", "size", F.coalesce("weight", F.lit(0.0)).alias("weight"))
     else:
         sizes = sizes.select("__source", "size", F.pow("size", F.lit(temperature)).alias("weight"))
@@ -71,7 +76,7 @@ def mix_sources(docs: DataFrame, weights: dict[str, float] | None = None, temper
     columns = [F.col(f"`{c}`") for c in docs.columns if c != "copy"]
     ident = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.xxhash64("source", "text").cast("string")))
     # The row travels as one value, so that no column of it can clash with a column made here.
-    keyed = docs.select(F.struct(*columns).alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), ident.alias("ident"), uniform(F.lit(seed), ident).alias("u"))
+    keyed = docs.select(F.struct(*columns).alias("row"), _key("source").alias("source"), ident.alias("ident"), uniform(F.lit(seed), ident).alias("u"))
     drawn = keyed.join(rates, "source").withColumn("n", F.size(F.filter("cdf", lambda c: c <= F.col("u")))).where("n > 0")
     copies = drawn.select("row", "ident", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
     order = F.md5(F.concat_ws("|", F.lit(seed), "ident", "copy", F.lit("order")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 _OP3 = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 
 _OP4 = r"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, coalesce('=' || source, '') AS host, coalesce(text, '') AS t FROM documents),
 w AS (SELECT doc_id, host, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
              list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM d),
 base AS (SELECT doc_id, host, t, ls, len(ws) AS n_words, ws,
@@ -66,12 +66,12 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(c) AS c FROM r GROUP
 """
 
 _OP8 = """
-WITH RECURSIVE sizes AS (SELECT coalesce(source, '') AS s, sum(greatest(coalesce(length(text), 0), 1))::DOUBLE AS size FROM documents GROUP BY 1),
+WITH RECURSIVE sizes AS (SELECT coalesce('=' || source, '') AS s, sum(greatest(coalesce(length(text), 0), 1))::DOUBLE AS size FROM documents GROUP BY 1),
 rates AS (SELECT s, round(pow(size, 0.5) / sum(pow(size, 0.5)) OVER () / (size / sum(size) OVER ()), 9) AS rate FROM sizes),
 terms AS (SELECT s, rate, 0 AS k, -rate AS logp, exp(-rate) AS c FROM rates
           UNION ALL SELECT s, rate, k + 1, logp + ln(rate) - ln((k + 1)::DOUBLE), c + exp(logp + ln(rate) - ln((k + 1)::DOUBLE)) FROM terms WHERE k < ceil(rate + 10 * sqrt(rate) + 24)),
 u AS (SELECT *, ('0x' || substr(md5('17|' || doc_id), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM documents),
-n AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, count(*) FILTER (terms.c <= u.u) AS n FROM u JOIN terms ON terms.s = coalesce(u.source, '') GROUP BY ALL)
+n AS (SELECT u.doc_id, u.text, u.lang, u.source, u.n_chars, count(*) FILTER (terms.c <= u.u) AS n FROM u JOIN terms ON terms.s = coalesce('=' || u.source, '') GROUP BY ALL)
 SELECT doc_id, unnest(range(n))::INT AS copy, text, lang, source, n_chars FROM n
 """
 

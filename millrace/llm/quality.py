@@ -16,6 +16,7 @@ in one piece.  Other columns pass whatever their names.
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,6 +26,8 @@ from millrace.llm._work import fits, materialize
 
 WORD_SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
+#: Bytes of a text whose words are told apart at once.
+SLICE_BYTES = 1 << 20
 #: Frequent lines are broadcast up to this many rows, joined by shuffle beyond.
 BROADCAST_ROWS = 200_000
 #: Changed texts with their removed lines are broadcast up to this many texts and lines, about 40 MB, joined by shuffle beyond.
@@ -33,21 +36,33 @@ BROADCAST_LINES = 1_000_000
 _NOT_CHARS = WORD_SPACE + bytes(range(0x80, 0xC0))
 _NORMAL = bytes(48 if 48 <= c < 58 else c + 32 if 65 <= c < 91 else c for c in range(256))
 _MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_SCHEMA = "doc_id long, host string, content long, " + ", ".join(f"{m} long" for m in _MEASURES) + ", lines array<long>, line_words array<long>"
+_SCHEMA = "doc_id long, host string, content string, " + ", ".join(f"{m} long" for m in _MEASURES) + ", lines array<long>, line_words array<long>"
 
 
-def repeated_window_words(words: list[bytes]) -> int:
-    """Words that lie in a three-word window found twice or more."""
-    grams = list(zip(words, words[1:], words[2:], strict=False))
-    if len(set(grams)) == len(grams):
+def repeated_window_words(words: np.ndarray) -> int:
+    """Words, given by number, that lie in a three-word window found twice or more."""
+    if len(words) < 4:
         return 0
-    first: dict[tuple, int] = {}
-    starts = set()
-    for i, g in enumerate(grams):
-        j = first.setdefault(g, i)
-        if j != i:
-            starts.update((i, j))
-    return len({k for i in starts for k in (i, i + 1, i + 2)})
+    pair = np.unique(words[:-2] * (int(words.max()) + 1) + words[1:-1], return_inverse=True)[1]
+    _, gram, times = np.unique(pair * (int(words.max()) + 1) + words[2:], return_inverse=True, return_counts=True)
+    starts = np.flatnonzero(times[gram] > 1)
+    inside = np.zeros(len(words), bool)
+    for k in range(3):
+        inside[starts + k] = True
+    return int(np.count_nonzero(inside))
+
+
+def numbered_words(raw: bytes) -> np.ndarray:
+    """Words as numbers, equal words equal ones, read in slices: a text of any length costs eight bytes a word and its distinct words."""
+    number: dict[bytes, int] = {}
+    parts, at = [], 0
+    while at < len(raw):
+        stop = at + SLICE_BYTES
+        while stop < len(raw) and raw[stop] not in WORD_SPACE:  # up to the end of a word
+            stop += 1
+        parts.append(np.fromiter((number.setdefault(w, len(number)) for w in raw[at:stop].split()), np.int64))
+        at = stop
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
 def line_key(line: bytes) -> tuple[int, int]:
@@ -62,7 +77,7 @@ def _measure(batches):
         out: list[list] = [[] for _ in range(10)]
         for doc, host, content, cell in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
             raw = cell.as_buffer().to_pybytes()
-            words = raw.split()
+            words = numbered_words(raw)
             seen, dups, lines = set(), 0, {}
             for line in raw.split(b"\n"):
                 if not line or line.isspace():
@@ -74,7 +89,7 @@ def _measure(batches):
             row = (doc, host, content, len(words), len(raw.translate(None, _NOT_CHARS)), len(raw) - len(raw.translate(None, SYMBOLS)), dups, repeated_window_words(words), list(lines), list(lines.values()))
             for o, v in zip(out, row, strict=True):
                 o.append(v)
-        types = [pa.int64(), pa.string(), pa.int64(), *[pa.int64()] * 5, pa.list_(pa.int64()), pa.list_(pa.int64())]
+        types = [pa.int64(), pa.string(), pa.string(), *[pa.int64()] * 5, pa.list_(pa.int64()), pa.list_(pa.int64())]
         yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(out, types, strict=True)], names=["doc_id", "host", "content", *_MEASURES, "lines", "line_words"])
 
 
@@ -83,10 +98,15 @@ def _frequent(texts: DataFrame, max_docs: int) -> DataFrame:
     return texts.select("host", F.explode("lines").alias("line")).groupBy("host", "line").count().where(F.col("count") > max_docs).select("host", "line")
 
 
+def _host(name: str):
+    """A host's key; null and the empty name are two hosts."""
+    return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit(""))
+
+
 def _analyse(docs: DataFrame, id_col: str, text_col: str, host_col: str, max_docs: int) -> tuple[DataFrame, DataFrame]:
     """Measures of every row; removed words and lines of every text and host that has any."""
-    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("raw"))
-    raw = raw.select("doc_id", "host", F.xxhash64("raw").alias("content"), "raw")
+    raw = docs.select(F.col(id_col).cast("long").alias("doc_id"), _host(host_col).alias("host"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("raw"))
+    raw = raw.select("doc_id", "host", F.md5("raw").alias("content"), "raw")
     rows = materialize(raw.mapInArrow(_measure, _SCHEMA), "measures")
     texts = rows.groupBy("host", "content").agg(F.first(F.struct("lines", "line_words")).alias("x")).select("host", "content", "x.*")
     hot = materialize(_frequent(texts, max_docs), "frequent")
@@ -132,7 +152,7 @@ def keep_good(docs: DataFrame, max_docs: int = 100, min_words: int = 50, max_rem
     verdict = materialize(verdict.where("NOT kept OR drop IS NOT NULL"), "changed")
     verdict = F.broadcast(verdict) if fits(verdict, BROADCAST_LINES, "drop") else verdict
     # The row travels as one value, so that no column of it can clash with a column made here.
-    keyed = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("host"), F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")).alias("content"))
+    keyed = docs.select(F.struct("*").alias("row"), _host("source").alias("host"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("content"))
     kept = keyed.join(verdict, ["host", "content"], "left").where("kept IS NULL OR kept")
     same = kept.where("drop IS NULL").select("row.*")
     cut = kept.where("drop IS NOT NULL").select("row", F.col("row.text").cast("binary").alias("raw"), "drop")

@@ -51,6 +51,13 @@ def test_edges(spark):
     assert n[1] % 2 == 0 and n[1] > 300
 
 
+def test_null_and_empty_sources_are_two(spark):
+    rows = [(i, "x" * 10, "en", None if i < 100 else "", 0) for i in range(1000)]
+    rate = {None: 1 / (1 + 3) / 0.1, "": 3 / (1 + 3) / 0.9}
+    got = Counter(r["doc_id"] for r in mix_sources(spark.createDataFrame(rows, SCHEMA), temperature=0.5).collect())
+    assert got == Counter({i: n for i, _, _, s, _ in rows if (n := drawn(i, rate[s]))})
+
+
 def test_rows_without_an_id_draw_by_text(spark):
     df = spark.createDataFrame([(None, f"text {i}", "en", "s", 0) for i in range(400)], SCHEMA)
     n = Counter(r["text"] for r in mix_sources(df).collect())
