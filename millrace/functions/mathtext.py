@@ -1,16 +1,21 @@
 """Mathematical answers compared as strings and numbers.
 
-Only brace matching needs code outside the engine; it runs on Arrow batches.
+Only brace matching and the algebra of what strings and numbers leave open need
+code outside the engine; they run on Arrow batches.
 Model text is never evaluated.
 """
 
 from __future__ import annotations
 
+import math
+import re
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
+from millrace.functions import algebra
 from millrace.functions import text as T
 
 # What the comparison of answers removes or rewrites before anything else, in this order.
@@ -89,15 +94,88 @@ def numerically_equal(x: Column, reference: Column, tolerance: float = 1e-4) ->
     return F.coalesce(close(b / 100) | close(b) | close(b * 100), F.lit(False))
 
 
+def is_whole(x: Column) -> Column:
+    """Whether a text is a whole number, with thousands separators or zero decimals."""
+    n = F.replace(F.trim(x), F.lit(","), F.lit("")).try_cast("double")
+    return F.coalesce(F.abs(n - F.round(n)) <= 1e-7, F.lit(False))
+
+
+def is_fraction(x: Column) -> Column:
+    """Whether a text is a fraction of two whole numbers, in a line or in TeX."""
+    return F.coalesce(x.rlike(r"^-?[0-9]+/0*[1-9][0-9]*$|^-?\\[dt]?frac\{-?[0-9]+\}\{0*[1-9][0-9]*\}$"), F.lit(False))
+
+
+def interval(x: Column) -> Column:
+    """Named intervals in brackets: ``Interval.open(1, 2)`` is ``(1, 2)``."""
+    for name, left, right in (("Interval", "[", "]"), (r"Interval\.Ropen", "[", ")"), (r"Interval\.Lopen", "(", "]"), (r"Interval\.open", "(", ")")):
+        x = F.regexp_replace(x, rf"(?s)^{name}\((.*)\)$", rf"{left}$1{right}")
+    return x
+
+
+def parts_of(x: Column) -> Column:
+    """Parts of a tuple or interval, trimmed; any other text is its one part, thousands separators not counting as commas."""
+    whole = F.regexp_replace(x, r"(?<=[0-9]),(?=[0-9]{3}($|[^0-9]))", "")
+    split = F.transform(F.split(F.substring(whole, 2, 2**31 - 1), ","), lambda p: F.trim(F.regexp_replace(p, r"[\)\]]$", "")))
+    return F.when(whole.rlike(r"(?s)^[\(\[][^\(\)\[\]]+[\)\]]$"), split).otherwise(F.array(whole))
+
+
+_FRACTION = re.compile(r"-?\d+/0*[1-9]\d*|-?\\[dt]?frac\{-?\d+\}\{0*[1-9]\d*\}")
+_TUPLE = re.compile(r"[(\[][^()\[\]]+[)\]]", re.S)
+_THOUSANDS = re.compile(r"(?<=\d),(?=\d{3}(?!\d))")
+
+
+def _plain(x: str) -> float | None:
+    try:
+        return float(x)
+    except ValueError:
+        return None
+
+
+def _same_part(x: str, y: str, strict: bool) -> bool:
+    if x == y or (_FRACTION.fullmatch(x) and _FRACTION.fullmatch(y)):
+        return x == y
+    u, v = _plain(x), _plain(y)
+    if strict:
+        whole = [n is not None and abs(n - round(n)) <= 1e-7 if n is None or abs(n) < 1e15 else False for n in (u, v)]
+        if all(whole) or whole[0] != whole[1]:
+            return all(whole) and round(u) == round(v)
+        return len(algebra.names(x) | algebra.names(y)) <= 2 and algebra.equal(x, y)  # text of more letters is not an expression
+    if algebra.equal(x, y):
+        return True
+    u, v = algebra.value(x) if u is None else u, algebra.value(y) if v is None else v
+    return u is not None and v is not None and any(math.isclose(u, v * f, rel_tol=1e-4) for f in ((0.01, 1, 100) if _plain(x) is not None and _plain(y) is not None else (1,)))
+
+
+def _same_parts(x: str, y: str, strict: bool) -> bool:
+    """Answers of one shape whose parts, those of tuples and intervals, are each equal."""
+    x, y = _THOUSANDS.sub("", x), _THOUSANDS.sub("", y)
+    p, q = ([e.strip() for e in v[1:-1].split(",")] if _TUPLE.fullmatch(v) else [v] for v in (x, y))
+    if len(p) != len(q) or (len(p) > 1 and (x[0], x[-1]) != (y[0], y[-1])):
+        return False
+    return all(_same_part(a, b, strict) for a, b in zip(p, q, strict=True))
+
+
+@F.pandas_udf(BooleanType())
+def _parts_equal(a: pd.Series, b: pd.Series, strict: pd.Series) -> pd.Series:
+    return pd.Series([x is not None and y is not None and _same_parts(x, y, s) for x, y, s in zip(a, b, strict, strict=True)], dtype=bool)
+
+
+def _by_parts(a: Column, b: Column, settled: Column, strict: bool) -> Column:
+    """Whether answers are equal by ``settled``, or else by their parts; the helper sees only what is still open."""
+    open_ = ~F.coalesce(settled, F.lit(False))
+    return F.coalesce(settled, F.lit(False)) | _parts_equal(F.when(open_, a), F.when(open_, b), F.lit(strict))
+
+
 def tiered_equal(x: Column, reference: Column) -> Column:
-    """String tiers: one spelling, then parts of tuples and intervals, then numbers; fractions must match as written."""
-    a, b = canonical(x), canonical(reference)
-    parts = lambda v: F.split(F.regexp_replace(v, r"^[\(\[]|[\)\]]$", ""), ",")
-    is_tuple = a.rlike(r"^[\(\[].*,.*[\)\]]$") & b.rlike(r"^[\(\[].*,.*[\)\]]$")
-    same_ends = (F.left(a, F.lit(1)) == F.left(b, F.lit(1))) & (F.right(a, F.lit(1)) == F.right(b, F.lit(1)))
-    each = F.forall(F.zip_with(parts(a), parts(b), lambda p, q: F.coalesce((p == q) | numerically_equal(p, q), F.lit(False))), lambda ok: ok)
-    fraction = x.contains("\\frac") | reference.contains("\\frac")
-    return F.coalesce(F.when(a == b, True).when(is_tuple, same_ends & (F.size(parts(a)) == F.size(parts(b))) & each).when(fraction, False).otherwise(numerically_equal(x, reference)), F.lit(False))
+    """Lenient tiers: one spelling, or numbers within a tolerance; then, by parts of tuples and intervals, numbers and expressions; of two fractions only those written alike are equal."""
+    a, b = canonical(interval(x)), canonical(interval(reference))
+    return _by_parts(a, b, (a == b) | numerically_equal(x, reference), strict=False)
+
+
+def graded_equal(x: Column, reference: Column) -> Column:
+    """Strict tiers: one spelling; then, by parts, fractions as written, whole numbers equal to whole numbers only, and expressions of at most two letters that are exactly equal."""
+    a, b = F.lower(canonical(x)), F.lower(canonical(reference))
+    return _by_parts(a, b, a == b, strict=True)
 
 
 def geometry_score(response: Column, gold: Column) -> Column:

@@ -55,6 +55,33 @@ def t18_tiered_equal(spark, sf_dir):
     return rollouts(spark, sf_dir).select("row_id", M.tiered_equal(_case(PAIRS, 0), _case(PAIRS, 1)).alias("equal"))
 
 
+def _expressions():
+    """An answer and a gold one from a document's numbers; ``d`` decides whether they are equal."""
+    k, d, kind = 2 + F.col("n_chars") % 40, pick("doc_id", "off", 2), pick("doc_id", "kind", 8)
+    text = lambda *parts: F.concat(*[p.cast("string") if not isinstance(p, str) else F.lit(p) for p in parts])
+    given = one_of_columns([text("(x+", k, ")^2"), text(k, "+y"), text(r"\frac{", k, "}{4}"), text(r"2\cdot ", k), text(r"\sqrt{", 2 * k * k, "}"), text("(x^2-", k * k, ")/(x-", k, ")"), text("(1,", k, "x)"), text(r"\frac{", k, "}{6}")], kind)
+    cents = F.lpad((k % 4 * 25).cast("string"), 2, "0")
+    gold = one_of_columns([text("x^2+", 2 * k, "x+", k * k + d), text("y+", k + d), F.concat((F.floor(k / 4) + d).cast("string"), F.lit("."), cents), text(2 * k + d), text(k + d, r"\sqrt2"), text("x+", k + d), text("(1,", "x*", k + d, ")"), text(r"\frac{", 2 * k, "}{", 12 + d, "}")], kind)
+    return given, gold
+
+
+def one_of_columns(values, at):
+    return F.get(F.array(*values), at)
+
+
+def t18_symbolic(spark, sf_dir):
+    """Lenient and strict equality of expressions made from a document's numbers."""
+    given, gold = _expressions()
+    return table(spark, sf_dir, "documents").select("doc_id", given.alias("x"), gold.alias("gold")).select("doc_id", M.tiered_equal(F.col("x"), F.col("gold")).alias("close"), M.graded_equal(F.col("x"), F.col("gold")).alias("strict"))
+
+
+def x18_answer_tests(spark, sf_dir):
+    """Tests of a document's numbers as whole numbers, fractions, intervals and tuples."""
+    n, kind = F.col("n_chars"), pick("doc_id", "shape", 5)
+    x = one_of_columns([F.format_number(n, 0), F.concat(n, F.lit(".50")), F.concat(F.lit("-"), n, F.lit("/7")), F.concat(F.lit("Interval.Lopen("), n, F.lit(", 9)")), F.concat(F.lit("(a, "), n, F.lit("]"))], kind)
+    return table(spark, sf_dir, "documents").select("doc_id", x.alias("x")).select("doc_id", M.is_whole(F.col("x")).alias("whole"), M.is_fraction(F.col("x")).alias("fraction"), M.interval(F.col("x")).alias("spelled"), F.array_join(M.parts_of(M.interval(F.col("x"))), "|").alias("parts"))
+
+
 def t19_geometry(spark, sf_dir):
     x = F.when(F.col("row_id") % 2 == 0, F.lit("<think>t</think> \\boxed{4}")).otherwise(F.lit("\\boxed{4}"))
     return rollouts(spark, sf_dir).select("row_id", r6(M.geometry_score(x, F.when(F.col("row_id") % 3 == 0, "5").otherwise("4"))).alias("score"))
@@ -90,6 +117,8 @@ def _stated(cases, i, salt):
 
 
 SQL = {
+    "t18_symbolic": f"WITH e AS (SELECT doc_id, 2 + n_chars % 40 AS k, {picked('doc_id', 'off', 2)} = 0 AS same, {picked('doc_id', 'kind', 8)} AS kind FROM documents) SELECT doc_id, CASE WHEN kind = 7 THEN same AND false ELSE same END AS close, same AND CASE kind WHEN 2 THEN k % 4 <> 0 WHEN 3 THEN false WHEN 7 THEN false ELSE true END AS strict FROM e",
+    "x18_answer_tests": f"WITH e AS (SELECT doc_id, n_chars AS n, {picked('doc_id', 'shape', 5)} AS kind FROM documents) SELECT doc_id, kind = 0 AS whole, kind = 2 AS fraction, CASE kind WHEN 0 THEN format('{{:,}}', n) WHEN 1 THEN n || '.50' WHEN 2 THEN '-' || n || '/7' WHEN 3 THEN '(' || n || ', 9]' ELSE '(a, ' || n || ']' END AS spelled, CASE kind WHEN 0 THEN n::VARCHAR WHEN 1 THEN n || '.50' WHEN 2 THEN '-' || n || '/7' WHEN 3 THEN n || '|9' ELSE 'a|' || n END AS parts FROM e",
     "t17_dapo": f"WITH {ROLLOUTS}, a AS (SELECT row_id, {_stated(SPELLINGS, 1, 'says')} AS spelling, {_stated(SPELLINGS, 1, 'gold')} AS gold FROM r) SELECT row_id, spelling, CASE WHEN spelling = gold THEN 1.0 ELSE -1.0 END::DOUBLE AS score FROM a",
     "x17_strict_box": f"WITH {ROLLOUTS} SELECT row_id, CASE WHEN {_stated(BOXES, 1, 'box')} = (['7', '8'])[{picked('row_id', 'want', 2)} + 1] THEN 1.0 ELSE -1.0 END::DOUBLE AS score FROM r",
     "x18_mixed_numbers": f"SELECT doc_id, n_chars || '+' || {picked('doc_id', 'n', 9)} || (['/7 and 3 x', '/7 and 3+1/2', '/7 and 3 +4', '/7 and 3+5 6'])[{picked('doc_id', 'tail', 4)} + 1] AS x FROM documents",
