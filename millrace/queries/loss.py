@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from millrace.functions import logits as G
 from millrace.functions import loss
+from millrace.functions import work as W
 from millrace.functions.arrays import total
-from millrace.sources.views import ROLLOUTS, TOKENS, r6, rollouts, token_rows
+from millrace.sources.views import ROLLOUTS, TOKENS, r6, rollouts, table, token_rows
 
 
 def _rounded(df):
@@ -83,6 +85,33 @@ def l12_token_rewards(spark, sf_dir):
     return rows.select("row_id", r6(total("out")).alias("reward"))
 
 
+def l11_entropy(spark, sf_dir):
+    """Embeddings as logits, also ten thousandfold, in blocks of a vocabulary and in one cell."""
+    e = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL").select("vec_id", (F.col("vec_id") % 64).alias("label"), F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    wide = e.withColumn("x", F.transform("x", lambda x: x * 10_000.0))
+    blocks = lambda df: df.select("vec_id", "label", F.explode(F.sequence(F.lit(0), F.floor((F.size("x") - 1) / 16).cast("int"))).alias("b"), "x").select("vec_id", "label", (F.col("b") * 16).alias("first"), F.slice("x", F.col("b") * 16 + 1, F.lit(16)).alias("logits"))
+    whole = e.select("vec_id", G.from_row(F.col("x"), F.col("label")).alias("m")).select("vec_id", F.col("m.entropy").alias("e1"), F.col("m.logp").alias("p1"))
+    parts = G.from_blocks(blocks(e), "vec_id")
+    far = G.from_blocks(blocks(wide), "vec_id").select("vec_id", F.col("entropy").alias("e2"), F.col("logp").alias("p2"))
+    return parts.join(whole, "vec_id").join(far, "vec_id").select("vec_id", r6(F.col("entropy")).alias("entropy"), r6(F.col("logp")).alias("logp"), r6(F.col("e1")).alias("row_entropy"), r6(F.col("p1")).alias("row_logp"), F.round(F.col("e2"), 3).alias("wide_entropy"), F.round(F.col("p2"), 3).alias("wide_logp"))
+
+
+# A model of each family of formulas, and one of none.
+MODELS = [
+    {"model": "m0", "type": "qwen2", "hidden": 64, "vocab": 1000, "layers": 4, "heads": 8, "kv_heads": 2, "inner": 256},
+    {"model": "m1", "type": "qwen3_moe", "hidden": 64, "vocab": 1000, "layers": 4, "heads": 8, "kv_heads": 4, "head_dim": 16, "expert_inner": 32, "experts": 16, "top_experts": 4},
+    {"model": "m2", "type": "deepseek_v3", "hidden": 96, "vocab": 2000, "layers": 6, "heads": 4, "inner": 128, "expert_inner": 48, "experts": 8, "top_experts": 2, "shared_experts": 1, "dense_layers": 2, "nope_dim": 12, "rope_dim": 8, "value_dim": 10, "q_rank": 24, "kv_rank": 20},
+    {"model": "m3", "type": "gemma3_text", "hidden": 64, "vocab": 1000, "layers": 13, "heads": 4, "kv_heads": 4, "head_dim": 32, "inner": 96, "window": 5},
+    {"model": "m4", "type": "other", "hidden": 64, "vocab": 1000, "layers": 4, "heads": 8},
+]
+
+
+def d25_work(spark, sf_dir):
+    """Work of each user's rollouts under a model of each family."""
+    r = rollouts(spark, sf_dir).select(F.col("uid").alias("batch"), F.concat(F.lit("m"), F.pmod("uid", F.lit(5)).cast("string")).alias("model"), F.col("len").alias("length"), (1.0 + F.pmod("uid", F.lit(3))).alias("seconds"))
+    return W.estimate(r, W.architectures(spark, MODELS), "NVIDIA A100-SXM").select("batch", F.round(F.col("achieved") * 1e6, 6).alias("achieved"), "promised")
+
+
 QUERIES = {
     "a15_agg_loss": a15_agg_loss,
     "l1_ppo_dual_clip": _named("vanilla"),
@@ -102,6 +131,8 @@ QUERIES = {
     "l10_distill_forward": _distill(0.0, True),
     "l10_distill_reverse": _distill(1.0, False),
     "l12_token_rewards": l12_token_rewards,
+    "l11_entropy": l11_entropy,
+    "d25_work": d25_work,
 }
 
 _MEAN = "sum({x} * m) / (sum(m) + 1e-8)"
@@ -159,4 +190,14 @@ SELECT round(sum(lost * gate) / greatest(sum(n * gate), 1), 6) + 0.0 AS llds_los
     "l10_distill_forward": _distill_sql(0.0, True),
     "l10_distill_reverse": _distill_sql(1.0, False),
     "l12_token_rewards": f"WITH {TOKENS} SELECT row_id, round(sum(reward - (old_logp - ref_logp) * 0.05), 6) + 0.0 AS reward FROM tok GROUP BY row_id",
+    "l11_entropy": """WITH x AS (SELECT vec_id, vec_id % 64 AS label, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings),
+a AS (SELECT vec_id, max(v) AS m FROM x GROUP BY vec_id), n AS (SELECT vec_id, ln(sum(exp(v - m))) - sum(exp(v - m) * (v - m)) / sum(exp(v - m)) AS e, max(v) FILTER (i = label) - max(m) - ln(sum(exp(v - m))) AS p FROM x JOIN a USING (vec_id) GROUP BY vec_id),
+w AS (SELECT vec_id, ln(sum(exp(1e4 * v - 1e4 * m))) - sum(exp(1e4 * v - 1e4 * m) * (1e4 * v - 1e4 * m)) / sum(exp(1e4 * v - 1e4 * m)) AS e, max(1e4 * v) FILTER (i = label) - max(1e4 * m) - ln(sum(exp(1e4 * v - 1e4 * m))) AS p FROM x JOIN a USING (vec_id) GROUP BY vec_id)
+SELECT vec_id, round(n.e, 6) + 0.0 AS entropy, round(n.p, 6) + 0.0 AS logp, round(n.e, 6) + 0.0 AS row_entropy, round(n.p, 6) + 0.0 AS row_logp, round(w.e, 3) AS wide_entropy, round(w.p, 3) AS wide_logp FROM n JOIN w USING (vec_id)""",
+    "d25_work": f"""WITH {ROLLOUTS}, m(model, n, width, layers, near) AS (VALUES
+(0, (3*64*256 + 64*(64+16+16+64))*4 + 2*1000*64, 64, 4, 0), (1, (64*4*32*3 + 64*16 + 64*(128+64+64+128))*4 + 2*1000*64, 128, 4, 0),
+(2, (96*8 + 96*48*9 + 96*24 + 4*20*24 + 96*28 + 4*22*20 + 4*10*96)*4 + (96*128*3 + 96*24 + 4*20*24 + 96*28 + 4*22*20 + 4*10*96)*2 + 2*2000*96, 80, 6, 0),
+(3, (3*64*96 + 64*512)*13 + 2*1000*64, 128, 2, 11), (4, 0, 0, 0, 0)),
+s AS (SELECT uid, sum(len) AS tokens, sum(len * len) AS sq, sum(len * least(len, 5)) AS near_sq FROM r GROUP BY uid)
+SELECT uid AS batch, round((6.0 * n * tokens + 12.0 * width * (layers * sq + near * near_sq)) / (1.0 + uid % 3) / 1e12 * 1e6, 6) AS achieved, 312.0::DOUBLE AS promised FROM s JOIN m ON model = uid % 5""",
 }

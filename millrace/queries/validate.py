@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+import os
 
 import pandas as pd
 from pyspark.sql import functions as F
 
+from millrace.functions import maps
 from millrace.functions import text as T
+from millrace.functions.timed import timed_scorer
 from millrace.operators import validate as V
 from millrace.operators.batch import fit
 from millrace.plans.stages import run_stages
@@ -174,6 +177,46 @@ def u1_reward_registry(spark, sf_dir):
     return b.select("n_nationkey", reg.score("em", F.lower("n_name"), F.col("n_name")).alias("em"), reg.score("ratio", F.col("n_name"), gold).alias("ratio"))
 
 
+def _slow_scorer(text: str, way: int) -> float:
+    if way == 0:  # never ends
+        while True:
+            pass
+    if way == 1:  # takes its process along
+        os._exit(1)
+    if way == 2:
+        raise ValueError("no score")
+    return float(len(text))
+
+
+def u8_timed_scores(spark, sf_dir):
+    """Lengths of documents by a scorer that hangs, ends its process or raises on a few of them."""
+    scored = timed_scorer(_slow_scorer, seconds=0.2)
+    way = F.when(F.col("doc_id") % 997 == 5, 0).when(F.col("doc_id") % 499 == 7, 1).when(F.col("doc_id") % 97 == 9, 2).otherwise(3)
+    return table(spark, sf_dir, "documents").select("doc_id", scored(F.coalesce("text", F.lit("")), way).alias("score"))
+
+
+def _props():
+    return F.from_json("props", "map<string,string>")
+
+
+def _spelled(m):
+    return F.array_join(F.array_sort(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",")
+
+
+def x21_merge(spark, sf_dir):
+    """Properties of events merged with a map that shares a key of equal value."""
+    e = table(spark, sf_dir, "events")
+    other = F.when(F.col("event_id") % 2 == 0, F.create_map(F.lit("type"), F.col("event_type"), F.lit("k"), _props()["k"])).otherwise(F.create_map(F.lit("type"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string")))
+    return e.select("event_id", _spelled(maps.merge(_props(), other)).alias("merged"))
+
+
+def x21_append(spark, sf_dir):
+    """Properties of each user's events, every name with its values in order of the events."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.map_concat(_props(), F.create_map(F.col("event_type"), F.col("event_id").cast("string"))).alias("metrics"))
+    out = maps.append(e, "user_id", "event_id")
+    return out.select("user_id", F.md5(_spelled(F.transform_values("metrics", lambda k, v: F.array_join(v, " ")))).alias("metrics"))
+
+
 QUERIES = {k: v for k, v in globals().items() if k[:1] in "dxspu" and k[1:2].isdigit() and callable(v)}
 
 SQL = {
@@ -196,4 +239,7 @@ SQL = {
     "s16_vector_table": "SELECT vec_id, len(embedding)::INT AS dim FROM embeddings",
     "p4_descriptions": "SELECT r_regionkey::INT AS name, r_name AS description FROM region",
     "u1_reward_registry": "SELECT n_nationkey, 1.0::DOUBLE AS em, CASE WHEN n_nationkey % 2 = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS ratio FROM nation",
+    "u8_timed_scores": "SELECT doc_id, CASE WHEN doc_id % 997 = 5 OR doc_id % 499 = 7 OR doc_id % 97 = 9 THEN 0.0 ELSE coalesce(length(text), 0) END::DOUBLE AS score FROM documents",
+    "x21_merge": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'k=' || (props::JSON ->> 'k') || ',type=' || event_type ELSE 'k=' || (props::JSON ->> 'k') || ',type=' || event_type || ',user=' || user_id END AS merged FROM events",
+    "x21_append": "WITH c AS (SELECT user_id, event_id, 'k' AS name, props::JSON ->> 'k' AS v FROM events UNION ALL SELECT user_id, event_id, event_type, event_id::VARCHAR FROM events), l AS (SELECT user_id, name || '=' || string_agg(v, ' ' ORDER BY event_id) AS s FROM c GROUP BY user_id, name) SELECT user_id, md5(string_agg(s, ',' ORDER BY s)) AS metrics FROM l GROUP BY user_id",
 }
