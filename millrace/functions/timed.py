@@ -102,7 +102,8 @@ def timed_scorer(scorer: Callable[..., float], seconds: float, size: int = 2) ->
         pool = ScorerPool(scorer, seconds, size)
         try:
             for batch in batches:
-                yield pd.Series(pool.scores(list(zip(*batch, strict=True))), dtype="float64")
+                columns = batch if isinstance(batch, tuple) else (batch,)  # one column comes by itself
+                yield pd.Series(pool.scores(list(zip(*columns, strict=True))), dtype="float64")
         finally:
             pool.close()
 

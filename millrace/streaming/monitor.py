@@ -8,44 +8,67 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def accumulate(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, keep: Callable[[DataFrame], DataFrame], target: int, per_batch: int = 1) -> int:
+def accumulate(spark: SparkSession, source: str, schema, sink: str, checkpoint: str, keep: Callable[[DataFrame], DataFrame], target: int, per_batch: int = 1, order: str | None = None) -> int:
     """Filter batches of new files into ``sink`` until it has ``target`` rows; returns how many it has.
 
     Every batch writes its own folder, replaced if the batch is run again, so
-    a retry after a failure never adds rows twice.
+    a retry after a failure never adds rows twice, and notes its count beside
+    it: what is there already is never counted again.  With ``order`` the
+    batch that passes the target keeps its first rows only, so that there are
+    exactly ``target``; without, it keeps them all.
     """
+    notes = f"{sink}/counts"
 
-    def have() -> int:
+    def have(before: int) -> int:
         try:
-            return spark.read.schema(schema).parquet(f"{sink}/batch=*").count()
-        except Exception as e:  # nothing was written yet
+            rows = spark.read.schema("batch long, n long").json(f"{notes}/*").where(F.col("batch") < before)
+            return rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        except AnalysisException as e:  # nothing was written yet
             if "PATH_NOT_FOUND" in str(e):
                 return 0
             raise
 
     def take(batch: DataFrame, number: int) -> None:
-        if have() < target:
-            keep(batch).write.mode("overwrite").parquet(f"{sink}/batch={number}")
+        left = target - have(number)
+        if left <= 0:
+            return
+        kept = keep(batch)
+        if order is not None:
+            kept = kept.orderBy(order).limit(left)
+        path = f"{sink}/batch={number}"
+        kept.write.mode("overwrite").parquet(path)
+        n = spark.read.schema(kept.schema).parquet(path).count()  # from the files' footers
+        spark.createDataFrame([(number, n)], "batch long, n long").coalesce(1).write.mode("overwrite").json(f"{notes}/{number}")
 
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(source)
     rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return have()
+    return have(2**62)
 
 
 def capped_by_source(rows: DataFrame, most: int, source: str = "source", id_col: str = "row_id") -> DataFrame:
-    """``(source, row_id)`` of the first ``most`` rows of each source over all batches of a stream."""
+    """``(source, row_id)`` of the first ``most`` rows of each source over all batches of a stream, by id within a batch.
+
+    A task holds as many rows as a source still lacks, however many pieces
+    its rows of a batch come in.
+    """
 
     def run(key: tuple, batches, state: GroupState):
         n = state.get[0] if state.exists else 0
+        first = None
         for pdf in batches:
-            pdf = pdf.sort_values(id_col).head(max(0, most - n))
-            n += len(pdf)
-            yield pdf[[source, id_col]]
+            some = pdf[[source, id_col]]
+            some = some if first is None else pd.concat([first, some])
+            first = some.sort_values(id_col, kind="stable").head(max(0, most - n))
+        if first is not None and len(first):
+            n += len(first)
+            yield first
         state.update((n,))
 
     return rows.groupBy(source).applyInPandasWithState(run, f"{source} string, {id_col} long", "n long", "append", GroupStateTimeout.NoTimeout)
