@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from millrace.functions.score import single_grade
 from millrace.functions.text import let
 from millrace.operators import retrieve as R
+from millrace.operators.inverted import StoredIndex
+from millrace.sources.io import shared_folder
 from millrace.sources.views import JUDGED, ROLLOUTS, judgements, r6, rollouts, table
 
 
@@ -24,6 +26,12 @@ def s15_postings(spark, sf_dir):
     return R.postings(table(spark, sf_dir, "benchmark"), "item_id")
 
 
+def s15_stored_index(spark, sf_dir):
+    """An index of all documents in blocks, stored, and searched for each benchmark text without the blocks that cannot matter."""
+    index = StoredIndex.build(table(spark, sf_dir, "documents"), shared_folder(spark, "index"))
+    return index.search(_bench_queries(spark, sf_dir), 3).select("query_id", "rank", "doc_id", r6(F.col("score")).alias("score"))
+
+
 def j2_bm25(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return R.bm25(_bench_queries(spark, sf_dir), R.postings(docs), 3, stats=R.lengths(docs)).select("query_id", "rank", "doc_id", r6(F.col("score")).alias("score"))
@@ -100,3 +108,4 @@ k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9
     "j9_baseline_join": "SELECT item_id, md5(text) AS baseline FROM benchmark WHERE item_id % 2 = 0 AND item_id % 3 <> 0",
     "x14_search_status": f"WITH {ROLLOUTS} SELECT row_id, (['api_error', 'processing_error', 'no_results', 'success'])[row_id % 4 + 1] AS status FROM r",
 }
+SQL["s15_stored_index"] = SQL["j2_bm25"]
