@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions.arrays import clamp, col, masked_sum, total, zip3
+from millrace.sources.io import shared_folder
 
 LOSSES: dict[str, Callable[..., DataFrame]] = {}
 MODES = ("token-mean", "seq-mean-token-sum", "seq-mean-token-mean", "seq-mean-token-sum-norm")
@@ -79,21 +80,23 @@ def gpg_loss(df: DataFrame, mode: str = "token-mean") -> DataFrame:
     return df.agg(agg_loss(F.zip_with("logp", "adv", lambda p, a: -p * a), "mask", mode).alias("pg_loss"))
 
 
-def _tokens(df: DataFrame) -> DataFrame:
-    cells = F.arrays_zip("adv", "logp", "old_logp", "mask")
-    return df.select("row_id", F.posexplode(cells).alias("t", "x")).where("x.mask > 0").select("row_id", "t", "x.adv", "x.logp", "x.old_logp")
-
-
 #: Ranges of places that are counted; rows of one bucket of cumulative weights.
 PLACES = 4096
 BUCKET_ROWS = 500_000
 
 
-def _centred(tokens: DataFrame, mean_eps: float) -> DataFrame:
-    means = tokens.agg((F.sum("adv") / (F.count(F.lit(1)) + mean_eps)).alias("ma"), (F.sum("logp") / (F.count(F.lit(1)) + mean_eps)).alias("mp"), F.count(F.lit(1)).alias("n"))
-    return tokens.crossJoin(F.broadcast(means)).withColumn("cov", (F.col("adv") - F.col("ma")) * (F.col("logp") - F.col("mp")))
-
-
+def _centred(df: DataFrame, mean_eps: float) -> tuple[DataFrame, int]:
+    """Unmasked tokens with their covariance term, written once, and how many there are; the means come from the arrays, before anything is exploded."""
+    seen = lambda x: total(F.zip_with(x, "mask", lambda v, m: F.when(m > 0, v).otherwise(0.0)))
+    sums = df.agg(F.sum(seen("adv")).alias("a"), F.sum(seen("logp")).alias("p"), F.sum(F.size(F.filter("mask", lambda m: m > 0))).alias("n")).first()
+    n = int(sums["n"] or 0)
+    mean = lambda x: F.lit((x or 0.0) / (n + mean_eps) if n else 0.0)
+    cells = F.arrays_zip("adv", "logp", "old_logp", "mask")
+    tokens = df.select("row_id", F.posexplode(cells).alias("t", "x")).where("x.mask > 0").select("row_id", "t", "x.adv", "x.logp", "x.old_logp")
+    tokens = tokens.withColumn("cov", (F.col("adv") - mean(sums["a"])) * (F.col("logp") - mean(sums["p"])))
+    path = shared_folder(df.sparkSession, "tokens")
+    tokens.write.parquet(path)
+    return df.sparkSession.read.schema(tokens.schema).parquet(path), n
 
 
 def first_rows(rows: DataFrame, n: int, place: Column, order: list[Column]) -> DataFrame:
@@ -120,9 +123,9 @@ def first_rows(rows: DataFrame, n: int, place: Column, order: list[Column]) -> D
 @register("clip_cov")
 def clip_cov_loss(df: DataFrame, low: float = 0.2, high: float = 0.2, share: float = 0.0002, cov_low: float = 1.0, cov_high: float = 5.0, seed: int = 0) -> DataFrame:
     """A hashed pick among unclipped tokens with covariance inside a band loses its loss."""
-    tokens = _centred(_tokens(df), 1e-8).withColumn("ratio", F.exp(F.col("logp") - F.col("old_logp")))
+    tokens, n = _centred(df, 1e-8)
+    tokens = tokens.withColumn("ratio", F.exp(F.col("logp") - F.col("old_logp")))
     tokens = tokens.withColumns({"plain": -F.col("adv") * F.col("ratio"), "cut": -F.col("adv") * clamp(F.col("ratio"), 1 - low, 1 + high)})
-    n = tokens.agg(F.count(F.lit(1)).alias("n")).first()["n"]
     picks = max(int(share * n), 1)
     band = tokens.where((F.col("cut") <= F.col("plain")) & (F.col("cov") > cov_low) & (F.col("cov") < cov_high))
     band = band.select("row_id", "t", F.md5(F.concat_ws("|", F.lit(seed), "row_id", "t")).alias("u"))
@@ -135,8 +138,7 @@ def clip_cov_loss(df: DataFrame, low: float = 0.2, high: float = 0.2, share: flo
 @register("kl_cov")
 def kl_cov_loss(df: DataFrame, share: float = 0.0002, coef: float = 1.0) -> DataFrame:
     """The tokens of greatest covariance also pay their absolute log-ratio."""
-    tokens = _centred(_tokens(df), 0.0)
-    n = tokens.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    tokens, n = _centred(df, 0.0)
     picks = max(1, int(n * share))
     top = first_rows(tokens.select("row_id", "t", "cov"), picks, -F.col("cov"), [F.col("row_id"), F.col("t")]).select("row_id", "t", F.lit(coef).alias("pay"))
     rows = tokens.join(top, ["row_id", "t"], "left").withColumn("x", F.col("logp") - F.col("old_logp"))
