@@ -13,6 +13,7 @@ from millrace.functions import text as T
 from millrace.functions.timed import timed_scorer
 from millrace.operators import validate as V
 from millrace.operators.batch import fit
+from millrace.operators.chatrow import chat_rows
 from millrace.plans.stages import run_stages
 from millrace.sources import io
 from millrace.sources.io import shared_folder
@@ -77,6 +78,13 @@ def x20_rolling_context(spark, sf_dir):
     return rollouts(spark, sf_dir).select("row_id", V.rolling_context(lens, 7).alias("first"))
 
 
+def x20_chat_rows(spark, sf_dir):
+    """Conversations as training rows of at most 40 prompt, 60 response and 90 tokens in all."""
+    t = trajectories(spark, sf_dir).select("conv_id", F.transform("turns", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))).alias("turns"))
+    digest = lambda c: F.md5(F.array_join(F.transform(c, lambda x: x.cast("string")), " "))
+    return chat_rows(t, 40, 60, 90).select("conv_id", digest("prompt").alias("prompt"), digest("response").alias("response"), digest("loss_mask").alias("loss_mask"), F.size("positions").alias("n"))
+
+
 def s8_write_tasks(spark, sf_dir):
     at = _folder(spark)
     rows = table(spark, sf_dir, "benchmark").select("item_id", F.struct(F.array("text").alias("target")).alias("ground_truth"))
@@ -242,4 +250,14 @@ SQL = {
     "u8_timed_scores": "SELECT doc_id, CASE WHEN doc_id % 997 = 5 OR doc_id % 499 = 7 OR doc_id % 97 = 9 THEN 0.0 ELSE coalesce(length(text), 0) END::DOUBLE AS score FROM documents",
     "x21_merge": "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'k=' || (props::JSON ->> 'k') || ',type=' || event_type ELSE 'k=' || (props::JSON ->> 'k') || ',type=' || event_type || ',user=' || user_id END AS merged FROM events",
     "x21_append": "WITH c AS (SELECT user_id, event_id, 'k' AS name, props::JSON ->> 'k' AS v FROM events UNION ALL SELECT user_id, event_id, event_type, event_id::VARCHAR FROM events), l AS (SELECT user_id, name || '=' || string_agg(v, ' ' ORDER BY event_id) AS s FROM c GROUP BY user_id, name) SELECT user_id, md5(string_agg(s, ',' ORDER BY s)) AS metrics FROM l GROUP BY user_id",
+    "x20_chat_rows": f"""WITH {TRAJ}, k AS (SELECT conv_id, i, role, ['<|im_start|>', role] || regexp_extract_all(lower(text), '[a-z0-9]+(?:''[a-z]+)?') || ['<|im_end|>'] AS toks FROM ct),
+f AS (SELECT conv_id, min(i) FILTER (role = 'assistant') AS first FROM k GROUP BY 1),
+c AS (SELECT conv_id, i, unnest(toks) AS tok, generate_subscripts(toks, 1) AS j, role, first FROM k JOIN f USING (conv_id)),
+d AS (SELECT conv_id, tok, (role = 'assistant' AND j > 2)::INT AS loss, (first IS NULL OR i < first OR (i = first AND j <= 2)) AS pre, row_number() OVER (PARTITION BY conv_id ORDER BY i, j) AS place FROM c),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, pre ORDER BY place) AS up, row_number() OVER (PARTITION BY conv_id, pre ORDER BY place DESC) AS down FROM d),
+z AS (SELECT conv_id, least(count(*) FILTER (NOT pre), 60) AS nr FROM n GROUP BY 1),
+q AS (SELECT n.*, nr FROM n JOIN z USING (conv_id) WHERE CASE WHEN pre THEN down <= least(40, 90 - nr) ELSE up <= 60 END)
+SELECT conv_id, md5(coalesce(string_agg(tok, ' ' ORDER BY place) FILTER (pre), '')) AS prompt, md5(coalesce(string_agg(tok, ' ' ORDER BY place) FILTER (NOT pre), '')) AS response, md5(string_agg(CASE WHEN pre THEN '0' ELSE loss::VARCHAR END, ' ' ORDER BY place)) AS loss_mask, count(*)::INT AS n FROM q GROUP BY conv_id""",
+    "d7_token_budget": rf"""WITH {TRAJ}, b AS (SELECT conv_id, list_filter(list_transform(regexp_extract_all(traj, '(?s)<think>(.*?)</think>', 1), lambda x: trim(x, chr(10) || chr(9) || ' ')), lambda x: x <> '') AS th, list_filter(list_transform(regexp_extract_all(traj, '(?s)<answer>(.*?)</answer>', 1), lambda x: trim(x, chr(10) || chr(9) || ' ')), lambda x: x <> '') AS an FROM tr)
+SELECT conv_id, len(list_filter(th, lambda x: len(regexp_extract_all(x, '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]+|[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}\s]')) > 4))::INT AS violations, coalesce(len(regexp_extract_all(an[-1], '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]+|[^\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}\s]')), 0) > 2 AS over FROM b""",
 }

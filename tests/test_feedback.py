@@ -154,3 +154,44 @@ def test_accumulation_stops_at_the_target(spark, tmp_path):
         spark.range(10 * k, 10 * k + 10).toDF("row_id").coalesce(1).write.mode("append").parquet(src)
     assert monitor.accumulate(spark, src, "row_id long", sink, mark, lambda b: b, 17, order="row_id") == 17
     assert sorted(r[0] for r in spark.read.schema("row_id long").parquet(f"{sink}/batch=*").collect()) == list(range(17))
+
+
+def test_chat_rows_against_lists(spark):
+    import random
+
+    from millrace.operators.chatrow import chat_rows
+
+    rng = random.Random(5)
+    chats = [(k, [(rng.choice(["system", "user", "assistant", "tool"]), rng.choice([None, "", " ".join(rng.choices("abcdef", k=rng.randint(1, 12)))])) for _ in range(rng.randint(0, 6))]) for k in range(80)]
+    df = spark.createDataFrame(chats, "conv_id long, turns array<struct<role:string,text:string>>")
+    for most_p, most_r, most in ((8, 10, 14), (1, 1, 1), (5, 40, 12), (100, 100, 200)):
+        got = {r["conv_id"]: (r["prompt"], r["response"], r["loss_mask"], r["positions"]) for r in chat_rows(df, most_p, most_r, most).collect()}
+        for k, turns in chats:
+            cells, cut = [], None
+            for role, text in turns:
+                cells += [("<|im_start|>", 0), (role, 0)]
+                if role == "assistant" and cut is None:
+                    cut = len(cells)
+                mine = int(role == "assistant")
+                cells += [(w, mine) for w in (text or "").split()] + [("<|im_end|>", mine)]
+            cut = len(cells) if cut is None else cut
+            p, r = cells[:cut][-most_p:], cells[cut:][:most_r][-most:]
+            p = p[max(0, len(p) + len(r) - most) :]
+            assert got[k] == ([t for t, _ in p], [t for t, _ in r], [0] * len(p) + [m for _, m in r], list(range(len(p) + len(r)))), k
+
+
+def test_greedy_rubric_dedup_against_python(spark):
+    import random
+
+    from millrace.functions.text import dedup_rubrics
+
+    rng = random.Random(6)
+    rows = [(k, [rng.choice([" ".join(rng.choices(["Be", "be", "clear", "cite", "x", "sources", "short"], k=rng.randint(1, 5))), "", "  "]) for _ in range(rng.randint(0, 8))]) for k in range(200)]
+    got = {r[0]: r[1] for r in spark.createDataFrame(rows, "k long, r array<string>").select("k", dedup_rubrics(F.col("r"))).collect()}
+    for k, texts in rows:
+        kept = []
+        for i, t in enumerate(texts):
+            bag = set(t.lower().split())
+            if not any(min(len(bag), len(o)) and len(bag & o) / min(len(bag), len(o)) > 0.6 for o in (set(texts[j].lower().split()) for j in kept)):
+                kept.append(i)
+        assert got[k] == kept, texts
