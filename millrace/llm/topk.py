@@ -9,12 +9,14 @@ query's largest one lies in the feasible interval are scored (coordinate
 pruning), else those long enough (length pruning).  Scores of what is left
 are exact integers.
 
-Query blocks meet bucket groups by an equi-join on the group number, so
-neither side is broadcast and a task holds one block and one bucket at a
+Buckets are grouped by a coarse class of their greatest length, and query
+blocks meet groups by an equi-join: a block is sent only to the classes long
+enough for one of its queries, and a task holds one block and one bucket at a
 time.  Rows with a null id, a null vector or a component that is null or not
 finite take no part; repeated rows, under one id or several, each count, and
 each asks if its id is one of the queries'; vectors of different dimension are
-compared as if padded with zeros.  Other columns are ignored.
+compared as if padded with zeros.  An empty table gives no rows.  Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -51,7 +53,7 @@ def _blocks(rows_a_block: int):
         mat = np.zeros((len(rows), dim), "<i8")
         for m, (_, v, *_) in zip(mat, rows, strict=True):
             m[: len(v)] = v
-        lens = [n for *_, n in rows]
+        lens = [r[2] for r in rows]
         return no, dim, np.array([r[0] for r in rows], "<i8").tobytes(), np.array([r[3] for r in rows], "<i8").tobytes(), mat.tobytes(), max(lens), min(lens)
 
     def batch(out):
@@ -132,15 +134,30 @@ def _search(k: int):
     return run
 
 
+def _length_class(x):
+    """Lengths on a scale of eight steps for each doubling, of which there are 17,000 at most."""
+    return F.floor(F.log2(F.greatest(x, F.lit(1e-300))) * 8).cast("int")
+
+
 def _with_floors(batches):
-    """Query blocks with each member's bound, null where none is known yet."""
+    """Query blocks with each member's bound, the least number where none is known yet, and the least length that a vector needs for any of them."""
+    low = np.iinfo(np.int64).min
     for b in batches:
         t = pa.Table.from_batches([b])
-        out = []
-        for rows, bounds in zip(t["q_rows"].to_pylist(), t["bounds"].to_pylist(), strict=True):
+        out, needs = [], []
+        for dim, rows, mat, bounds in zip(*(t[c].to_pylist() for c in ("q_dim", "q_rows", "q_mat", "bounds")), strict=True):
             known = {x["query"]: x["floor"] for x in bounds or []}
-            out.append(np.array([known.get(i, np.iinfo(np.int64).min) for i in np.frombuffer(rows, "<i8").tolist()], "<i8").tobytes())
-        yield from t.drop_columns(["bounds"]).append_column("floor", pa.array(out, pa.binary())).to_batches()
+            floor = np.array([known.get(i, low) for i in np.frombuffer(rows, "<i8").tolist()], "<i8")
+            length = np.sqrt((np.frombuffer(mat, "<i8").reshape(len(floor), dim).astype(float) ** 2).sum(1))
+            out.append(floor.tobytes())
+            needs.append(float(np.where(floor > 0, floor / np.maximum(length, 1e-300), 0.0).min()))
+        yield from t.drop_columns(["bounds"]).append_column("floor", pa.array(out, pa.binary())).append_column("need", pa.array(needs, pa.float64())).to_batches()
+
+
+def _targets(q: DataFrame, classes: DataFrame) -> DataFrame:
+    """Query blocks once for each group of buckets that may hold a vector long enough; ``classes (c, subs)`` is the bounded table of length classes."""
+    reach = q.withColumn("need", _length_class(F.col("need") * (1 - 1e-9)))
+    return reach.join(F.broadcast(classes), F.col("c") >= F.col("need")).withColumn("sub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("subs") - 1))).drop("need", "subs")
 
 
 def _members(batches):
@@ -163,24 +180,26 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 100, scale: int = 1024,
     buckets = materialize(ordered.select("vec_id", "v", "len", "row").mapInArrow(_blocks(BUCKET_ROWS), _BLOCK), "buckets")
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0)
     q_parts = max(1, -(-(n // every + 1) // (4 * QUERY_ROWS)))
-    blocks = materialize(asked.repartition(q_parts, "row").select("vec_id", "v", "len", "row").mapInArrow(_blocks(QUERY_ROWS), _BLOCK), "queries")
+    blocks = materialize(asked.repartitionByRange(q_parts, F.col("len").desc(), "row").sortWithinPartitions(F.col("len").desc(), "row").select("vec_id", "v", "len", "row").mapInArrow(_blocks(QUERY_ROWS), _BLOCK), "queries")
     q = blocks.select(F.col("no").alias("q_no"), F.col("dim").alias("q_dim"), F.col("rows").alias("q_rows"), F.col("mat").alias("q_mat"))
     seeds = [r["no"] for r in buckets.orderBy(F.col("most").desc(), "no").limit(SEED_BUCKETS).select("no").collect()]
 
-    def scored(q: DataFrame, side: DataFrame, groups: int) -> DataFrame:
-        spread = q.withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-        met = spread.join(side.withColumn("g", F.pmod(F.xxhash64("no"), F.lit(groups)).cast("int")), "g")
+    def scored(met: DataFrame) -> DataFrame:
         return met.select("q_dim", "q_rows", "q_mat", "floor", "dim", "ids", "rows", "mat", "most").mapInArrow(_search(k), _FOUND)
 
     best = Window.partitionBy("query").orderBy(F.col("score").desc(), "vec_id")
-    first = materialize(scored(q.withColumn("floor", F.lit(None).cast("binary")), buckets.where(F.col("no").isin(seeds)), 1), "first")
+    # The seeds are two blocks of bounded size, so they go to the queries.
+    seed = F.broadcast(buckets.where(F.col("no").isin(seeds)).withColumn("g", F.lit(0)))
+    first = materialize(scored(q.withColumn("floor", F.lit(None).cast("binary")).withColumn("g", F.lit(0)).join(seed, "g")), "first")
     first = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     floors = first.where(F.col("rank") == k).select("query", F.col("score").alias("floor"))
     named = materialize(blocks.select("no", "rows", "ids").mapInArrow(_members, "q_no long, query long, query_id long"), "named")
     bounds = named.join(floors, "query").groupBy("q_no").agg(F.collect_list(F.struct("query", "floor")).alias("bounds"))
-    bounded = q.join(bounds, "q_no", "left").mapInArrow(_with_floors, "q_no long, q_dim int, q_rows binary, q_mat binary, floor binary")
-    groups = max(1, -(-buckets.count() // GROUP_BUCKETS))
-    rest = scored(bounded, buckets.where(~F.col("no").isin(seeds)), groups)
+    bounded = q.join(bounds, "q_no", "left").mapInArrow(_with_floors, "q_no long, q_dim int, q_rows binary, q_mat binary, floor binary, need double")
+    side = buckets.where(~F.col("no").isin(seeds)).withColumn("c", _length_class(F.col("most")))
+    classes = materialize(side.groupBy("c").agg(F.ceil(F.count(F.lit(1)) / GROUP_BUCKETS).alias("subs")), "classes")
+    side = side.join(F.broadcast(classes), "c").withColumn("sub", F.pmod(F.xxhash64("no"), F.col("subs"))).drop("subs")
+    rest = scored(_targets(bounded, classes).join(side, ["c", "sub"]))
     both = first.select("query", "vec_id", "score").union(rest)
     ranked = both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.join(named.select("query", "query_id"), "query").select("query_id", "rank", "vec_id", "score")

@@ -37,6 +37,26 @@ def test_against_all_products(spark, monkeypatch):
     assert top_k(few.where("false")).collect() == []
 
 
+def test_short_buckets_are_not_sent(spark, monkeypatch):
+    """Lengths of several magnitudes: query blocks go to a part of the groups only, and the rows stay the same."""
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(0, 1) * 10 ** -(i % 3) for _ in range(4)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    monkeypatch.setattr(topk, "BUCKET_ROWS", 64)
+    monkeypatch.setattr(topk, "QUERY_ROWS", 16)
+    monkeypatch.setattr(topk, "GROUP_BUCKETS", 1)
+    sent, targets = [], topk._targets
+
+    def counted(q, classes):
+        out = targets(q, classes)
+        sent.append((out.count(), q.count() * classes.agg({"subs": "sum"}).first()[0]))
+        return out
+
+    monkeypatch.setattr(topk, "_targets", counted)
+    assert sorted(map(tuple, top_k(df, k=3, every=50).collect())) == brute(rows, 3, 50)
+    assert sent[0][0] < 0.5 * sent[0][1]
+
+
 def test_pruning_keeps_every_winner():
     import numpy as np
 
