@@ -3,6 +3,10 @@
 Every stage takes what its predecessor kept and returns the columns of
 ``documents``, all but the last, which returns packed pieces.  ``run`` writes
 each stage's result as Parquet to the shared folder and hands it on.
+
+All stages take whole texts, however long, give no rows for an empty table,
+and read the columns of ``documents`` only, so further ones, whatever their
+names, neither clash nor pass.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, without lines that are too frequent on their host.
 
     Null and empty texts have no words and go; a null source is a host of its
-    own; repeated rows are judged alike and all stay or all go.
+    own, apart from the empty one; repeated rows are judged alike and all stay or all go.
     """
     return keep_good(docs.select(COLUMNS))
 
@@ -48,7 +52,7 @@ def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeated so that sources come in proportion to the root of their size, shuffled.
 
-    A null source is a source of its own; a row without an id draws by its
+    A null source is a source of its own, apart from the empty one; a row without an id draws by its
     text; repeated rows draw alike.
     """
     return mix_sources(docs.select(COLUMNS), temperature=0.5).select(COLUMNS)

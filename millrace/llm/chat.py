@@ -9,7 +9,8 @@ Turns are rendered as header, content and end mark.  Null content is empty, a
 null role is ``user``.  A pair lacking one side gets an empty completion
 there; pairs with equal sides have an empty pair of completions.  Turns
 repeated under one number stay, in order of role and text.  One conversation
-becomes one row, so its turns must fit one row; nothing else is gathered.
+becomes one row, so its turns must fit one row; nothing else is gathered.  An
+empty table gives no pairs; other columns of the input are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,9 @@ task's work and memory do not grow with the corpus; with that many pieces a
 group already leaves next to no room unused.
 
 Null and empty texts are documents of just the end id.  Rows repeated under
-one ``doc_id`` are packed as often as they occur.
+one ``doc_id`` are packed as often as they occur.  A very long text is
+tokenised in one run and cut like any other; an empty table has no pieces; other
+columns of the input are ignored.
 """
 
 from __future__ import annotations

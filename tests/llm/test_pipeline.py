@@ -29,3 +29,16 @@ def test_stages(spark, tmp_path):
     spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "documents.parquet"))
     whole = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, whole.select("doc_id", "start", "ids_crc32").collect())) == sorted(map(tuple, kept["packing"].select("doc_id", "start", "ids_crc32").collect()))
+
+
+def test_stages_on_empty_tables_and_further_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    text = " ".join(f"w{i}" for i in range(200))
+    some = spark.createDataFrame([(1, text, "en", None, 1), (2, text + " x", "en", "", 1), (None, text[::-1], "en", "s", 1)], schema)
+    wide = some.selectExpr("*", "'a' AS row", "'b' AS host", "'c' AS copy", "'d' AS nid", "1 AS start", "'e' AS raw", "'f' AS grp")
+    for name, stage in corpus_pipeline.STAGES:
+        none = stage(spark, some.where("false"), str(tmp_path))
+        assert none.collect() == [], name
+        got, plain = stage(spark, wide, str(tmp_path)), stage(spark, some, str(tmp_path))
+        assert got.columns == plain.columns == none.columns, name
+        assert sorted(map(str, got.drop("sequence_id", "offset").collect())) == sorted(map(str, plain.drop("sequence_id", "offset").collect())), name
