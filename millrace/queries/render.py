@@ -8,6 +8,8 @@ from millrace.functions import text as T
 from millrace.operators import render as R
 from millrace.sources import benchmarks as B
 from millrace.sources import io
+from millrace.sources.benchfolder import Layout, PromptFormat, load_folder, prompt_text
+from millrace.sources.io import shared_folder
 from millrace.sources.views import ROLLOUTS, TOKENS, TRAJ, r6, rollouts, table, token_rows, trajectories
 
 TYPES = ["short_form_qa", "long_form_qa", "report"]
@@ -62,6 +64,24 @@ def s13_eight_sets(spark, sf_dir):
     return rows.select("idx", "data_source", "ability", field("eval_type").alias("eval_type"), F.md5(F.col("prompt")[0]["content"]).alias("prompt"), F.size("prompt").alias("n_messages"), F.md5("question").alias("question"), F.md5(detail).alias("detail"))
 
 
+def x22_benchmark_folder(spark, sf_dir):
+    """Three raw sets of documents in a folder, stored in three ways and read by their layouts, one under a format of its own."""
+    at = shared_folder(spark, "raw")
+    d = table(spark, sf_dir, "documents").where("doc_id IS NOT NULL").select(F.col("doc_id").alias("n"), F.coalesce("text", F.lit("")).alias("text"))
+    part = lambda k: d.where(F.pmod("n", F.lit(3)) == k)
+    part(0).select("n", F.col("text").alias("query"), F.array("text").alias("rubric")).write.json(f"{at}/research.jsonl")
+    part(1).select("n", F.col("text").alias("asked")).write.parquet(f"{at}/science.parquet")
+    part(2).select("n", F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))).alias("prompt"), F.array(F.struct(F.col("text").alias("criterion"), F.lit(1.0).alias("points"), F.array(F.lit("t")).alias("tags"))).alias("rubrics")).write.orc(f"{at}/health.orc")
+    layouts = [
+        Layout("researchqa", "research.jsonl", "json", "n long, query string, rubric array<string>", {"idx": "n"}),
+        Layout("sqa_cs_v2", "science.parquet", "parquet", "n long, asked string", {"idx": "n", "question": "asked"}),
+        Layout("healthbench", "health.orc", "orc", "n long, prompt array<struct<role:string,content:string>>, rubrics array<struct<criterion:string,points:double,tags:array<string>>>", {"idx": "n"}),
+    ]
+    formats = {"short": PromptFormat("Q: ", "Talk: "), "thinking": PromptFormat("Think. Q: ", "Think. Talk: ")}
+    rows = load_folder(spark, at, layouts, formats, {"healthbench": "thinking"}, "short")
+    return rows.select("idx", "data_source", "ability", F.md5(prompt_text()).alias("prompt"))
+
+
 def s13_benchmark_rows(spark, sf_dir):
     """Two benchmark sources projected to one schema and united."""
     b = table(spark, sf_dir, "benchmark")
@@ -211,4 +231,5 @@ FROM b JOIN m USING (k) WHERE (k <> 0 OR idx % 5 > 0) AND (k <> 6 OR (idx % 4 =
     "p15_per_turn_prompts": "WITH " + TRAJ + """, b AS (SELECT conv_id, list_transform(regexp_extract_all(traj, '(?s)<search>(.*?)</search>', 1), lambda x: trim(x)) AS q, list_transform(regexp_extract_all(traj, '(?s)<information>(.*?)</information>', 1), lambda x: trim(x)) AS d FROM tr),
 t AS (SELECT conv_id, unnest(range(1, len(q) + 1)) AS i, q, d FROM b)
 SELECT conv_id, 'initial' AS stage, md5('I task src') AS prompt FROM b UNION ALL SELECT conv_id, 'synthesis', md5('S task') FROM b UNION ALL SELECT conv_id, 'turn_' || i, md5('T ' || q[i]) FROM t WHERE coalesce(d[i], '') <> ''""",
+    "x22_benchmark_folder": r"SELECT doc_id AS idx, (['eval_researchqa', 'eval_sqa_cs_v2', 'eval_healthbench'])[doc_id % 3 + 1] AS data_source, (['research-qa', 'scientific-qa', 'medical-qa'])[doc_id % 3 + 1] AS ability, md5(CASE WHEN doc_id % 3 = 2 THEN 'Think. Talk: ' || coalesce(text, '') ELSE 'Q: ' || regexp_replace(coalesce(text, ''), '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g') END) AS prompt FROM documents",
 }
