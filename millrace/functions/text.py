@@ -6,6 +6,8 @@ not regular (nested braces) falls back to an Arrow-batched function.
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,6 +28,20 @@ def strip(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
 
+def _capital(c: str) -> str:
+    """The one capital of a letter; the letter itself if it has none or several."""
+    return "\u1e9e" if c == "\u00df" else next((u for u in (c.upper(), c.title()) if len(u) == 1), c)
+
+
+_CAPITALS = {c: u for c in map(chr, range(sys.maxunicode + 1)) if not c.isascii() and (u := _capital(c)) != c}
+
+
+def upper(x: Column) -> Column:
+    """Capitals letter by letter, as SQL has them: the length stays, where ``F.upper`` makes SS of a sharp s and FI of a ligature."""
+    ascii_letters = "abcdefghijklmnopqrstuvwxyz"
+    return F.translate(x, ascii_letters + "".join(_CAPITALS), ascii_letters.upper() + "".join(_CAPITALS.values()))
+
+
 def squeeze(x: Column) -> Column:
     return strip(F.regexp_replace(x, r"(?U)\s+", " "))
 

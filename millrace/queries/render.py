@@ -85,8 +85,9 @@ def x22_benchmark_folder(spark, sf_dir):
 def s13_benchmark_rows(spark, sf_dir):
     """Two benchmark sources projected to one schema and united."""
     b = table(spark, sf_dir, "benchmark")
-    one = b.where("item_id % 2 = 0").select(*R.task_row(F.lit("eval_points"), F.col("text"), "rubric", "rule", F.lit(None).cast("array<string>"), F.col("item_id"), F.col("text"), F.array(F.lit("a"), F.lit("b"))))
-    two = b.where("item_id % 2 = 1").select(*R.task_row(F.lit("eval_pair"), F.upper("text"), "rubric", "rule", F.array(F.lit("gold")), F.col("item_id"), F.col("text")))
+    even = F.coalesce(F.col("item_id") % 2 == 0, F.lit(False))
+    one = b.where(even).select(*R.task_row(F.lit("eval_points"), F.col("text"), "rubric", "rule", F.lit(None).cast("array<string>"), F.col("item_id"), F.col("text"), F.array(F.lit("a"), F.lit("b"))))
+    two = b.where(~even).select(*R.task_row(F.lit("eval_pair"), T.upper(F.col("text")), "rubric", "rule", F.array(F.lit("gold")), F.col("item_id"), F.col("text")))
     return one.unionByName(two).select("data_source", F.md5(F.col("prompt")[0]["content"]).alias("prompt"), F.size(F.coalesce(F.col("reward_model.ground_truth.rubrics"), F.array().cast("array<string>"))).alias("n_rubrics"), F.col("extra_info.index").alias("idx"))
 
 
