@@ -6,6 +6,7 @@ not regular (nested braces) falls back to an Arrow-batched function.
 
 from __future__ import annotations
 
+import functools
 import sys
 
 from pyspark.sql import Column
@@ -33,13 +34,16 @@ def _capital(c: str) -> str:
     return "\u1e9e" if c == "\u00df" else next((u for u in (c.upper(), c.title()) if len(u) == 1), c)
 
 
-_CAPITALS = {c: u for c in map(chr, range(sys.maxunicode + 1)) if not c.isascii() and (u := _capital(c)) != c}
+@functools.cache
+def _capitals() -> dict[str, str]:
+    """Made when first asked for, as workers that import this module do not need it."""
+    return {c: u for c in map(chr, range(sys.maxunicode + 1)) if not c.isascii() and (u := _capital(c)) != c}
 
 
 def upper(x: Column) -> Column:
     """Capitals letter by letter, as SQL has them: the length stays, where ``F.upper`` makes SS of a sharp s and FI of a ligature."""
-    ascii_letters = "abcdefghijklmnopqrstuvwxyz"
-    return F.translate(x, ascii_letters + "".join(_CAPITALS), ascii_letters.upper() + "".join(_CAPITALS.values()))
+    plain, others = "abcdefghijklmnopqrstuvwxyz", _capitals()
+    return F.translate(x, plain + "".join(others), plain.upper() + "".join(others.values()))
 
 
 def squeeze(x: Column) -> Column:
